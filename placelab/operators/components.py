@@ -5,52 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelab.operators.skew import join_per_key
+from placelab.operators import skew
 from placelab.session import materialize
 
 MAX_ROUNDS = 100
 
 
-def _star(directed: DataFrame) -> DataFrame:
-    """Smallest neighbour of every ``u`` (itself included), next to each of its edges."""
-    least = directed.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("_n"))
-    return join_per_key(directed, least, ["u"], "_n")
-
+def _shape(edges: DataFrame) -> tuple[int, int, int]:
+    """(most edges of a larger end, most edges of a smaller end, nodes that are both)."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    degrees = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    row = degrees.agg(F.max("down"), F.max("up"), F.count_if((F.col("down") > 0) & (F.col("up") > 0))).first()
+    return row[0] or 0, row[1] or 0, row[2]
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
+def _join(rows: DataFrame, other: DataFrame, key: str, degree: int, how: str) -> DataFrame:
+    """Join by node; nodes with very many edges are salted."""
+    if degree <= skew.HOT_ROWS:
+        return rows.join(other, key, how)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    return skew.salted_join(rows, other, [key], skew.hot_keys(sizes, [key], "_n"), how)
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    # edges run from the larger to the smaller end, so each u sees only smaller neighbours
-    starred = _star(edges)
-    return starred.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-        starred.select("u", F.col("m").alias("v"))
-    ).distinct()
 
+def _star_round(edges: DataFrame, down: int, up: int) -> DataFrame:
+    """One large-star and one small-star step over edges that run from larger to smaller nodes.
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """Every node hangs on one root, and no root hangs on another node."""
-    rows, nodes = edges.agg(F.count("*"), F.countDistinct("u")).first()
-    if rows != nodes:
-        return False
-    return edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi").isEmpty()
+    Large star: the smaller end moves on to its own smallest neighbour. Small
+    star: a node and all its smaller neighbours hang on the smallest of them.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    large = (
+        _join(edges, least.select(F.col("u").alias("v"), "m"), "v", up, "left")
+        .select("u", F.coalesce("m", "v").alias("v")).distinct()
+    )
+    smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+    starred = _join(large, smallest, "u", down, "inner")
+    moved = starred.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for all end points of ``edges(u, v)``; a component is named by its smallest node.
 
-    A node of very high degree is spread over salts. The number of rounds grows
-    with the logarithm of the graph; each round is written out.
+    The number of rounds grows with the logarithm of the graph. Each round is
+    written out, and the loop ends when every node hangs directly on a root.
     """
     current = materialize(
         edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
     for _ in range(MAX_ROUNDS):
-        if _is_star_forest(current):
+        down, up, between = _shape(current)
+        if down <= 1 and not between:
             break
-        current = materialize(_small_star(_large_star(current).distinct()))
+        current = materialize(_star_round(current, down, up))
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -9,8 +9,6 @@ neighbours counted, and a thin cell holds fewer than ``min_merchants`` points.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +22,10 @@ NOISE = -1
 _CELL = ["cfg", "cy", "cx"]
 
 
-@dataclass(frozen=True)
-class Clustered:
-    """``spots`` (lat, lon, weight, first row) and their ``labels`` per parameter set."""
-
-    spots: DataFrame
-    labels: DataFrame
-
-
 def weighted_spots(merchants: DataFrame, lat: str, lon: str, row_id: str) -> DataFrame:
     """Distinct positions with their number of merchants and smallest row number."""
-    return materialize(
-        merchants.groupBy(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-        .agg(F.min(row_id).alias("spot"), F.count("*").alias("weight"))
+    return merchants.groupBy(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).agg(
+        F.min(row_id).alias("spot"), F.count("*").alias("weight")
     )
 
 
@@ -45,36 +34,43 @@ def _node(cy, cx):
     return F.shiftleft(F.col("cfg").cast("long"), 56) + F.shiftleft(cy, 28) + cx
 
 
+_SPOT = ("cfg", "lat", "lon", "weight", "poi_cluster")
+
+
 def cluster(spots: DataFrame, configs: list[Config]) -> DataFrame:
-    """(cfg, spot, poi_cluster) for every position that belongs to a cluster.
+    """``cluster_points`` of weighted positions for several parameter sets at once."""
+    return cluster_points(grid_points(spots, configs, "lat", "lon", "spot", "weight"))
+
 
+def cluster_points(points: DataFrame) -> DataFrame:
+    """(cfg, lat, lon, weight, poi_cluster) for every position that belongs to a cluster.
+
+    ``points`` come placed on the grid, with id, weight, radius and min_merchants.
     Clusters are numbered by their first core row; a border point goes to the
     cluster with the smallest number within the radius.
     """
-    points = materialize(grid_points(spots, configs, "lat", "lon", "spot", "weight"))
     cells = points.groupBy(*_CELL).agg(
         F.sum("weight").alias("merchants"), F.count("*").alias("n"), F.first("min_merchants").alias("needed")
     ).select(*_CELL, "n", (F.col("merchants") >= F.col("needed")).alias("dense"))
     points = materialize(skew.join_per_key(points, cells, _CELL, "n"))
-
+    core = points.filter("dense").withColumn("node", _node(F.col("cy"), F.col("cx")))
     thin = points.filter("NOT dense")
+    if thin.isEmpty():
+        return _labelled(core).select(*_SPOT)
+
     near = grid.fold(thin, points, "weight", F.sum).select("cfg", "id", F.col("value").alias("near"))
     thin = materialize(
         thin.join(near, ["cfg", "id"]).withColumn("core", F.col("near") >= F.col("min_merchants")).drop("near")
     )
-    core = points.filter("dense").unionByName(thin.filter("core").drop("core")).withColumn(
-        "node", _node(F.col("cy"), F.col("cx"))
-    )
-    core = materialize(core)
+    more = thin.filter("core").drop("core").withColumn("node", _node(F.col("cy"), F.col("cx")))
+    labelled = materialize(_labelled(materialize(core.unionByName(more))))
+    border = thin.filter("NOT core")
+    adopted = grid.fold(border, labelled, "poi_cluster", F.min).withColumnRenamed("value", "poi_cluster")
+    return labelled.select(*_SPOT).unionByName(border.join(adopted, ["cfg", "id"]).select(*_SPOT))
 
-    numbered = _numbered_cells(core)
-    labelled = materialize(
-        skew.join_per_key(core, numbered, ["cfg", "node"], "n")
-    )
-    border = grid.fold(thin.filter("NOT core"), labelled, "poi_cluster", F.min)
-    return labelled.select("cfg", F.col("id").alias("spot"), "poi_cluster").unionByName(
-        border.select("cfg", F.col("id").alias("spot"), F.col("value").alias("poi_cluster"))
-    )
+
+def _labelled(core: DataFrame) -> DataFrame:
+    return skew.join_per_key(core, _numbered_cells(core), ["cfg", "node"], "n")
 
 
 def _cell_edges(core: DataFrame) -> DataFrame:
@@ -107,7 +103,6 @@ def _numbered_cells(core: DataFrame) -> DataFrame:
 
 
 def dbscan(merchants: DataFrame, configs: list[Config], lat: str = "latitude", lon: str = "longitude",
-           row_id: str = "row_id") -> Clustered:
-    """Cluster labels per distinct position for all parameter sets in one run."""
-    spots = weighted_spots(merchants, lat, lon, row_id)
-    return Clustered(spots, materialize(cluster(spots, configs)))
+           row_id: str = "row_id") -> DataFrame:
+    """Clustered positions for all parameter sets in one run; see ``cluster``."""
+    return cluster(weighted_spots(merchants, lat, lon, row_id), configs)

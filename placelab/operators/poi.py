@@ -28,56 +28,53 @@ def poi_name(cluster: Column) -> Column:
     return F.format_string("POI_%03d", cluster)
 
 
-def describe_clusters(members: DataFrame, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
-    """(POI measures, members with ``distance_to_center``) of rows that carry ``poi_cluster``.
+def describe(assigned: DataFrame, radius: Column, min_merchants: int, lat: str, lon: str, *more: Column) -> Detection:
+    """POI table and membership of merchants that carry ``poi_cluster`` (-1 outside any POI).
 
-    Centres are plain means. The distances need a second look at the members,
-    joined so that one large cluster does not land on one task.
+    ``assigned`` has to be written out already, since it is read several times.
+    Centres are plain means; the distances need a second look at the members,
+    joined so that one large cluster does not land on one task. ``radius`` may
+    use columns of the POI measures; ``more`` are further POI columns.
     """
-    names = [c for c in PLACE_NAMES if c in members.columns]
-    centres = materialize(members.groupBy("poi_cluster").agg(
+    c = F.col
+    names = [n for n in PLACE_NAMES if n in assigned.columns]
+    extra = [n for n in ("poi_radius",) if n in assigned.columns]
+    inside, outside = assigned.filter(c("poi_cluster") >= 0), assigned.filter(c("poi_cluster") < 0)
+    centres = materialize(inside.groupBy("poi_cluster").agg(
         F.avg(lat).alias("center_lat"), F.avg(lon).alias("center_lon"), F.count("*").alias("merchant_count"),
-        *[F.coalesce(F.mode(c, True), F.lit("")).alias(c) for c in names],
+        *[F.coalesce(F.mode(n, True), F.lit("")).alias(n) for n in names],
+        *[F.first(n).alias(n) for n in extra],
     ))
-    sized = centres.select("poi_cluster", "center_lat", "center_lon", F.col("merchant_count").alias("_n"))
-    measured = skew.join_per_key(members, sized, ["poi_cluster"], "_n").withColumn(
-        "distance_to_center", haversine_m(F.col("center_lat"), F.col("center_lon"), F.col(lat), F.col(lon))
-    ).drop("center_lat", "center_lon")
+    sized = centres.select("poi_cluster", "center_lat", "center_lon", c("merchant_count").alias("_n"))
+    measured = skew.join_per_key(inside, sized, ["poi_cluster"], "_n").withColumn(
+        "distance_to_center", haversine_m(c("center_lat"), c("center_lon"), c(lat), c(lon))
+    )
     spread = measured.groupBy("poi_cluster").agg(
         F.max("distance_to_center").alias("max_distance"), F.avg("distance_to_center").alias("avg_distance"),
         F.min("distance_to_center").alias("min_distance"),
     )
-    return centres.join(spread, "poi_cluster"), measured
-
-
-def poi_table(measures: DataFrame, radius: Column, min_merchants: int, *more: Column) -> DataFrame:
-    names = [c for c in PLACE_NAMES if c in measures.columns]
-    return measures.select(
-        poi_name(F.col("poi_cluster")).alias("poi_id"), F.col("poi_cluster").alias("cluster_id"),
+    pois = centres.join(spread, "poi_cluster").select(
+        poi_name(c("poi_cluster")).alias("poi_id"), c("poi_cluster").alias("cluster_id"),
         "center_lat", "center_lon", "merchant_count", "max_distance", "avg_distance", "min_distance",
         radius.cast("double").alias("radius_meters"), F.lit(min_merchants).cast("int").alias("min_merchants"),
         *names, *more,
     )
-
-
-def with_members(merchants: DataFrame, members: DataFrame, row_id: str) -> DataFrame:
-    """All merchants; those outside any POI get cluster -1 and no distance."""
-    assigned = members.select(row_id, "poi_cluster", "distance_to_center")
-    return merchants.join(assigned, row_id, "left").withColumn("poi_cluster", F.coalesce("poi_cluster", F.lit(NOISE)))
+    columns = [n for n in assigned.columns if n not in extra]
+    membership = measured.select(*columns, "distance_to_center").unionByName(
+        outside.select(*columns, F.lit(None).cast("double").alias("distance_to_center"))
+    )
+    return Detection(pois, membership)
 
 
 def detect_dbscan(merchants: DataFrame, radius: float = 250, min_merchants: int = 30, lat: str = "latitude",
                   lon: str = "longitude", row_id: str = "row_id") -> Detection:
     """POIs by density clustering."""
     found = dbscan(merchants, [Config(0, radius, min_merchants)], lat, lon, row_id)
-    labels = found.spots.join(found.labels, "spot").select(
-        F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "weight", "poi_cluster"
-    )
+    labels = found.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "weight", "poi_cluster")
     keyed = merchants.withColumns({"_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
-    members = materialize(skew.join_per_key(keyed, labels, ["_lat", "_lon"], "weight").drop("_lat", "_lon"))
-    measures, measured = describe_clusters(members, lat, lon)
-    pois = materialize(poi_table(measures, F.lit(radius), min_merchants))
-    return Detection(pois, materialize(with_members(merchants, measured, row_id)))
+    assigned = skew.join_per_key(keyed, materialize(labels), ["_lat", "_lon"], "weight", "left").drop("_lat", "_lon")
+    assigned = materialize(assigned.withColumn("poi_cluster", F.coalesce("poi_cluster", F.lit(NOISE))))
+    return describe(assigned, F.lit(radius), min_merchants, lat, lon)
 
 
 def coverage(membership: DataFrame) -> DataFrame:

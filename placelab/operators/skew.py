@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 HOT_ROWS = 100_000
 
 
-def hot_keys(sizes: DataFrame, keys: list[str], size: str, hot_rows: int | None = None) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and the number of salts that brings them back under it.
+def hot_keys(sizes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Keys with more than ``HOT_ROWS`` rows and the number of salts that brings them back under it.
 
-    At most total/hot_rows keys qualify, so this table is small enough to broadcast.
+    At most total/HOT_ROWS keys qualify, so this table is small enough to broadcast.
     """
-    limit = hot_rows or HOT_ROWS
-    return sizes.filter(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).cast("int").alias("_salts"))
+    return sizes.filter(F.col(size) > HOT_ROWS).select(
+        *keys, F.ceil(F.col(size) / HOT_ROWS).cast("int").alias("_salts")
+    )
 
 
 def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
@@ -34,5 +35,9 @@ def salted_join(rows: DataFrame, other: DataFrame, keys: list[str], hot: DataFra
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
-    """Join ``rows`` with ``per_key``: one row per key, with the key's row count in ``size`` (dropped)."""
-    return salted_join(rows, per_key.drop(size), keys, hot_keys(per_key, keys, size), how)
+    """Join ``rows`` with ``per_key``: one row per key, with the key's row count in ``size`` (dropped).
+
+    ``per_key`` is asked at once whether any key is hot, and should be cheap to read.
+    """
+    hot, other = hot_keys(per_key, keys, size), per_key.drop(size)
+    return rows.join(other, keys, how) if hot.isEmpty() else salted_join(rows, other, keys, hot, how)

@@ -19,6 +19,7 @@ def local_session(app: str = "placelab", cores: str = "*", partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in conf.items():
