@@ -183,9 +183,23 @@ def rerun_pairs(df: DataFrame, source: str = "source_file") -> DataFrame:
     return stripped.select("source_file", F.col("search_keyword").alias("keyword"), location.alias("location"))
 
 
-def rerun_tasks(df: DataFrame, max_results: int = RERUN_MAX_RESULTS, source: str = "source_file") -> DataFrame:
-    """TASK rows of a re-run table, numbered by file, keyword and location."""
-    pairs = rerun_pairs(df, source)
+def rerun_tasks(tables: DataFrame | list[DataFrame], max_results: int = RERUN_MAX_RESULTS,
+                source: str = "source_file") -> DataFrame:
+    """TASK rows of re-run tables, numbered by file, keyword and location.
+
+    Tables of a list may differ in layout; those of neither layout are left out.
+    """
+    pairs = None
+    for table in tables if isinstance(tables, list) else [tables]:
+        try:
+            found = rerun_pairs(table, source)
+        except ValueError:
+            if not isinstance(tables, list):
+                raise
+            continue
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        raise ValueError("no table has the columns of a re-run list")
     empty = F.lit("")
     return with_row_id(pairs, "source_file", "keyword", "location", name="task_id").select(
         "task_id", "keyword", "location",

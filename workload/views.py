@@ -56,10 +56,40 @@ SELECT row_id, city, district,
  CASE row_id % 50 WHEN 8 THEN NULL WHEN 29 THEN '106.8-x' WHEN 31 THEN '-' WHEN 37 THEN '1e3' WHEN 41 THEN ' 1.068e2 '
   ELSE CASE row_id % 4 WHEN 0 THEN lo WHEN 1 THEN concat(lo, '-', lo) WHEN 2 THEN concat(lo, '-', lo2, '-', lo) ELSE concat(lo2, '-', lo, '-', lo, '-', lo2) END END AS longitude
 FROM (SELECT row_id, city, district,
-  concat('-', CAST(a DIV 1000000 AS STRING), '.', lpad(CAST(a % 1000000 AS STRING), 6, '0')) AS la,
-  concat('-', CAST((a + 777) DIV 1000000 AS STRING), '.', lpad(CAST((a + 777) % 1000000 AS STRING), 6, '0')) AS la2,
-  concat(CAST(o DIV 1000000 AS STRING), '.', lpad(CAST(o % 1000000 AS STRING), 6, '0')) AS lo,
-  concat(CAST((o + 555) DIV 1000000 AS STRING), '.', lpad(CAST((o + 555) % 1000000 AS STRING), 6, '0')) AS lo2
+  concat('-', CAST(CAST(floor(a / 1000000E0) AS BIGINT) AS STRING), '.', lpad(CAST(a % 1000000 AS STRING), 6, '0')) AS la,
+  concat('-', CAST(CAST(floor((a + 777) / 1000000E0) AS BIGINT) AS STRING), '.', lpad(CAST((a + 777) % 1000000 AS STRING), 6, '0')) AS la2,
+  concat(CAST(CAST(floor(o / 1000000E0) AS BIGINT) AS STRING), '.', lpad(CAST(o % 1000000 AS STRING), 6, '0')) AS lo,
+  concat(CAST(CAST(floor((o + 555) / 1000000E0) AS BIGINT) AS STRING), '.', lpad(CAST((o + 555) % 1000000 AS STRING), 6, '0')) AS lo2
  FROM (SELECT row_id, city, district, CAST(round(-latitude * 1000000E0) AS BIGINT) AS a, CAST(round(longitude * 1000000E0) AS BIGINT) AS o
        FROM merchants) m) t
 """
+
+RERUN = """
+SELECT concat('duplicates_', CAST(o_custkey % 3 AS STRING)) AS source_file, concat(' ', o_orderpriority, ' ') AS search_keyword,
+ CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE concat('Sub_', CAST(o_custkey % 5 AS STRING), ' ') END AS search_subdistrict,
+ CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE concat('District_', CAST(o_custkey % 6 AS STRING)) END AS search_district,
+ o_orderstatus AS search_region
+FROM orders
+"""
+
+BARS = """
+SELECT c_custkey AS rank, concat(CAST(c_custkey % 1000 AS STRING), ' x 5') AS b1,
+ CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('stars: ', CAST(c_custkey % 77 AS STRING)) END AS b2,
+ CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE CAST(c_custkey AS STRING) END AS b3,
+ c_mktsegment AS b4, '1,234' AS b5, CAST(c_custkey % 6 AS INT) AS bars
+FROM customer
+"""
+
+# events as captures: every link a task saw, with a name that is sometimes missing or a heading
+EVENT_CAPTURES = """
+SELECT user_id AS task_id, props AS link, CAST(min(event_id) AS INT) AS rank,
+ CASE min(event_id) % 9 WHEN 0 THEN NULL WHEN 1 THEN 'Hasil' ELSE concat(' Shop ', CAST(min(event_id) AS STRING)) END AS name_text,
+ min(event_type) AS category_text
+FROM events GROUP BY user_id, props
+"""
+
+EVENT_TASKS = """
+SELECT user_id AS task_id, concat('kw', CAST(user_id % 7 AS STRING)) AS keyword, concat('place ', CAST(user_id % 5 AS STRING)) AS location,
+ CAST(5 + user_id % 40 AS INT) AS max_results
+FROM (SELECT DISTINCT user_id FROM events) t
+"""
