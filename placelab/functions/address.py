@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelab.functions.text import blank_to_null, first_match, strip
+from placelab.functions.text import blank_to_null, computed_once, first_match, strip
 
 # Province names, in list order.
 PROVINCES = [
@@ -77,14 +77,12 @@ def _may_be_subdistrict(part: Column, city: Column, province: Column) -> Column:
 def with_address_parts(df: DataFrame, address: str = "address") -> DataFrame:
     """Add subdistrict, district, city, province and zip_code read from column ``address``.
 
-    The parts build on each other, so they come in stacked projections: each is
-    computed once per row instead of once per use.
+    The parts build on each other, so they come in three steps, each computed
+    once per row.
     """
-    text = F.col(address)
-    longest_first = sorted(PROVINCES, key=len, reverse=True)
-    lowered = df.withColumn("_text", blank_to_null(text)).withColumn("_lower", F.lower("_text"))
-    text = F.col("_text")
-    named = lowered.withColumns({
+    lowered = computed_once(df, {"_text": blank_to_null(F.col(address)), "_lower": F.lower(F.col(address))})
+    text, longest_first = F.col("_text"), sorted(PROVINCES, key=len, reverse=True)
+    named = computed_once(lowered, {
         "zip_code": first_match(text, ZIP),
         "province": _named_in(F.col("_lower"), longest_first),
         "city": F.coalesce(
@@ -96,16 +94,11 @@ def with_address_parts(df: DataFrame, address: str = "address") -> DataFrame:
             strip(F.coalesce(first_match(text, SUBDISTRICT_MARKED, 1), first_match(text, VILLAGE_MARKED, 1)))
         ),
     })
-    listed = named.withColumn(
-        "_parts",
-        F.when(
-            F.col("_marked").isNull(),
-            F.filter(
-                F.transform(F.split("_text", ","), strip),
-                lambda p: _may_be_subdistrict(p, F.col("city"), F.col("province")),
-            ),
-        ),
+    parts = F.filter(
+        F.transform(F.split("_text", ","), strip),
+        lambda p: _may_be_subdistrict(p, F.col("city"), F.col("province")),
     )
+    listed = computed_once(named, {"_parts": F.when(F.col("_marked").isNull(), parts)})
     before_district = F.filter("_parts", lambda p: F.position(p, text) < F.position(F.col("district"), text))
     inferred = F.coalesce(
         F.when(F.col("district") != "", F.try_element_at(before_district, F.lit(1))),

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from placelab.functions.text import strip
+
 # The two link forms that carry a position.
 PIN_PATTERN = r"(?U)!8m2!3d(-?\d+\.\d+)!4d(-?\d+\.\d+)"
 VIEW_PATTERN = r"(?U)@(-?\d+\.\d+),(-?\d+\.\d+)"
@@ -39,23 +41,23 @@ def repair_coordinate(value: Column, method: str = "first", separator: str = "-"
     ``method`` picks one (an unknown method picks the first). When the separator
     is the minus sign the leading sign is lost; ``keep_sign`` brings it back.
     """
-    from placelab.functions.text import strip
-
     text = strip(value)
-    pieces = F.filter(
-        F.transform(F.split(text, re.escape(separator) if separator else r"$^"), strip), lambda p: p != ""
-    )
-    numbers = F.transform(pieces, to_number)
-    n = F.size(numbers)
-    if method == "last":
-        chosen = F.try_element_at(numbers, n)
-    elif method == "middle":
-        chosen = F.try_element_at(numbers, F.floor(n / 2).cast("int") + 1)
-    elif method == "average":
-        chosen = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x) / n
-    else:
-        chosen = F.try_element_at(numbers, F.lit(1))
+    pieces = F.filter(F.transform(F.split(text, re.escape(separator)), strip), lambda p: p != "")
+
+    def chosen(numbers: Column) -> Column:
+        n = F.size(numbers)
+        if method == "last":
+            one = F.try_element_at(numbers, n)
+        elif method == "middle":
+            one = F.try_element_at(numbers, F.floor(n / 2).cast("int") + 1)
+        elif method == "average":
+            one = F.aggregate(numbers, F.lit(0.0), lambda acc, x: acc + x) / n
+        else:
+            one = F.try_element_at(numbers, F.lit(1))
+        return F.when((n > 0) & ~F.exists(numbers, lambda x: x.isNull()), one)
+
+    # the list of numbers is bound once, as the only element of an array
+    picked = F.element_at(F.transform(F.array(F.transform(pieces, to_number)), chosen), 1)
     if keep_sign and separator == "-":
-        chosen = F.when(text.startswith("-"), -chosen).otherwise(chosen)
-    usable = (n > 0) & ~F.exists(numbers, lambda x: x.isNull())
-    return F.coalesce(to_number(text), F.when(usable, chosen))
+        picked = F.when(text.startswith("-"), -picked).otherwise(picked)
+    return F.coalesce(to_number(text), picked)

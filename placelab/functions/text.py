@@ -5,10 +5,26 @@ Patterns carry ``(?U)`` so that ``\\s``, ``\\d`` and ``\\b`` follow Unicode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later projections and filters refer to instead of repeating.
+
+    The optimizer copies an expression into every place that uses it, and a filter
+    on it below the projection. For long text expressions that multiplies the
+    work; a generator of one row is not copied. Existing columns are replaced.
+    """
+    row = F.struct(*[value.alias(f"_new_{name}") for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    added = df.select("*", F.inline(F.array(row)))
+    renamed = {n: F.col(f"_new_{n}").alias(n) for n in columns}
+    if len(kept) == len(df.columns):
+        return added.select(*kept, *renamed.values())
+    return added.select(*[renamed.pop(c) if c in renamed else F.col(c) for c in df.columns], *renamed.values())
+
+
 def strip(text: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placelab.functions.coords import repair_coordinate, to_number
-from placelab.functions.text import strip
+from placelab.functions.text import computed_once, strip
 from placelab.schemas import ISSUE
 
 LAT, LON = "latitude", "longitude"
@@ -120,7 +120,7 @@ def repair(df: DataFrame, lat: str = LAT, lon: str = LON, separator: str = "-",
            keep_sign: bool = False) -> DataFrame:
     """Replace text coordinates by one number each; numeric columns stay as they are."""
     fixed = {c: repair_coordinate(F.col(c), method, separator, keep_sign) for c in (lat, lon) if _is_text(df, c)}
-    return df.withColumns(fixed) if fixed else df
+    return computed_once(df, fixed) if fixed else df
 
 
 def _require(df: DataFrame, *columns: str) -> None:
@@ -138,9 +138,8 @@ def classified(df: DataFrame, lat: str = LAT, lon: str = LON, joined: bool = Tru
     """
     _require(df, lat, lon)
     source = repair(df, lat, lon, separator, method, keep_sign) if joined else df
-    absent = _missing(source, lat) | _missing(source, lon)
-    numbers = source.withColumns({
-        "_absent": absent, "_lat": _number(source, lat), "_lon": _number(source, lon)
+    numbers = computed_once(source, {
+        "_absent": _missing(source, lat) | _missing(source, lon), "_lat": _number(source, lat), "_lon": _number(source, lon)
     })
     in_range = F.col("_lat").between(-BOUNDS["lat"], BOUNDS["lat"]) & F.col("_lon").between(
         -BOUNDS["lon"], BOUNDS["lon"]
@@ -191,5 +190,5 @@ def quick_fix(df: DataFrame, lat: str = LAT, lon: str = LON) -> DataFrame:
 def repair_only(df: DataFrame, lat: str = LAT, lon: str = LON) -> DataFrame:
     """Repair with '-' and the first value, drop what is no number, keep any range."""
     fixed = repair(df, lat, lon)
-    numbers = fixed.withColumns({lat: _number(fixed, lat), lon: _number(fixed, lon)})
+    numbers = computed_once(fixed, {lat: _number(fixed, lat), lon: _number(fixed, lon)})
     return numbers.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())

@@ -44,9 +44,15 @@ def assemble(captures: DataFrame, keep: tuple[str, ...] = ("task_id", "rank")) -
     absent = {c: value for c, value in defaults.items() if c not in captures.columns}
     rows = named_captures(captures.withColumns(absent) if absent else captures)
 
-    rows = rows.withColumn("address", X.text_or_first_label(F.col("address_text"), F.col("address_aria")))
-    rows = with_address_parts(rows, "address").withColumn("_at", link_coordinates(F.col("link")))
     box = F.col("rating_box_text")
+    rows = X.computed_once(rows, {
+        "address": X.text_or_first_label(F.col("address_text"), F.col("address_aria")),
+        "_at": link_coordinates(F.col("link")),
+        "_rating": X.rating_text(box, F.col("rating_alt_text")),
+        "_reviews": X.reviews_text(box),
+        "_phone": X.text_or_label(F.col("phone_text"), F.col("phone_aria")),
+    })
+    rows = with_address_parts(rows, "address")
     fields = {
         "name": X.clean_text(F.col("name_text")),
         "category": X.clean_text(F.col("category_text")),
@@ -54,9 +60,9 @@ def assemble(captures: DataFrame, keep: tuple[str, ...] = ("task_id", "rank")) -
         **{part: X.clean_text(F.col(part)) for part in PARTS},
         "latitude": F.col("_at.latitude"),
         "longitude": F.col("_at.longitude"),
-        "rating": X.parse_rating(X.rating_text(box, F.col("rating_alt_text"))),
-        "reviews_count": X.parse_reviews_count(X.reviews_text(box)),
-        "phone": X.clean_text(X.text_or_label(F.col("phone_text"), F.col("phone_aria"))),
+        "rating": X.parse_rating(F.col("_rating")),
+        "reviews_count": X.parse_reviews_count(F.col("_reviews")),
+        "phone": X.clean_text(F.col("_phone")),
         "website": X.clean_text(F.col("website")),
         "link": F.col("link"),
         "opening_hours": X.clean_text(F.col("hours_text")),

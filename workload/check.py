@@ -65,7 +65,7 @@ def main(folder: str, *wanted: str) -> int:
         try:
             got = query(spark, folder).toArrow()
             spent = time.time() - start
-            verdict = compare(got, con.execute(sql[name]).to_arrow_table()) if name in sql else "rows only"
+            verdict = compare(got, con.sql(sql[name]).to_arrow_table()) if name in sql else "rows only"
         except Exception as error:
             spent, verdict, got = time.time() - start, f"ERROR {type(error).__name__}: {str(error)[:600]}", None
         bad = verdict not in ("", "rows only")

@@ -283,7 +283,7 @@ def _coordinate_oracles() -> dict[str, str]:
     rounded = "SELECT row_id, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM f"
 
     def repaired(method: str, signed: bool = False) -> str:
-        return with_views("+f AS (" + fixed.format(la=_repair("latitude", method, signed), lo=_repair("longitude", method, signed)) + ") " + rounded, "merchants", "dirty")
+        return with_views("+f AS (" + fixed.format(la=_repair("latitude", method, signed), lo=_repair("longitude", method, signed)) + ") " + rounded.replace(", 6)", ", 9)"), "merchants", "dirty")
 
     marked = ("+f AS (" + fixed.format(la=_repair("latitude", "first"), lo=_repair("longitude", "first")) + "), m AS (SELECT *, CASE WHEN latitude IS NULL OR longitude IS NULL THEN 'null' "
               "WHEN NOT (latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180) THEN 'out_of_range' END AS reject_reason FROM f) ")

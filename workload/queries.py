@@ -297,7 +297,8 @@ def coord_profile(t: Tables) -> DataFrame:
 def _repaired(method: str, keep_sign: bool = False) -> Callable[[Tables], DataFrame]:
     def query(t: Tables) -> DataFrame:
         fixed = clean.repair(t.dirty(), method=method, keep_sign=keep_sign)
-        return _round(fixed.select("row_id", "latitude", "longitude"), latitude=6, longitude=6)
+        # nine digits: averages of micro-degrees have exact ties at six
+        return _round(fixed.select("row_id", "latitude", "longitude"), latitude=9, longitude=9)
 
     return query
 
