@@ -29,9 +29,9 @@ def weighted_spots(merchants: DataFrame, lat: str, lon: str, row_id: str) -> Dat
     )
 
 
-def _node(cy, cx):
+def _node(cy: str, cx: str) -> str:
     """A grid cell of one parameter set as a single number; cells are at least decimetres wide."""
-    return F.shiftleft(F.col("cfg").cast("long"), 56) + F.shiftleft(cy, 28) + cx
+    return f"shiftleft(CAST(cfg AS BIGINT), 56) + shiftleft({cy}, 28) + {cx}"
 
 
 _SPOT = ("cfg", "lat", "lon", "weight", "poi_cluster")
@@ -45,15 +45,17 @@ def cluster(spots: DataFrame, configs: list[Config]) -> DataFrame:
 def cluster_points(points: DataFrame) -> DataFrame:
     """(cfg, lat, lon, weight, poi_cluster) for every position that belongs to a cluster.
 
-    ``points`` come placed on the grid, with id, weight, radius and min_merchants.
+    ``points`` come placed on the grid, with id, weight, radius and min_merchants, cheap to read twice.
     Clusters are numbered by their first core row; a border point goes to the
     cluster with the smallest number within the radius.
     """
-    cells = points.groupBy(*_CELL).agg(
-        F.sum("weight").alias("merchants"), F.count("*").alias("n"), F.first("min_merchants").alias("needed")
-    ).select(*_CELL, "n", (F.col("merchants") >= F.col("needed")).alias("dense"))
+    cells = materialize(
+        points.groupBy(*_CELL).agg(
+            F.expr("count(*)").alias("n"), F.expr("sum(weight) >= first(min_merchants)").alias("dense")
+        )
+    )
     points = materialize(skew.join_per_key(points, cells, _CELL, "n"))
-    core = points.filter("dense").withColumn("node", _node(F.col("cy"), F.col("cx")))
+    core = points.filter("dense").selectExpr("*", f"{_node('cy', 'cx')} AS node")
     thin = points.filter("NOT dense")
     if thin.isEmpty():
         return _labelled(core).select(*_SPOT)
@@ -62,7 +64,7 @@ def cluster_points(points: DataFrame) -> DataFrame:
     thin = materialize(
         thin.join(near, ["cfg", "id"]).withColumn("core", F.col("near") >= F.col("min_merchants")).drop("near")
     )
-    more = thin.filter("core").drop("core").withColumn("node", _node(F.col("cy"), F.col("cx")))
+    more = thin.filter("core").drop("core").selectExpr("*", f"{_node('cy', 'cx')} AS node")
     labelled = materialize(_labelled(materialize(core.unionByName(more))))
     border = thin.filter("NOT core")
     adopted = grid.fold(border, labelled, "poi_cluster", F.min).withColumnRenamed("value", "poi_cluster")
@@ -70,20 +72,18 @@ def cluster_points(points: DataFrame) -> DataFrame:
 
 
 def _labelled(core: DataFrame) -> DataFrame:
-    return skew.join_per_key(core, _numbered_cells(core), ["cfg", "node"], "n")
+    return skew.join_per_key(core, materialize(_numbered_cells(core)), ["cfg", "node"], "n")
 
 
 def _cell_edges(core: DataFrame) -> DataFrame:
     """Pairs of neighbouring cells that hold core points within the radius of each other."""
-    earlier = F.struct("ay", "ax") < F.struct("by", "bx")
+    earlier = "struct(ay, ax) < struct(by, bx)"
     edges = None
     for level in grid.relate(core, core, cells=earlier, until_one=True):
         origin = ["cfg", "cell_ay", "cell_ax", "cell_by", "cell_bx"]
         found = level.inside.select(*origin).unionByName(grid.compared(level).select(*origin))
         edges = found if edges is None else edges.unionByName(found)
-    return edges.select(
-        _node(F.col("cell_ay"), F.col("cell_ax")).alias("u"), _node(F.col("cell_by"), F.col("cell_bx")).alias("v")
-    )
+    return edges.selectExpr(f"{_node('cell_ay', 'cell_ax')} AS u", f"{_node('cell_by', 'cell_bx')} AS v")
 
 
 def _numbered_cells(core: DataFrame) -> DataFrame:
@@ -105,4 +105,4 @@ def _numbered_cells(core: DataFrame) -> DataFrame:
 def dbscan(merchants: DataFrame, configs: list[Config], lat: str = "latitude", lon: str = "longitude",
            row_id: str = "row_id") -> DataFrame:
     """Clustered positions for all parameter sets in one run; see ``cluster``."""
-    return cluster(weighted_spots(merchants, lat, lon, row_id), configs)
+    return cluster(materialize(weighted_spots(merchants, lat, lon, row_id)), configs)

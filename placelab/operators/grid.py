@@ -17,176 +17,157 @@ position) and whatever values the caller needs.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelab.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, haversine_m
+from placelab.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE
 from placelab.operators import skew
 from placelab.session import materialize
 
 LEVELS = 20
 PAIR_LIMIT = 250_000
-_MARGIN = 1e-9
 
 SPHERE, PLANAR, BOTH = "sphere", "planar", "both"
 
+_DIAMETER = f"{2 * EARTH_RADIUS_M}D"
+# bounds leave a margin, so that rounding can only keep a pair open, never settle it wrongly
+_LESS, _MORE = "(1 - 1e-9D)", "(1 + 1e-9D)"
 
-def _cos(lat: Column) -> Column:
-    return F.cos(F.radians(lat))
+CELL_HEIGHT = f"degrees(2 * asin(sin(radius / {_DIAMETER}) / sqrt(2D))) * {_LESS}"
+"""Height in degrees of a cell whose diagonal does not exceed the column ``radius``."""
 
 
-def _sin2_half(deg: Column) -> Column:
-    s = F.sin(F.radians(deg) / 2)
-    return s * s
+def _cos(lat: str) -> str:
+    return f"cos(radians({lat}))"
 
 
-def cell_height(radius: Column) -> Column:
-    """Height in degrees of a cell whose diagonal does not exceed ``radius``."""
-    return F.degrees(2 * F.asin(F.sin(radius / (2 * EARTH_RADIUS_M)) / math.sqrt(2))) * (1 - _MARGIN)
+def _sin2_half(deg: str) -> str:
+    return f"pow(sin(radians({deg}) / 2), 2)"
 
 
-def _row_bounds(row: Column, height: Column) -> tuple[Column, Column]:
-    """(smallest, largest) |latitude| of a grid row."""
-    low = row * height - 90
-    high = low + height
-    nearest = F.when((low < 0) & (high > 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
-    return F.least(nearest, F.lit(90.0)), F.least(F.greatest(F.abs(low), F.abs(high)), F.lit(90.0))
+def _nearest_to_equator(low: str, high: str) -> str:
+    return f"CASE WHEN {low} < 0 AND {high} > 0 THEN 0D ELSE least(abs({low}), abs({high})) END"
 
 
-def _columns_in_row(row: Column, height: Column) -> Column:
-    nearest, _ = _row_bounds(row, height)
-    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.radians(height) / 2) / _cos(nearest))))
-    return F.ceil(360.0 / width).cast("long")
+def _row_range(row: str, height: str) -> tuple[str, str]:
+    return f"({row} * {height} - 90)", f"({row} * {height} - 90 + {height})"
 
 
-def with_cells(points: DataFrame, height: Column) -> DataFrame:
+def _columns_in_row(row: str, height: str) -> str:
+    """Columns of a grid row: as wide as a cell is high, where the row is nearest to the equator."""
+    nearest = f"least(90D, {_nearest_to_equator(*_row_range(row, height))})"
+    return f"CAST(ceil(360D / degrees(2 * asin(least(1D, sin(radians({height}) / 2) / {_cos(nearest)})))) AS BIGINT)"
+
+
+def with_cells(points: DataFrame) -> DataFrame:
     """Add ``height``, ``fy``/``fx`` (position at the finest level) and ``cy``/``cx`` (cell)."""
     scale = 1 << LEVELS
-    placed = points.withColumn("height", height).withColumn(
-        "fy", F.floor((F.col("lat") + 90) / F.col("height") * scale).cast("long")
-    ).withColumn("cy", F.shiftright("fy", LEVELS))
-    placed = placed.withColumn("_cols", _columns_in_row(F.col("cy"), F.col("height")))
     return (
-        placed.withColumn("fx", F.pmod(
-            F.floor((F.col("lon") + 180) / 360 * F.col("_cols") * scale).cast("long"), F.col("_cols") * scale
-        ))
-        .withColumn("cx", F.shiftright("fx", LEVELS))
+        points.selectExpr("*", f"{CELL_HEIGHT} AS height")
+        .selectExpr("*", f"CAST(floor((lat + 90) / height * {scale}) AS BIGINT) AS fy")
+        .selectExpr("*", f"shiftright(fy, {LEVELS}) AS cy")
+        .selectExpr("*", f"{_columns_in_row('cy', 'height')} AS _cols")
+        .selectExpr("*", f"pmod(CAST(floor((lon + 180) / 360 * _cols * {scale}) AS BIGINT), _cols * {scale}) AS fx")
+        .selectExpr("*", f"shiftright(fx, {LEVELS}) AS cx")
         .drop("_cols")
     )
 
 
-def at_level(points: DataFrame, level: int, prefix: str) -> DataFrame:
+def _block(level: int, prefix: str) -> list[str]:
     shift = LEVELS - level
-    return points.withColumns({f"{prefix}y": F.shiftright("fy", shift), f"{prefix}x": F.shiftright("fx", shift)})
+    return [f"shiftright(fy, {shift}) AS {prefix}y", f"shiftright(fx, {shift}) AS {prefix}x"]
 
 
 def blocks(points: DataFrame, level: int, prefix: str, value: Column | None = None) -> DataFrame:
     """Occupied blocks with row count, bounding box and an aggregated value. Combines map-side."""
-    extra = [value.alias(f"{prefix}_value")] if value is not None else []
-    return at_level(points, level, prefix).groupBy("cfg", f"{prefix}y", f"{prefix}x").agg(
-        F.first("radius").alias(f"{prefix}_radius"), F.first("height").alias(f"{prefix}_height"),
-        F.count("*").alias(f"{prefix}_n"),
-        F.min("lat").alias(f"{prefix}_lat0"), F.max("lat").alias(f"{prefix}_lat1"),
-        F.min("lon").alias(f"{prefix}_lon0"), F.max("lon").alias(f"{prefix}_lon1"),
-        *extra,
-    )
+    p = prefix
+    wanted = ["first(radius) radius", "first(height) height", "count(*) n", "min(lat) lat0", "max(lat) lat1",
+              "min(lon) lon0", "max(lon) lon1"]
+    measures = [F.expr(w.split()[0]).alias(f"{p}_{w.split()[1]}") for w in wanted]
+    extra = [value.alias(f"{p}_value")] if value is not None else []
+    return points.selectExpr("*", *_block(level, p)).groupBy("cfg", f"{p}y", f"{p}x").agg(*measures, *extra)
 
 
-def cover(cells: DataFrame, reach_m: Column, prefix: str = "a", out: str = "b") -> DataFrame:
-    """All cells that may hold a point within ``reach_m`` of the boxes in ``cells``.
+def cover(cells: DataFrame, mode: str) -> DataFrame:
+    """All cells (by, bx) that may hold a partner of a point in the boxes ``a_*``.
 
     The longitude reach follows from sin²(d/2R) ≥ cos φ1 · cos φ2 · sin²(Δλ/2).
-    Columns wrap at the antimeridian; near a pole a whole row is covered.
+    Columns wrap at the antimeridian; near a pole a whole row is covered. The
+    planar ball reaches further than the radius away from the equator.
     """
-    c = lambda name: F.col(f"{prefix}_{name}")
-    height, sine = c("height"), F.sin(reach_m / (2 * EARTH_RADIUS_M))
-    up = F.degrees(reach_m / EARTH_RADIUS_M) * (1 + _MARGIN) + 1e-12
-    last_row = F.floor(180.0 / height).cast("long")
-    first = F.greatest(F.floor((c("lat0") - up + 90) / height).cast("long"), F.lit(0).cast("long"))
-    last = F.least(F.floor((c("lat1") + up + 90) / height).cast("long"), last_row)
-    rows = cells.withColumn(f"{out}y", F.explode(F.sequence(first, last)))
-    row = F.col(f"{out}y")
-    _, farthest = _row_bounds(row, height)
-    own = F.greatest(F.abs(c("lat0")), F.abs(c("lat1")))
-    rows = rows.withColumns({
-        "_cols": _columns_in_row(row, height),
-        "_ratio": sine / F.sqrt(_cos(own) * _cos(farthest)),
-    })
-    side = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.col("_ratio")))) * (1 + _MARGIN) + 1e-12
-    rows = rows.withColumns({
-        "_c0": F.floor((c("lon0") - side + 180) / 360 * F.col("_cols")).cast("long"),
-        "_c1": F.floor((c("lon1") + side + 180) / 360 * F.col("_cols")).cast("long"),
-    })
-    whole = (F.col("_ratio") >= 1) | (F.col("_c1") - F.col("_c0") + 1 >= F.col("_cols"))
-    columns = F.when(whole, F.sequence(F.lit(0).cast("long"), F.col("_cols") - 1)).otherwise(
-        F.sequence(F.col("_c0"), F.greatest(F.col("_c0"), F.col("_c1")))
+    own = "greatest(abs(a_lat0), abs(a_lat1))"
+    reach = f"a_radius / {_cos(own)}" if mode == PLANAR else "a_radius"
+    low, high = _row_range("by", "a_height")
+    farthest = f"least(90D, greatest(abs({low}), abs({high})))"
+    whole = "_ratio >= 1 OR _c1 - _c0 + 1 >= _cols"
+    return (
+        cells.selectExpr("*", f"{reach} AS _reach")
+        .selectExpr("*", f"degrees(_reach / {EARTH_RADIUS_M}D) * {_MORE} + 1e-12D AS _up")
+        .selectExpr("*", """explode(sequence(
+            greatest(CAST(floor((a_lat0 - _up + 90) / a_height) AS BIGINT), 0L),
+            least(CAST(floor((a_lat1 + _up + 90) / a_height) AS BIGINT), CAST(floor(180D / a_height) AS BIGINT)))) AS by""")
+        .selectExpr("*", f"{_columns_in_row('by', 'a_height')} AS _cols",
+                    f"sin(_reach / {_DIAMETER}) / sqrt({_cos(own)} * {_cos(farthest)}) AS _ratio")
+        .selectExpr("*", f"degrees(2 * asin(least(1D, _ratio))) * {_MORE} + 1e-12D AS _side")
+        .selectExpr("*", "CAST(floor((a_lon0 - _side + 180) / 360 * _cols) AS BIGINT) AS _c0",
+                    "CAST(floor((a_lon1 + _side + 180) / 360 * _cols) AS BIGINT) AS _c1")
+        .selectExpr("*", f"""explode(CASE WHEN {whole} THEN sequence(0L, _cols - 1)
+            ELSE sequence(_c0, greatest(_c0, _c1)) END) AS _c""")
+        .selectExpr("*", "pmod(_c, _cols) AS bx")
+        .drop("_reach", "_up", "_cols", "_ratio", "_side", "_c0", "_c1", "_c")
     )
-    return rows.withColumn("_c", F.explode(columns)).withColumn(
-        f"{out}x", F.pmod(F.col("_c"), F.col("_cols"))
-    ).drop("_cols", "_ratio", "_c0", "_c1", "_c")
 
 
-def within(radius: Column, mode: str) -> Column:
-    """The point predicate for columns a_lat, a_lon, b_lat, b_lon."""
-    a_lat, a_lon, b_lat, b_lon = (F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon"))
-    sphere = haversine_m(a_lat, a_lon, b_lat, b_lon) <= radius
-    dy, dx, tol = b_lat - a_lat, b_lon - a_lon, radius / (METRES_PER_DEGREE * _cos(a_lat))
-    planar = dy * dy + dx * dx <= tol * tol
-    return {SPHERE: sphere, PLANAR: planar, BOTH: planar & sphere}[mode]
+def distance(a_lat: str = "a_lat", a_lon: str = "a_lon", b_lat: str = "b_lat", b_lon: str = "b_lon") -> str:
+    """Great-circle metres as SQL text; the same arithmetic as ``haversine_m``."""
+    chord = f"{_sin2_half(f'{b_lat} - {a_lat}')} + {_cos(a_lat)} * {_cos(b_lat)} * {_sin2_half(f'{b_lon} - {a_lon}')}"
+    return f"{EARTH_RADIUS_M}D * 2 * asin(sqrt({chord}))"
 
 
-def _box_gaps(a0: Column, a1: Column, b0: Column, b1: Column) -> tuple[Column, Column]:
-    """(smallest, largest) absolute difference between values of two intervals."""
-    low, high = b0 - a1, b1 - a0
-    largest = F.greatest(F.abs(low), F.abs(high))
-    smallest = F.when((low <= 0) & (high >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
-    return smallest, largest
-
+def within(mode: str) -> str:
+    """The point predicate over a_lat, a_lon, b_lat, b_lon and a_radius."""
+    sphere = f"{distance()} <= a_radius"
+    planar = (f"pow(b_lat - a_lat, 2) + pow(b_lon - a_lon, 2) <= pow(a_radius / ({METRES_PER_DEGREE}D * {_cos('a_lat')}), 2)")
+    return {SPHERE: sphere, PLANAR: planar, BOTH: f"{planar} AND {sphere}"}[mode]
 
-def _box_tests(radius: Column, mode: str) -> tuple[Column, Column]:
-    """(every point pair is within, no point pair is within) from the two bounding boxes.
 
-    Both tests leave a small margin, so that rounding can only keep a pair open.
-    """
-    v = {f"{p}{n}": F.col(f"{p}_{n}") for p in "ab" for n in ("lat0", "lat1", "lon0", "lon1")}
-    lat_min, lat_max = _box_gaps(v["alat0"], v["alat1"], v["blat0"], v["blat1"])
-
-    def extreme_cos(p: str) -> tuple[Column, Column]:
-        low, high = v[f"{p}lat0"], v[f"{p}lat1"]
-        nearest = F.when((low < 0) & (high > 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
-        return _cos(F.greatest(F.abs(low), F.abs(high))), _cos(nearest)
-
-    a_cos_min, a_cos_max = extreme_cos("a")
-    b_cos_min, b_cos_max = extreme_cos("b")
-
-    turn = 360.0 * F.round(((v["blon0"] + v["blon1"]) - (v["alon0"] + v["alon1"])) / 720.0)
-    near, far = _box_gaps(v["alon0"], v["alon1"], v["blon0"] - turn, v["blon1"] - turn)
-    lon_max = F.least(far, F.lit(180.0))
-    lon_min = F.least(near, F.greatest(360.0 - far, F.lit(0.0)))
-    limit = F.pow(F.sin(radius / (2 * EARTH_RADIUS_M)), 2)
-    sphere_in = _sin2_half(lat_max) + a_cos_max * b_cos_max * _sin2_half(lon_max) <= limit * (1 - _MARGIN)
-    sphere_out = _sin2_half(lat_min) + a_cos_min * b_cos_min * _sin2_half(lon_min) > limit * (1 + _MARGIN)
-
-    flat_min, flat_max = _box_gaps(v["alon0"], v["alon1"], v["blon0"], v["blon1"])
-    tol_min, tol_max = radius / (METRES_PER_DEGREE * a_cos_max), radius / (METRES_PER_DEGREE * a_cos_min)
-    planar_in = lat_max * lat_max + flat_max * flat_max <= tol_min * tol_min * (1 - _MARGIN)
-    planar_out = lat_min * lat_min + flat_min * flat_min > tol_max * tol_max * (1 + _MARGIN)
-    return {
-        SPHERE: (sphere_in, sphere_out),
-        PLANAR: (planar_in, planar_out),
-        BOTH: (sphere_in & planar_in, sphere_out | planar_out),
-    }[mode]
-
-
-def reach(radius: Column, lat0: Column, lat1: Column, mode: str) -> Column:
-    """Metres within which all partners of a box lie; the planar ball is wider away from the equator."""
-    if mode != PLANAR:
-        return radius
-    return radius / _cos(F.greatest(F.abs(lat0), F.abs(lat1)))
+def _gaps(a0: str, a1: str, b0: str, b1: str) -> tuple[str, str]:
+    """(smallest, largest) absolute difference between values of two intervals."""
+    low, high = f"({b0} - {a1})", f"({b1} - {a0})"
+    smallest = f"CASE WHEN {low} <= 0 AND {high} >= 0 THEN 0D ELSE least(abs({low}), abs({high})) END"
+    return smallest, f"greatest(abs({low}), abs({high}))"
+
+
+def _with_verdict(pairs: DataFrame, mode: str, open_again: str) -> DataFrame:
+    """Add ``verdict``: in (every point pair is within), out (none is), split or small."""
+    lat_min, lat_max = _gaps("a_lat0", "a_lat1", "b_lat0", "b_lat1")
+    turn = "360 * round(((b_lon0 + b_lon1) - (a_lon0 + a_lon1)) / 720)"
+    near, far = _gaps("a_lon0", "a_lon1", "(b_lon0 - _turn)", "(b_lon1 - _turn)")
+    flat_min, flat_max = _gaps("a_lon0", "a_lon1", "b_lon0", "b_lon1")
+
+    def extremes(p: str) -> list[str]:
+        low, high = f"{p}_lat0", f"{p}_lat1"
+        return [f"{_cos(f'greatest(abs({low}), abs({high}))')} AS _{p}_least",
+                f"{_cos(_nearest_to_equator(low, high))} AS _{p}_most"]
+
+    limit = f"pow(sin(a_radius / {_DIAMETER}), 2)"
+    sphere_in = f"{_sin2_half('_lat_max')} + _a_most * _b_most * {_sin2_half('least(_far, 180D)')} <= {limit} * {_LESS}"
+    sphere_out = (f"{_sin2_half('_lat_min')} + _a_least * _b_least * "
+                  f"{_sin2_half('least(_near, greatest(360 - _far, 0D))')} > {limit} * {_MORE}")
+    planar_in = f"pow(_lat_max, 2) + pow(_flat_max, 2) <= pow(a_radius / ({METRES_PER_DEGREE}D * _a_most), 2) * {_LESS}"
+    planar_out = f"pow(_lat_min, 2) + pow(_flat_min, 2) > pow(a_radius / ({METRES_PER_DEGREE}D * _a_least), 2) * {_MORE}"
+    inside = {SPHERE: sphere_in, PLANAR: planar_in, BOTH: f"{sphere_in} AND {planar_in}"}[mode]
+    outside = {SPHERE: sphere_out, PLANAR: planar_out, BOTH: f"({sphere_out}) OR ({planar_out})"}[mode]
+    return (
+        pairs.selectExpr("*", f"{turn} AS _turn", f"{lat_min} AS _lat_min", f"{lat_max} AS _lat_max",
+                         f"{flat_min} AS _flat_min", f"{flat_max} AS _flat_max", *extremes("a"), *extremes("b"))
+        .selectExpr("*", f"{near} AS _near", f"{far} AS _far")
+        .selectExpr("*", f"CASE WHEN {outside} THEN 'out' WHEN {inside} THEN 'in' WHEN {open_again} THEN 'split' "
+                         "ELSE 'small' END AS verdict")
+    )
 
 
 @dataclass(frozen=True)
@@ -201,12 +182,19 @@ class Level:
     hot_left: DataFrame | None
     hot_right: DataFrame | None
 
+    def listed(self) -> "Level":
+        """The same level with whole pairs among those to compare, for callers that need every pair."""
+        return Level(self.level, self.left, self.right, self.inside, self.inside.unionByName(self.small),
+                     self.hot_left, self.hot_right)
+
 
 _A, _B = ["cfg", "ay", "ax"], ["cfg", "by", "bx"]
+# the pair of cells that a pair of blocks comes from
+_ORIGIN = ["cell_ay", "cell_ax", "cell_by", "cell_bx"]
 
 
 def relate(left: DataFrame, right: DataFrame, mode: str = SPHERE, value: Column | None = None,
-           pair_limit: int | None = None, cells: Column | None = None, until_one: bool = False) -> list[Level]:
+           pair_limit: int | None = None, cells: str = "true", until_one: bool = False) -> list[Level]:
     """Block pairs of two point tables, level by level until none is open.
 
     ``value`` is aggregated per right block (column ``b_value``). ``cells`` filters
@@ -214,41 +202,33 @@ def relate(left: DataFrame, right: DataFrame, mode: str = SPHERE, value: Column
     soon as one of its block pairs lies inside the radius.
     """
     limit = pair_limit or PAIR_LIMIT
-    radius = F.col("a_radius")
     b_cells = blocks(right, 0, "b", value).drop("b_radius", "b_height")
-    reached = cover(blocks(left, 0, "a"), reach(radius, F.col("a_lat0"), F.col("a_lat1"), mode))
-    pairs = reached.join(b_cells, _B)
-    if cells is not None:
-        pairs = pairs.filter(cells)
-    # the pair of cells that a pair of blocks comes from
-    pairs = pairs.withColumns({"cell_ay": F.col("ay"), "cell_ax": F.col("ax"),
-                               "cell_by": F.col("by"), "cell_bx": F.col("bx")})
-    origin = ["cell_ay", "cell_ax", "cell_by", "cell_bx"]
+    pairs = cover(blocks(left, 0, "a"), mode).join(b_cells, _B).filter(cells).selectExpr(
+        "*", "ay AS cell_ay", "ax AS cell_ax", "by AS cell_by", "bx AS cell_bx"
+    )
     values = ["b_value"] if value is not None else []
     levels = []
     for level in range(LEVELS + 1):
-        inside, outside = _box_tests(radius, mode)
-        too_many = (F.col("a_n") * F.col("b_n") > limit) if level < LEVELS else F.lit(False)
-        verdict = F.when(inside, "in").when(too_many, "split").otherwise("small")
+        open_again = f"a_n * b_n > {limit}" if level < LEVELS else "false"
         settled = materialize(
-            pairs.filter(~outside).select(
-                "cfg", "ay", "ax", "by", "bx", *origin, "a_radius", "a_n", "b_n", *values, verdict.alias("verdict")
+            _with_verdict(pairs, mode, open_again).filter("verdict != 'out'").select(
+                "cfg", "ay", "ax", "by", "bx", *_ORIGIN, "a_radius", "a_n", "b_n", *values, "verdict"
             )
         )
-        split, most_left, most_right = settled.agg(
-            F.count_if(F.col("verdict") == "split"), F.max("a_n"), F.max("b_n")
+        split, most_left, most_right = settled.selectExpr(
+            "count_if(verdict = 'split')", "max(a_n)", "max(b_n)"
         ).first()
         whole = settled.filter("verdict = 'in'")
         undecided = settled.filter("verdict != 'in'")
         if until_one:
-            undecided = undecided.join(whole.select("cfg", *origin).distinct(), ["cfg", *origin], "left_anti")
+            undecided = undecided.join(whole.select("cfg", *_ORIGIN).distinct(), ["cfg", *_ORIGIN], "left_anti")
         levels.append(Level(
             level, left, right, whole, undecided.filter("verdict = 'small'"),
             _hot(settled, _A, "a_n", most_left), _hot(settled, _B, "b_n", most_right),
         ))
         if not split:
             break
-        pairs, left, right = _children(undecided.filter("verdict = 'split'"), levels[-1], value, origin)
+        pairs, left, right = _children(undecided.filter("verdict = 'split'"), levels[-1], value)
     return levels
 
 
@@ -262,23 +242,22 @@ def _join_points(points: DataFrame, other: DataFrame, keys: list[str], hot: Data
     return points.join(other, keys) if hot is None else skew.salted_join(points, other, keys, hot)
 
 
-def _children(open_pairs: DataFrame, at: Level, value: Column | None, origin: list[str]):
+def _children(open_pairs: DataFrame, at: Level, value: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The (at most sixteen) block pairs below each open pair, and the points they hold."""
 
     def below(points: DataFrame, prefix: str, keys: list[str], hot: DataFrame | None, agg: Column | None):
         parents = open_pairs.select(*keys).distinct()
-        kept = materialize(_join_points(at_level(points, at.level, prefix), parents, keys, hot).drop(*keys[1:]))
-        fine = blocks(kept, at.level + 1, prefix, agg).withColumns({
-            f"_{prefix}y": F.shiftright(f"{prefix}y", 1), f"_{prefix}x": F.shiftright(f"{prefix}x", 1)
-        })
+        kept = materialize(
+            _join_points(points.selectExpr("*", *_block(at.level, prefix)), parents, keys, hot).drop(*keys[1:])
+        )
+        fine = blocks(kept, at.level + 1, prefix, agg).selectExpr(
+            "*", f"shiftright({prefix}y, 1) AS _{prefix}y", f"shiftright({prefix}x, 1) AS _{prefix}x"
+        )
         return kept, fine
 
     left, a = below(at.left, "a", _A, at.hot_left, None)
     right, b = below(at.right, "b", _B, at.hot_right, value)
-    up = open_pairs.select(
-        "cfg", F.col("ay").alias("_ay"), F.col("ax").alias("_ax"), F.col("by").alias("_by"), F.col("bx").alias("_bx"),
-        *origin,
-    )
+    up = open_pairs.selectExpr("cfg", "ay AS _ay", "ax AS _ax", "by AS _by", "bx AS _bx", *_ORIGIN)
     pairs = up.join(a, ["cfg", "_ay", "_ax"]).join(b.drop("b_radius", "b_height"), ["cfg", "_by", "_bx"])
     return pairs.drop("_ay", "_ax", "_by", "_bx"), left, right
 
@@ -286,15 +265,11 @@ def _children(open_pairs: DataFrame, at: Level, value: Column | None, origin: li
 def compared(level: Level, mode: str = SPHERE, left_columns: tuple[str, ...] = ("id",),
              right_columns: tuple[str, ...] = ("id",)) -> DataFrame:
     """Point pairs of the small block pairs that pass the predicate, values as ``a_*`` and ``b_*``."""
-    a = at_level(level.left, level.level, "a").select(
-        *_A, *[F.col(c).alias(f"a_{c}") for c in ("lat", "lon", *left_columns)]
-    )
-    b = at_level(level.right, level.level, "b").select(
-        *_B, *[F.col(c).alias(f"b_{c}") for c in ("lat", "lon", *right_columns)]
-    )
-    pairs = level.small.select(*_A, "by", "bx", "cell_ay", "cell_ax", "cell_by", "cell_bx", "a_radius")
+    a = level.left.selectExpr("cfg", *_block(level.level, "a"), *[f"{c} AS a_{c}" for c in ("lat", "lon", *left_columns)])
+    b = level.right.selectExpr("cfg", *_block(level.level, "b"), *[f"{c} AS b_{c}" for c in ("lat", "lon", *right_columns)])
+    pairs = level.small.select(*_A, "by", "bx", *_ORIGIN, "a_radius")
     with_left = _join_points(a, pairs, _A, level.hot_left)
-    return _join_points(b, with_left, _B, level.hot_right).filter(within(F.col("a_radius"), mode))
+    return _join_points(b, with_left, _B, level.hot_right).filter(within(mode))
 
 
 def fold(left: DataFrame, right: DataFrame, value: str, how: Callable[[str], Column], mode: str = SPHERE,
@@ -308,9 +283,9 @@ def fold(left: DataFrame, right: DataFrame, value: str, how: Callable[[str], Col
     total = None
     for level in relate(left, right, mode, how(value), pair_limit):
         whole = level.inside.groupBy(*_A).agg(how("b_value").alias("value"))
-        points = at_level(level.left, level.level, "a").select(*_A, "id")
+        points = level.left.selectExpr("cfg", *_block(level.level, "a"), "id")
         part = _join_points(points, whole, _A, level.hot_left).select("cfg", "id", "value")
-        pairs = compared(level, mode, ("id",), (value,))
-        part = part.unionByName(pairs.groupBy("cfg", F.col("a_id").alias("id")).agg(how(f"b_{value}").alias("value")))
+        pairs = compared(level, mode, ("id",), (value,)).selectExpr("cfg", "a_id AS id", f"b_{value} AS value")
+        part = part.unionByName(pairs.groupBy("cfg", "id").agg(how("value").alias("value")))
         total = part if total is None else total.unionByName(part)
     return total.groupBy("cfg", "id").agg(how("value").alias("value"))

@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelab.functions.geo import haversine_m
-from placelab.operators import grid
+from placelab.operators import grid, skew
 from placelab.session import materialize
 
 
@@ -33,7 +32,7 @@ def grid_points(rows: DataFrame, configs: list[Config], lat: str, lon: str, row_
         F.col(row_id).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"),
         *values,
     ).crossJoin(F.broadcast(config_table(rows.sparkSession, configs)))
-    return grid.with_cells(points, grid.cell_height(F.col("radius")))
+    return grid.with_cells(points)
 
 
 def neighbor_counts(merchants: DataFrame, radius: float, lat: str = "latitude", lon: str = "longitude",
@@ -48,17 +47,15 @@ def neighbor_counts(merchants: DataFrame, radius: float, lat: str = "latitude",
     )
     spots = materialize(spots)
     points = materialize(grid_points(spots, [Config(0, radius)], "_lat", "_lon", "_spot", "weight"))
-    counts = grid.fold(points, points, "weight", F.sum)
-    per_spot = spots.join(counts.select(F.col("id").alias("_spot"), F.col("value").alias("neighbors")), "_spot")
+    counts = grid.fold(points, points, "weight", F.sum).selectExpr("id AS _spot", "value AS neighbors")
+    per_spot = materialize(spots.join(counts, "_spot"))
     return skew_back(merchants, per_spot, lat, lon).select(row_id, "neighbors")
 
 
 def skew_back(merchants: DataFrame, per_spot: DataFrame, lat: str, lon: str) -> DataFrame:
     """Carry columns of distinct positions back to all merchants; a position may hold very many."""
-    from placelab.operators.skew import join_per_key
-
     keyed = merchants.withColumns({"_lat": F.col(lat).cast("double"), "_lon": F.col(lon).cast("double")})
-    return join_per_key(keyed, per_spot, ["_lat", "_lon"], "weight").drop("_lat", "_lon", "_spot")
+    return skew.join_per_key(keyed, per_spot, ["_lat", "_lon"], "weight").drop("_lat", "_lon", "_spot")
 
 
 def neighbor_pairs(merchants: DataFrame, radius: float, lat: str = "latitude", lon: str = "longitude",
@@ -73,13 +70,7 @@ def neighbor_pairs(merchants: DataFrame, radius: float, lat: str = "latitude", l
     points = materialize(grid_points(merchants, [Config(0, radius)], lat, lon, row_id))
     pairs = None
     for level in grid.relate(points, points, mode):
-        # whole pairs are listed as well, so they are compared like the small ones
-        listed = grid.Level(level.level, level.left, level.right, level.inside,
-                            level.inside.unionByName(level.small), level.hot_left, level.hot_right)
-        part = grid.compared(listed, mode).select(
-            "a_id", "b_id",
-            haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")).alias("hav_m"),
-        )
+        part = grid.compared(level.listed(), mode).selectExpr("a_id", "b_id", f"{grid.distance()} AS hav_m")
         pairs = part if pairs is None else pairs.unionByName(part)
     return pairs
 
@@ -88,6 +79,7 @@ def neighbors_of(merchants: DataFrame, radius: float, lat: str = "latitude", lon
                  row_id: str = "row_id") -> DataFrame:
     """Neighbour lists by both distances, as pairs; a merchant alone in its planar ball has none."""
     pairs = neighbor_pairs(merchants, radius, lat, lon, row_id, grid.BOTH)
-    points = materialize(grid_points(merchants.withColumn("weight", F.lit(1)), [Config(0, radius)], lat, lon, row_id, "weight"))
+    one = merchants.withColumn("weight", F.lit(1))
+    points = materialize(grid_points(one, [Config(0, radius)], lat, lon, row_id, "weight"))
     alone = grid.fold(points, points, "weight", F.sum, grid.PLANAR).filter("value <= 1")
     return pairs.join(alone.select(F.col("id").alias("a_id")), "a_id", "left_anti")

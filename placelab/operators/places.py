@@ -87,7 +87,7 @@ def places_from_captures(captures: DataFrame) -> DataFrame:
 
 def with_identity(places: DataFrame) -> DataFrame:
     """Add ``key_lat``/``key_lon``: the position, or nulls when either part is missing or zero."""
-    lat, lon = F.col("latitude"), F.col("longitude")
+    lat, lon = (F.col(c) if c in places.columns else F.lit(None).cast("double") for c in ("latitude", "longitude"))
     placed = (lat != 0) & (lon != 0)
     return places.withColumn("key_lat", F.when(placed, lat)).withColumn("key_lon", F.when(placed, lon))
 

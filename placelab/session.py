@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+MATERIALIZE_CONF = "spark.placelab.materialize"
 
 
 def local_session(app: str = "placelab", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -37,19 +37,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="placelab-")
-    os.environ.setdefault("PLACELAB_LOCAL_CHECKPOINTS", folder)
     spark.conf.set(CHECKPOINT_CONF, folder)
     return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back.
+    """``df`` written to the checkpoint folder, without its lineage; survives the loss of executors.
 
-    Unlike ``cache`` the result survives the loss of executors, unlike a plain
-    checkpoint it is columnar and carries true sizes, so that the planner picks
-    broadcast joins from measured bytes.
+    On a cluster it becomes a parquet table: later reads prune columns, and the
+    planner knows true sizes before it picks a broadcast join. On one machine,
+    where tables are small and fixed costs count, it is a reliable checkpoint.
+    ``spark.placelab.materialize`` (``table`` or ``checkpoint``) overrides that.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/placelab-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = checkpoint_dir(spark)
+    local = spark.sparkContext.master.startswith("local")
+    if spark.conf.get(MATERIALIZE_CONF, "checkpoint" if local else "table") == "checkpoint":
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(folder)
+        return df.checkpoint()
+    path = f"{folder}/placelab-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -31,17 +31,23 @@ def table(spark, lats, lons):
 PLACES = [(-6.2, 106.8), (0.0, 0.0), (60.0, 179.999), (84.9, -180.0), (89.995, 10.0)]
 
 
-@pytest.mark.parametrize("lat,lon", PLACES)
-def test_pairs_equal_brute_force(spark, lat, lon, hot_paths):
-    lats, lons = cloud(1, 90, lat, lon, 0.01)
+def everywhere(n, copies=0):
+    """One cloud per place, among them the equator, the antimeridian and near a pole."""
+    parts = [cloud(i, n, lat, lon, 0.01, copies) for i, (lat, lon) in enumerate(PLACES)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def test_pairs_equal_brute_force(spark, hot_paths):
+    lats, lons = everywhere(60)
     got = neighbors.neighbor_pairs(table(spark, lats, lons), 400.0).select("a_id", "b_id").collect()
     want = {(i, int(j)) for i, near in enumerate(models.neighbor_sets(lats, lons, 400.0)) for j in near}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-@pytest.mark.parametrize("lat,lon", PLACES[:3])
-def test_counts_equal_brute_force_with_hot_position(spark, lat, lon, hot_paths):
-    lats, lons = cloud(2, 120, lat, lon, 0.01, copies=40)
+@pytest.mark.parametrize("pair_limit", [1, 9, 250_000])
+def test_counts_equal_brute_force_with_hot_positions(spark, hot_paths, monkeypatch, pair_limit):
+    monkeypatch.setattr(grid, "PAIR_LIMIT", pair_limit)
+    lats, lons = everywhere(45, copies=15)
     got = dict(map(tuple, neighbors.neighbor_counts(table(spark, lats, lons), 400.0).collect()))
     assert got == {i: len(n) for i, n in enumerate(models.neighbor_sets(lats, lons, 400.0))}
 
@@ -62,9 +68,8 @@ def labels_of(spark, lats, lons, configs):
     return out
 
 
-@pytest.mark.parametrize("lat,lon,copies", [(-6.2, 106.8, 0), (60.0, 179.999, 30)])
-def test_dbscan_equals_ordered_expansion(spark, lat, lon, copies):
-    lats, lons = cloud(3, 200, lat, lon, 0.015, copies)
+def test_dbscan_equals_ordered_expansion(spark):
+    lats, lons = everywhere(150, copies=20)
     configs = [Config(0, 150.0, 4), Config(1, 300.0, 8), Config(2, 500.0, 25)]
     got = labels_of(spark, lats, lons, configs)
     for c in configs:
@@ -79,13 +84,6 @@ def test_dbscan_on_skewed_paths(spark, hot_paths):
         assert (got[c.cfg] == models.dbscan(lats, lons, c.radius, c.min_merchants)).all()
 
 
-def test_far_copy_doubles_the_clusters(spark):
-    lats, lons = cloud(5, 90, -6.2, 106.8, 0.01)
-    once = poi.detect_dbscan(table(spark, lats, lons), 300.0, 5).pois.count()
-    twice = poi.detect_dbscan(table(spark, np.concatenate([lats, lats + 3]), np.concatenate([lons, lons])), 300.0, 5)
-    assert twice.pois.count() == 2 * once > 0
-
-
 def test_components_of_a_long_chain_and_a_star(spark, monkeypatch):
     from placelab.operators import skew
 
@@ -95,12 +93,13 @@ def test_components_of_a_long_chain_and_a_star(spark, monkeypatch):
     assert {r.node: r.component for r in got} == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}}
 
 
-@pytest.mark.parametrize("large", [False, True])
-@pytest.mark.parametrize("seed,radius,needed,copies", [(6, 500.0, 6, 0), (7, 700.0, 10, 45)])
-def test_adaptive_equals_sequential_loop(spark, monkeypatch, large, seed, radius, needed, copies):
+@pytest.mark.parametrize("large,n", [(False, 220), (True, 100)])
+def test_adaptive_equals_sequential_loop(spark, monkeypatch, large, n):
     if large:
         monkeypatch.setattr(adaptive, "GROUP_SPOTS", 0)
-    lats, lons = cloud(seed, 220, -6.2, 106.8, 0.02, copies)
+    radius, needed = 600.0, 6
+    parts = [cloud(6, n, -6.2, 106.8, 0.02), cloud(7, n, 60.0, 179.999, 0.02, copies=30)]
+    lats, lons = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     labels, radii = models.adaptive(lats, lons, radius, needed)
     found = adaptive.detect_adaptive(table(spark, lats, lons), radius, needed)
     got = [r.poi_cluster for r in found.membership.orderBy("row_id").collect()]
@@ -142,10 +141,3 @@ def test_partitioning_does_not_matter(spark):
     first = poi.detect_dbscan(m, 300.0, 5).membership.orderBy("row_id").collect()
     other = poi.detect_dbscan(m.orderBy(F.rand(3)).repartition(7), 300.0, 5).membership.orderBy("row_id").collect()
     assert [r.poi_cluster for r in first] == [r.poi_cluster for r in other]
-
-
-def test_block_split_reaches_single_points(spark, monkeypatch):
-    monkeypatch.setattr(grid, "PAIR_LIMIT", 1)
-    lats, lons = cloud(12, 40, -6.2, 106.8, 0.003)
-    got = dict(map(tuple, neighbors.neighbor_counts(table(spark, lats, lons), 200.0).collect()))
-    assert got == {i: len(n) for i, n in enumerate(models.neighbor_sets(lats, lons, 200.0))}
