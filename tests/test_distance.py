@@ -79,11 +79,10 @@ def test_dbscan_equals_ordered_expansion(spark):
 
 
 def test_dbscan_on_skewed_paths(spark, hot_paths):
-    lats, lons = cloud(4, 160, -6.2, 106.8, 0.01, copies=50)
-    configs = [Config(0, 120.0, 3), Config(1, 400.0, 12)]
-    got = labels_of(spark, lats, lons, configs)
-    for c in configs:
-        assert (got[c.cfg] == models.dbscan(lats, lons, c.radius, c.min_merchants)).all()
+    lats, lons = cloud(4, 80, -6.2, 106.8, 0.008, copies=25)
+    got = labels_of(spark, lats, lons, [Config(0, 300.0, 8)])[0]
+    want = models.dbscan(lats, lons, 300.0, 8)
+    assert (got == want).all() and want.max() >= 0
 
 
 def test_components_of_a_long_chain_and_a_star(spark, monkeypatch):
