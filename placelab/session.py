@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-MATERIALIZE_CONF = "spark.placelab.materialize"
 
 
 def local_session(app: str = "placelab", cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -41,21 +42,55 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/placelab-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, without its lineage; survives the loss of executors.
+    """``df`` written as a parquet table in the checkpoint folder and read back, without its lineage.
 
-    On a cluster it becomes a parquet table: later reads prune columns, and the
-    planner knows true sizes before it picks a broadcast join. On one machine,
-    where tables are small and fixed costs count, it is a reliable checkpoint.
-    ``spark.placelab.materialize`` (``table`` or ``checkpoint``) overrides that.
+    It survives the loss of executors, later reads prune columns, and the planner
+    knows true sizes before it picks a broadcast join. ``discard`` removes it.
     """
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark)
-    local = spark.sparkContext.master.startswith("local")
-    if spark.conf.get(MATERIALIZE_CONF, "checkpoint" if local else "table") == "checkpoint":
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        return df.checkpoint()
-    path = f"{folder}/placelab-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._placelab_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialized tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_placelab_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Remove every table that this application has materialized; for the end of a job."""
+    _delete(spark, _folder(spark))
+
+
+_shipped: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; their Python path need not hold it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="placelab-ship-"), "placelab.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped[app] = archive
