@@ -150,3 +150,16 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for j in range(width):
         total = total * np.uint64(0xD6E8FEB86659FD93) + words[j : len(words) - width + 1 + j]
     return mix(total)
+
+
+def public_path(name: str) -> str:
+    """The place of a public vocabulary file, which every worker has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN

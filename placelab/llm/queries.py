@@ -7,12 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelab.llm import chat, rules
-from placelab.llm.common import documents
+from placelab.llm import bpe, chat, fingerprint, langid, lattice, packing, quality, rules, simhash, suffixes
+from placelab.llm.common import documents, held_out, public_path, public_pattern
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out("doc_id", 5, 0)
+    return langid.predict(docs, langid.learn(docs.filter(~out)), keep={"held_out": out})
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(documents(spark, sf_dir), path, public_pattern())
+    return bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out("doc_id", 4, 2)
+    model = quality.learn(docs, documents(spark, sf_dir, "labels"), ~out)
+    return quality.score(docs, model, keep={"held_out": out})
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.against_next(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"),
+        F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_path("byte_bpe_50k.json"), public_pattern())
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out("doc_id", 5, 1)
+    model = lattice.learn(docs, public_path("piece_bpe_32k.model"), ~out)
+    return lattice.score(docs, model, keep={"held_out": out})
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(documents(spark, sf_dir)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.measured(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -36,7 +91,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_rules": op9_rules, "op10_chat": op10_chat}
+    return {
+        "op1_language": op1_language, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_fingerprint": op4_fingerprint,
+        "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash,
+        "op9_rules": op9_rules, "op10_chat": op10_chat, "pipeline": pipeline,
+    }
 
 
 _CHAT_SQL = r"""
