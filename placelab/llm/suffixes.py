@@ -14,7 +14,7 @@ windows of a text (its stretches of ``width`` bytes) are told apart in three ste
    with ``width`` common bytes are compared byte by byte and are repeated.
 
 Anchors with very many different surroundings would make one task sort them all; their
-windows are spread and counted by 128 bits of hash instead.
+windows are spread and counted, block by block, by 128 bits of hash instead.
 
 Null text counts as empty; a text of less than ``width`` bytes keeps all of them; rows
 that are equal are copies of each other; other columns are ignored by ``spans`` and kept
@@ -35,7 +35,7 @@ from placelab.llm.common import Rolling, as_bytes, fresh, map_batches, map_parti
 from placelab.session import discard, materialize
 
 WIDTH, GRAM = 200, 40
-HOT_CONTEXTS, CHUNK_WINDOWS, BLOCK_BYTES = 1000, 200_000, 1 << 20
+HOT_CONTEXTS, CHUNK_WINDOWS, BLOCK_BYTES, BLOCK_WINDOWS = 1000, 200_000, 1 << 18, 16
 _PLACE_BITS = np.uint64(21)
 _PLACE = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
 _ORDER, _CONTENT = Rolling(17), Rolling(29)
@@ -282,24 +282,72 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     usual = contexts.filter(F.col("kinds") <= HOT_CONTEXTS).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
     sorted_out = map_partitions(usual, sort, "row long, first long, last long")
 
+    hot = contexts.filter(F.col("kinds") > HOT_CONTEXTS).select("anchor", "row", "first", "windows", "n", "body")
+    return settled.select("row", "first", "last").unionByName(sorted_out).unionByName(_spread(hot, width, gram))
+
+
+def _spread(contexts: DataFrame, width: int, gram: int) -> DataFrame:
+    """(row, first, last) of repeated windows, for anchors with too many surroundings for one task.
+
+    Windows are first taken in blocks at fixed distances from the anchor, so that equal
+    stretches fall into equal blocks; only blocks that are alone of their kind, and one
+    of each kind beside them, are taken apart into windows.
+    """
+    block_key = ["anchor", "block", "x", "y"]
+
+    def blocks_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        anchor, row, first, windows, n = (batch.column(i).to_numpy() for i in range(5))
+        bodies = as_bytes(batch.column(5))
+        data = np.frombuffer(b"".join(bodies), np.uint8)
+        lengths = np.array([len(b) for b in bodies])
+        begins = np.cumsum(lengths) - lengths
+        order, content = _ORDER.prefix(data), _CONTENT.prefix(data)
+        grams = (begins[:, None] + np.arange(width - gram + 1)).ravel()
+        keyed = (mix(_ORDER.stretch(order, grams, grams + gram)) & ~_PLACE).reshape(len(bodies), -1)
+        owner = np.repeat(np.arange(len(bodies)), windows)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        block = (keyed.argmin(1)[owner] - place) // BLOCK_WINDOWS  # the first window names the anchor
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
+        head = np.flatnonzero(new)
+        count = np.diff(np.append(head, len(owner)))
+        o, a = owner[head], place[head]
+        start, end = begins[o] + a, begins[o] + a + count - 1 + width
+        x, y = (mix(h.stretch(sums, start, end) + count.astype(np.uint64)).view(np.int64) for h, sums in ((_ORDER, order), (_CONTENT, content)))
+        slices = [data[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (anchor[o], block[head], x, y, row[o], first[o] + a, count, n[o])] + [pa.array(slices, pa.binary())],
+            [*block_key, "row", "first", "windows", "n", "body"])
+
+    parts = materialize(map_batches(
+        contexts, blocks_of,
+        "anchor long, block long, x long, y long, row long, first long, windows long, n long, body binary"))
+    kinds = parts.groupBy(*block_key).agg(F.sum("n").alias("times"))
+    whole = parts.filter("n = 1").join(kinds.filter("times > 1").select(*block_key), block_key, "left_semi").select(
+        "row", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
+    unsettled = kinds.groupBy("anchor", "block").agg(
+        F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("singles")).filter("kinds > 1 AND singles > 0")
+    one_each = parts.groupBy(*block_key).agg(
+        F.sum("n").alias("times"), F.first(F.struct("row", "first", "windows", "body")).alias("one"))
+    apart = one_each.join(unsettled.select("anchor", "block"), ["anchor", "block"], "left_semi").select(
+        "one.row", "one.first", "one.windows", (F.col("times") == 1).alias("single"), "one.body")
+
     def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, first, windows = (batch.column(i).to_numpy() for i in range(3))
-        bodies = as_bytes(batch.column(3))
+        single, bodies = np.array(batch.column(3).to_pylist(), bool), as_bytes(batch.column(4))
         data = np.frombuffer(b"".join(bodies), np.uint8)
         lengths = np.array([len(b) for b in bodies])
         inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
         starts = np.repeat(np.cumsum(lengths) - lengths, windows) + inside
-        pair = [mix(r.stretch(r.prefix(data), starts, starts + width)).view(np.int64) for r in (_ORDER, _CONTENT)]
+        pair = [mix(h.stretch(h.prefix(data), starts, starts + width)).view(np.int64) for h in (_ORDER, _CONTENT)]
         return pa.RecordBatch.from_arrays(
-            [*map(pa.array, pair), pa.array(np.repeat(row, windows)), pa.array(np.repeat(first, windows) + inside)],
-            ["x", "y", "row", "first"])
-
-    hot = map_batches(
-        contexts.filter(F.col("kinds") > HOT_CONTEXTS).select("row", "first", "windows", "body"), windows_of,
-        "x long, y long, row long, first long")
-    twice = hot.groupBy("x", "y").agg(F.count("*").alias("times")).filter("times > 1").select("x", "y")
-    spread = hot.join(twice, ["x", "y"], "left_semi").select("row", "first", F.col("first").alias("last"))
-    return settled.select("row", "first", "last").unionByName(sorted_out).unionByName(spread)
+            [*map(pa.array, pair), pa.array(np.repeat(row, windows)), pa.array(np.repeat(first, windows) + inside),
+             pa.array(np.repeat(single, windows))], ["x", "y", "row", "first", "single"])
+
+    windows = materialize(map_batches(apart, windows_of, "x long, y long, row long, first long, single boolean"))
+    twice = windows.groupBy("x", "y").agg(F.count("*").alias("times")).filter("times > 1").select("x", "y")
+    found = windows.filter("single").join(twice, ["x", "y"], "left_semi").select("row", "first", F.col("first").alias("last"))
+    return whole.unionByName(found)
 
 
 def _cut(data: bytes, found: list[dict] | None, width: int) -> tuple[bytes, int, int]:
