@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from placelab.llm.common import SPACE_PATTERN, as_text, map_batches, map_partitions
 from placelab.session import discard, materialize
 
-MAX_TRAIN, MAX_WORDS, MAX_SHAPES = 20_000, 8_000, 1_000
+MAX_TRAIN, MAX_WORDS, MAX_SHAPES, LEAST_COUNT = 20_000, 8_000, 1_000, 5
 DIMENSIONS, HIDDEN, REACH, SEED, THRESHOLD = 64, 32, 2, 11, 0.7
 KEPT_WORDS, BLOCK_WORDS, FIT_TASKS = 400_000, 1 << 18, 8
 _SPACES = re.compile(SPACE_PATTERN)
@@ -192,7 +192,7 @@ def learn(
     counts = map_partitions(spread.select("_t"), counted, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
     is_shape = F.col("w").startswith("\0")
     top = {
-        kind: [r.w for r in counts.filter(test & (F.length("w") <= 64)).orderBy(F.desc("n"), "w").limit(n).collect()]
+        kind: [r.w for r in counts.filter(test & (F.length("w") <= 64) & (F.col("n") >= LEAST_COUNT)).orderBy(F.desc("n"), "w").limit(n).collect()]
         for kind, test, n in (("words", ~is_shape, MAX_WORDS), ("shapes", is_shape, MAX_SHAPES))
     }
     vocabulary = Vocabulary(top["words"], top["shapes"])
