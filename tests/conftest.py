@@ -5,7 +5,7 @@ from placelab.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cores="8", partitions=4)
+    session = local_session("tests", cores="4", partitions=4)
     yield session
     session.stop()
 
