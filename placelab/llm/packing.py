@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,7 +31,7 @@ from placelab.session import materialize
 
 TIERS = (512, 1024, 2048)
 GROUP_WINDOWS, POOL_TOKENS, RESTS_PER_TASK = 8, 1 << 20, 4096
-KEPT_CHARS, KEPT_ENTRIES, EMIT_ROWS = 48, 400_000, 8192
+KEPT_CHARS, KEPT_ENTRIES, EMIT_ROWS = 32, 1_200_000, 8192
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -52,21 +52,19 @@ def _tokenizer(path: str, pattern: str) -> tuple:
 def tokenize(texts: list[str], path: str, pattern: str, end_id: int) -> list[bytes]:
     """Ids of every text and the end id, as packed 32-bit numbers; every new chunk goes to the tokenizer once."""
     tokenizer, chunks, known = _tokenizer(path, pattern)
-    end = np.array([end_id], "<u4").tobytes()
-    found = []
-    for text in texts:
-        cut = chunks(text)
-        new = [c for c in dict.fromkeys(cut) if c not in known]
-        if len(known) + len(new) > KEPT_ENTRIES:
-            known.clear()
-            new = list(dict.fromkeys(cut))
-        if new:
-            encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, encoded))
-        found.append(b"".join([known[c] for c in cut]) + end)
-        for c in new:
-            if len(c) > KEPT_CHARS:
-                del known[c]
+    end = array("I", [end_id]).tobytes()
+    cuts = [chunks(text) for text in texts]
+    needed = set().union(*cuts)
+    new = [c for c in needed if c not in known]
+    if len(known) + len(new) > KEPT_ENTRIES:
+        known.clear()
+        new = list(needed)
+    encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
+    known.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, encoded))
+    found = [b"".join([known[c] for c in cut]) + end for cut in cuts]
+    for c in new:
+        if len(c) > KEPT_CHARS:
+            del known[c]
     return found
 
 
@@ -214,10 +212,10 @@ def pack(
 
     table = materialize(map_partitions(
         docs.select(key, text), lambda batches: run(batches, 0, False, from_texts), _schema(kind)))
-    result, level, last = table.filter("rest IS NULL"), 0, False
+    result, level, last, tasks = table.filter("rest IS NULL"), 0, False, 1 << 40
     while not last:
         rests = table.filter("rest IS NOT NULL").select("doc", "start", "rest", "doc_tokens")
-        tasks = -(-rests.count() // RESTS_PER_TASK)
+        tasks = min(-(-rests.count() // RESTS_PER_TASK), tasks // 2)
         level, last = level + 1, tasks <= 1
         rests = rests.coalesce(1) if last else rests.repartition(tasks)
         table = materialize(map_partitions(
