@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from placelab.llm.common import as_text, map_batches
 
-LEAF_BYTES, KEPT_BYTES, KEPT_ENTRIES, LEAF_IDS = 8, 48, 400_000, 4096
+LEAF_BYTES, KEPT_BYTES, KEPT_ENTRIES, LEAF_IDS = 8, 32, 300_000, 4096
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
@@ -130,11 +129,11 @@ class ByteBpe:
         rank = self.ranks.get(data)
         return self.encode(data) if rank is None else (rank,)
 
-    def decode(self, ids: Iterable[int]) -> bytes:
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """Leaves of some thousand ids are put together, then neighbours up the tree."""
-        ids = list(ids)
+        ids = np.asarray(ids, np.int64)
         get = self.bytes_of.__getitem__
-        level = [b"".join(map(get, ids[i : i + LEAF_IDS])) for i in range(0, len(ids), LEAF_IDS)]
+        level = [b"".join(map(get, ids[i : i + LEAF_IDS].tolist())) for i in range(0, len(ids), LEAF_IDS)]
         while len(level) > 1:
             level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
         return level[0] if level else b""
@@ -197,7 +196,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
 
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe, ids = load(path), batch.column(1)
-        flat, ends = ids.flatten().to_numpy().tolist(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
         texts = [bpe.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
         return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.binary())], ["k", "ids", "decoded"])
 

@@ -15,7 +15,7 @@ from placelab.session import ship_package
 SPACES = b" \t\n\x0b\x0c\r"
 #: The same as a Java pattern.
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS, SLICE_ROWS = 1 << 20, 1024
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -38,13 +38,13 @@ def fresh(df: DataFrame, name: str) -> str:
 def map_batches(
     df: DataFrame, worker: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
 ) -> DataFrame:
-    """Apply ``worker`` to every Arrow batch; each batch is handled alone, so memory follows the batch."""
+    """Apply ``worker`` to every Arrow batch, in slices: memory follows the slice."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield worker(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield worker(batch.slice(at, SLICE_ROWS))
 
     return df.mapInArrow(run, schema)
 
