@@ -10,8 +10,7 @@ from placelab.operators import places as P
 from placelab.operators import summary
 from placelab.operators.rows import with_row_id
 from placelab.operators.tasks import RERUN_MAX_RESULTS, rerun_tasks
-from placelab.session import materialize
-from placelab.sources.readers import read_task_files, uneven_task_files
+from placelab.sources.readers import read_task_files
 from placelab.sources.sinks import RESULT_SEP, write_delimited
 
 
@@ -20,16 +19,15 @@ class Merged:
     places: DataFrame
     per_file: DataFrame
     totals: DataFrame
+    skipped: DataFrame
 
 
-def merge_task_files(spark: SparkSession, folder: str, output: str | None = None, sep: str = RESULT_SEP,
-                     link_column: str = "link", uneven: bool = False) -> Merged:
-    """All task files of a folder as one table, with counts; duplicates are kept."""
-    read = uneven_task_files if uneven else read_task_files
-    merged = materialize(read(spark, folder, sep, link_column))
+def merge_task_files(spark: SparkSession, folder: str, output: str | None = None, sep: str = RESULT_SEP) -> Merged:
+    """All task files of a folder as one table, with counts; duplicates are kept, unreadable files are listed."""
+    files = read_task_files(spark, folder, sep)
     if output:
-        write_delimited(P.result_columns(merged), output, sep)
-    return Merged(merged, summary.file_counts(merged), summary.merge_totals(merged))
+        write_delimited(P.result_columns(files.rows), output, sep)
+    return Merged(files.rows, summary.file_counts(files.rows), summary.merge_totals(files.rows), files.skipped)
 
 
 def deduplicated(merged: DataFrame, *order: str) -> DataFrame:

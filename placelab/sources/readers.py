@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
+import fnmatch
+import io
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placelab.operators.rows import with_row_id
-from placelab.schemas import PLACE, all_strings
+from placelab.schemas import PLACE
+from placelab.session import materialize, ship_package
 
 LOCATION_COLUMNS = ("subdistrict", "district", "city", "location")
 TASK_FILES = "task_*.csv"
+# Names under which result files carry the link of a place.
+LINK_COLUMNS = ("link", "google_maps_link")
+MAX_COLUMNS, ROWS_PER_BATCH = 10_000, 8192
 
 
-def read_text_table(spark: SparkSession, path: str | list[str], sep: str = ",", **options) -> DataFrame:
-    """A delimited file with header, every column as text; quoted fields may span lines."""
-    return spark.read.options(header=True, sep=sep, multiLine=True, escape='"', **options).csv(path)
+def read_text_table(spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = False,
+                    **options) -> DataFrame:
+    """A delimited file with header, every column as text.
+
+    With ``multi_line`` quoted fields may span lines; each file is then read by one task.
+    """
+    return spark.read.options(header=True, sep=sep, multiLine=multi_line, escape='"', **options).csv(path)
 
 
 def read_keywords(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -44,50 +57,73 @@ def as_places(df: DataFrame) -> DataFrame:
     return df.withColumns(known)
 
 
-def _read_layout(spark: SparkSession, paths: str | list[str], columns: list[str], sep: str,
-                 link_column: str, glob: str | None) -> DataFrame:
-    names = ["link" if c == link_column else c for c in columns]
-    reader = spark.read.schema(all_strings(T.StructType([T.StructField(c, T.StringType()) for c in columns]))).options(
-        header=True, sep=sep, multiLine=True, escape='"', mode="PERMISSIVE", ignoreCorruptFiles=True,
-        enforceSchema=False,
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    rows = reader.csv(paths)
-    return rows.select(*[F.col(c).alias(n) for c, n in zip(columns, names)],
-                       F.col("_metadata.file_name").alias("source_file"))
+@dataclass(frozen=True)
+class TaskFiles:
+    """``rows`` of all readable files; ``skipped``: (source_file, reason) of the others."""
 
+    rows: DataFrame
+    skipped: DataFrame
 
-def read_task_files(spark: SparkSession, folder: str, sep: str = "|", link_column: str = "link",
-                    columns: list[str] | None = None, glob: str = TASK_FILES) -> DataFrame:
-    """All task result files of a folder as PLACE rows with ``source_file``.
 
-    Files that cannot be read, or whose header differs from ``columns`` (default:
-    the published layout), are left out; ``uneven_task_files`` takes those too.
-    """
-    layout = columns or [link_column if c == "link" else c for c in PLACE.fieldNames()]
-    return as_places(_read_layout(spark, folder, layout, sep, link_column, glob))
+def _parsed(data: bytes, sep: str) -> tuple[list[str], list[list[str]]]:
+    """Header and rows of one file; a repeated column name gets a number."""
+    lines = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""), delimiter=sep) if any(r)]
+    if not lines:
+        raise ValueError("no header")
+    names: list[str] = []
+    for name in lines[0]:
+        names.append(name if name not in names else f"{name}.{names.count(name)}")
+    for number, line in enumerate(lines[1:], 2):
+        if len(line) > len(names):
+            raise ValueError(f"row {number} has {len(line)} fields, the header {len(names)}")
+    return names, lines[1:]
 
 
-def uneven_task_files(spark: SparkSession, folder: str, sep: str = "|", link_column: str = "link",
-                      glob: str = TASK_FILES) -> DataFrame:
-    """As ``read_task_files`` for files with different columns: an outer union by name.
+def read_task_files(spark: SparkSession, folder: str, sep: str = "|", link_columns: tuple[str, ...] = LINK_COLUMNS,
+                    glob: str = TASK_FILES) -> TaskFiles:
+    """All task result files of a folder: an outer union by column name, with ``source_file``.
 
-    One more pass finds the header of every file; there are as many reads as
-    different headers.
+    Every file brings its own header; a file that cannot be read as a whole is listed
+    in ``skipped`` with the reason and adds no rows (Spark does not list files of no bytes). The columns are those of PLACE
+    (null where a file lacks them), then all others by name. A file is read by one
+    task, as a search writes at most its maximum of results. The parsed rows are
+    written out once; the names of the columns are the only thing that is collected.
     """
-    lines = spark.read.option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).text(folder).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line")).alias("place"),
-        "value",
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 30)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = next(part for part in reversed(path.split("/")) if fnmatch.fnmatch(part, glob))
+                try:
+                    names, lines = _parsed(content, sep)
+                    found = [[(n, v) for n, v in zip(names, line) if v != ""] for line in lines]
+                    header = [(n, None) for n in names]
+                    rows = [(name, None, header), *[(name, "", f) for f in found]]
+                except (UnicodeDecodeError, ValueError, csv.Error) as error:
+                    rows = [(name, f"{type(error).__name__}: {error}", [])]
+                for at in range(0, len(rows), ROWS_PER_BATCH):
+                    file, problem, fields = zip(*rows[at : at + ROWS_PER_BATCH])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(file), pa.array(problem, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string()))],
+                        ["source_file", "problem", "fields"])
+
+    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{glob}").select("path", "content")
+    ship_package(spark)
+    table = materialize(files.mapInArrow(parse, "source_file string, problem string, fields map<string,string>"))
+    headers = table.filter("problem IS NULL").select(F.explode(F.map_keys("fields")).alias("name")).distinct()
+    found = [r.name for r in headers.orderBy("name").limit(MAX_COLUMNS + 1).collect()]
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"the task files have more than {MAX_COLUMNS} different columns")
+    renamed = {c: "link" for c in link_columns}
+    sources: dict[str, list[str]] = {c: [] for c in PLACE.fieldNames()}
+    for name in found:
+        sources.setdefault(renamed.get(name, name), []).append(name)
+    rows = table.filter("problem = ''").select(
+        *[F.coalesce(F.lit(None).cast("string"), *[F.col("fields")[s] for s in names]).alias(c) for c, names in sources.items()],
+        "source_file",
     )
-    headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    layouts = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    parts = [
-        _read_layout(spark, row.files, [c.strip('"') for c in row.header.split(sep)], sep, link_column, None)
-        for row in layouts
-    ]
-    return as_places(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+    skipped = table.filter("problem <> ''").select("source_file", F.col("problem").alias("reason"))
+    return TaskFiles(as_places(rows), skipped)
 
 
 def read_rerun(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
@@ -99,14 +135,14 @@ def read_rerun(spark: SparkSession, path: str | list[str], sep: str = ",") -> Da
 
 
 def read_merchants(spark: SparkSession, path: str, *order: str, fmt: str = "csv", sep: str = ",",
-                   schema: T.StructType | str | None = None) -> DataFrame:
+                   schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """Merchant table of any columns with a dense ``row_id`` by the unique key ``order``.
 
     Delimited files come as text (coordinates are typed by the cleaning step)
     unless a schema is given.
     """
     if fmt == "csv":
-        reader = spark.read.options(header=True, sep=sep, multiLine=True, escape='"')
+        reader = spark.read.options(header=True, sep=sep, multiLine=multi_line, escape='"')
         df = (reader.schema(schema) if schema else reader).csv(path)
     else:
         reader = spark.read.format(fmt)

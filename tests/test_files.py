@@ -1,10 +1,11 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from placelab.operators import places as P
 from placelab.plans import merge
-from placelab.session import MATERIALIZE_CONF, materialize
+from placelab.session import discard, materialize
 from placelab.sources import html, readers, sinks
 from placelab.streaming import incremental
 
@@ -24,30 +25,34 @@ def some_places(spark, n=6):
 def test_delimited_round_trip(spark, tmp_path):
     wanted = some_places(spark).withColumn("name", F.concat("name", F.lit("\nline|two~")))
     sinks.write_delimited(P.result_columns(wanted), str(tmp_path / "out"))
-    back = readers.as_places(readers.read_text_table(spark, str(tmp_path / "out"), "~"))
+    back = readers.as_places(readers.read_text_table(spark, str(tmp_path / "out"), "~", multi_line=True))
     key = lambda r: r.link
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, P.result_columns(wanted).collect()), key=str)
     assert sorted(back.collect(), key=key)[0].reviews_count == 1234
 
 
 def test_task_files_and_merge(spark, tmp_path):
+    """Files of any layout are united by name, also with the published header; broken ones are listed."""
     folder = tmp_path / "tasks"
     folder.mkdir()
-    head = "name|category|google_link|reviews_count|zip_code\n"
-    (folder / "task_001_a.csv").write_text(head + "A|c|u1|12.0|01234\nB||u2||\n")
-    (folder / "task_002_b.csv").write_text(head + '"A"|c|u3|1|99999\n')
-    (folder / "other.csv").write_text(head + "X|c|u|1|1\n")
-    columns = head.strip().split("|")
-    got = readers.read_task_files(spark, str(folder), link_column="google_link", columns=columns)
-    assert sorted((r.source_file, r.name, r.link, r.reviews_count, r.zip_code) for r in got.collect()) == [
-        ("task_001_a.csv", "A", "u1", 12, "01234"), ("task_001_a.csv", "B", "u2", None, None),
-        ("task_002_b.csv", "A", "u3", 1, "99999")]
-    (folder / "task_003_c.csv").write_text("name|link\nC|u4\n")
-    assert readers.read_task_files(spark, str(folder), link_column="google_link", columns=columns).count() == 3
-    merged = merge.merge_task_files(spark, str(folder), str(tmp_path / "merged"), link_column="google_link", uneven=True)
-    assert merged.places.count() == 4 and sorted(r.places for r in merged.per_file.collect()) == [1, 1, 2]
-    assert {r.link for r in merged.places.collect()} == {"u1", "u2", "u3", "u4"}
-    assert readers.read_text_table(spark, str(tmp_path / "merged"), "|").count() == 4
+    (folder / "task_001_a.csv").write_text("name|category|google_maps_link|reviews_count|zip_code\nA|c|u1|12.0|01234\nB||u2||\n")
+    (folder / "task_002_b.csv").write_text('zip_code|link|name|extra\n99999|u3|"two\nlines"|x\n')
+    (folder / "task_003_c.csv").write_text("name|link\nC|u4\nD\n")
+    (folder / "task_004_d.csv").write_bytes(b"name|link\n\xff\xfe|u5\n")
+    (folder / "task_005_e.csv").write_text("\n\n")
+    (folder / "task_006_f.csv").write_text("name|link\nF|u6|more\n")
+    (folder / "task_007_g.csv").write_text("name|link\n")
+    (folder / "other.csv").write_text("name|link\nX|u\n")
+    merged = merge.merge_task_files(spark, str(folder), str(tmp_path / "merged"))
+    got = {(r.source_file, r.name, r.link, r.reviews_count, r.zip_code, r.extra) for r in merged.places.collect()}
+    assert got == {
+        ("task_001_a.csv", "A", "u1", 12, "01234", None), ("task_001_a.csv", "B", "u2", None, None, None),
+        ("task_002_b.csv", "two\nlines", "u3", None, "99999", "x"), ("task_003_c.csv", "C", "u4", None, None, None),
+        ("task_003_c.csv", "D", None, None, None, None)}
+    assert sorted(r.places for r in merged.per_file.collect()) == [1, 2, 2]
+    reasons = {r.source_file: r.reason for r in merged.skipped.collect()}
+    assert set(reasons) == {"task_004_d.csv", "task_005_e.csv", "task_006_f.csv"} and "3 fields" in reasons["task_006_f.csv"]
+    assert readers.read_text_table(spark, str(tmp_path / "merged"), "|", multi_line=True).count() == 5
 
 
 def test_repeat_searches(spark):
@@ -131,9 +136,9 @@ def test_streams_equal_batch(spark, tmp_path):
     assert total.total_places == 40 and total.avg_rating == 4.5 and total.coords_pct == 100.0
 
 
-def test_materialized_table_is_read_back(spark):
-    spark.conf.set(MATERIALIZE_CONF, "table")
-    try:
-        assert materialize(spark.range(5)).count() == 5
-    finally:
-        spark.conf.unset(MATERIALIZE_CONF)
+def test_materialized_tables_are_read_back_and_removed(spark):
+    table = materialize(spark.range(5))
+    assert table.count() == 5
+    discard(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
+        spark.read.parquet(table._placelab_path).count()

@@ -213,6 +213,14 @@ def _place_oracles() -> dict[str, str]:
         "place_phone_fallback": with_views(f"SELECT rank, {_PHONE} AS phone FROM captures", "captures"),
         "place_assemble": assembled,
         "io_delimited": assembled,
+        "io_merge": """SELECT 'task_' || substr('abc', CAST(c_custkey % 3 AS INTEGER) + 1, 1) || '.csv' AS source_file, c_name AS name,
+  CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS category,
+  CASE WHEN c_custkey % 3 < 2 THEN 'http://x/' || CAST(c_custkey AS VARCHAR) END AS link,
+  CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS reviews_count,
+  CASE WHEN c_custkey % 3 = 1 THEN '021-' || CAST(c_custkey AS VARCHAR) END AS phone,
+  CASE WHEN c_custkey % 3 = 2 THEN CAST(c_nationkey AS VARCHAR) END AS extra FROM customer""",
+        "io_merge_counts": """SELECT 'task_' || substr('abc', CAST(c_custkey % 3 AS INTEGER) + 1, 1) || '.csv' AS source_file,
+  count(*) AS places FROM customer GROUP BY 1""",
         "stream_places": assembled,
         "place_dedup_task": _from_places("SELECT task_id, rank, link, name FROM (SELECT *, row_number() OVER (PARTITION BY task_id, link ORDER BY rank) AS rn FROM places) x WHERE rn = 1"),
         "place_dedup_global": _from_keyed("SELECT task_id, rank, name, latitude, longitude FROM (SELECT *, row_number() OVER (PARTITION BY name, key_lat, key_lon ORDER BY task_id, rank) AS rn FROM keyed) x WHERE rn = 1"),

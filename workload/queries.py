@@ -15,7 +15,7 @@ from placelab.functions.geo import degree_tolerances, haversine_m
 from placelab.operators import adaptive, clean, harvest, kmeans, neighbors, poi, summary, tasks
 from placelab.operators import places as P
 from placelab.operators.rows import with_row_id
-from placelab.plans import search, solution, sweep
+from placelab.plans import merge, search, solution, sweep
 from placelab.session import checkpoint_dir, materialize
 from placelab.sources import html, readers, sinks
 from placelab.streaming import incremental
@@ -424,6 +424,29 @@ def io_task_files(t: Tables) -> DataFrame:
     return written.groupBy("task_slug").agg(F.count("*").alias("places"))
 
 
+def _layouts(t: Tables) -> str:
+    """Three task files with different columns, one of them with the published name of the link."""
+    path, shops = t.scratch(), t["customer"]
+    link = F.concat(F.lit("http://x/"), F.col("c_custkey").cast("string"))
+    for name, part, columns in (
+        ("task_a.csv", 0, [F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"),
+                           link.alias("google_maps_link"), F.col("c_custkey").alias("reviews_count")]),
+        ("task_b.csv", 1, [F.concat(F.lit("021-"), F.col("c_custkey").cast("string")).alias("phone"), link.alias("link"), F.col("c_name").alias("name")]),
+        ("task_c.csv", 2, [F.col("c_name").alias("name"), F.col("c_nationkey").alias("extra")]),
+    ):
+        sinks.write_delimited(shops.filter(F.col("c_custkey") % 3 == part).select(*columns), f"{path}/{name}", sinks.RESULT_SEP)
+    return path
+
+
+def io_merge(t: Tables) -> DataFrame:
+    rows = merge.merge_task_files(t.spark, _layouts(t)).places
+    return rows.select("source_file", "name", "category", "link", "reviews_count", "phone", "extra")
+
+
+def io_merge_counts(t: Tables) -> DataFrame:
+    return merge.merge_task_files(t.spark, _layouts(t)).per_file
+
+
 def io_merchants(t: Tables) -> DataFrame:
     path = t.scratch()
     t.dirty().drop("row_id").write.parquet(path)
@@ -489,7 +512,7 @@ _PLAIN = [
     coord_profile, coord_clean, coord_reject_counts, coord_repair_only, geo_distance, neighbor_pairs, neighbor_lists,
     neighbor_counts, dense_merchants, poi_dbscan_membership, poi_dbscan_summary, poi_statistics, poi_coverage,
     poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_sweep, poi_sweep_top, poi_solution,
-    poi_relaxed, io_delimited, io_task_files, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
+    poi_relaxed, io_delimited, io_task_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
     stream_summary,
 ]
 
