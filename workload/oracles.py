@@ -195,6 +195,13 @@ def _from_keyed(body: str) -> str:
     return with_views("+" + RECURRING + body, "captures")
 
 
+def _unescaped(text: str) -> str:
+    """Text of markup without inner tags; the entities that the pages use."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    return f"nullif(trim({text}), '')"
+
+
 def _place_oracles() -> dict[str, str]:
     stars = ", ".join(f"CASE WHEN bars >= {6 - s} THEN {_first_int(f'b{6 - s}')} END AS star_{s}" for s in range(1, 6))
     counts = "SELECT {c}, places FROM (SELECT {c}, count(*) AS places FROM places WHERE {c} IS NOT NULL GROUP BY {c}{cut}) x WHERE {c} <> ''"
@@ -219,6 +226,9 @@ def _place_oracles() -> dict[str, str]:
   CASE WHEN c_custkey % 3 = 0 THEN c_custkey END AS reviews_count,
   CASE WHEN c_custkey % 3 = 1 THEN '021-' || CAST(c_custkey AS VARCHAR) END AS phone,
   CASE WHEN c_custkey % 3 = 2 THEN CAST(c_nationkey AS VARCHAR) END AS extra FROM customer""",
+        "html_fields": f"""SELECT page_id, url, {_unescaped("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+  {_unescaped("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad,
+  regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",
         "io_merge_counts": """SELECT 'task_' || substr('abc', CAST(c_custkey % 3 AS INTEGER) + 1, 1) || '.csv' AS source_file,
   count(*) AS places FROM customer GROUP BY 1""",
         "stream_places": assembled,
