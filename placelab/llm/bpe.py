@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from placelab.llm.common import as_text, map_batches
 
-LEAF_BYTES, KEPT_BYTES, KEPT_ENTRIES, LEAF_IDS = 8, 32, 300_000, 4096
+LEAF_BYTES, KEPT_BYTES, KEPT_ENTRIES, KEPT_CHUNKS, LEAF_IDS = 6, 32, 150_000, 500_000, 4096
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
@@ -89,9 +90,20 @@ class ByteBpe:
         if known is None:
             if len(self.stable) >= KEPT_ENTRIES:
                 self.stable.clear()
-            known = self.stable[key] = self.direct(self.bytes_of[left] + self.bytes_of[right]) == key
+            known = self.stable[key] = self.remembered(self.bytes_of[left] + self.bytes_of[right]) == key
         return known
 
+    def remembered(self, data: bytes) -> tuple[int, ...]:
+        """``direct``, of short strings only once, up to a fixed number."""
+        found = self.known.get(data)
+        if found is None:
+            found = self.direct(data)
+            if len(data) <= KEPT_BYTES:
+                if len(self.known) >= KEPT_ENTRIES:
+                    self.known.clear()
+                self.known[data] = found
+        return found
+
     def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the two byte strings behind ``left`` and ``right`` put together."""
         if not left or not right:
@@ -101,7 +113,7 @@ class ByteBpe:
         width = 1
         while True:
             a, b = max(len(left) - width, 0), min(width, len(right))
-            window = self.direct(b"".join(self.bytes_of[t] for t in left[a:] + right[:b]))
+            window = self.remembered(b"".join([self.bytes_of[t] for t in left[a:] + right[:b]]))
             if (a == 0 or self.is_stable(left[a - 1], window[0])) and (
                 b == len(right) or self.is_stable(window[-1], right[b])
             ):
@@ -109,20 +121,11 @@ class ByteBpe:
             width *= 2
 
     def encode(self, data: bytes) -> tuple[int, ...]:
-        """Encode one piece by halves; short ones are remembered, up to a fixed number."""
-        known = self.known.get(data)
-        if known is not None:
-            return known
+        """Encode one piece by halves; the leaves of the tree are remembered."""
         if len(data) <= LEAF_BYTES:
-            found = self.direct(data)
-        else:
-            half = len(data) // 2
-            found = self.join(self.encode(data[:half]), self.encode(data[half:]))
-        if len(data) <= KEPT_BYTES:
-            if len(self.known) >= KEPT_ENTRIES:
-                self.known.clear()
-            self.known[data] = found
-        return found
+            return self.remembered(data)
+        half = len(data) // 2
+        return self.join(self.encode(data[:half]), self.encode(data[half:]))
 
     def encode_piece(self, data: bytes) -> tuple[int, ...]:
         """A piece that is a token as a whole is that token."""
@@ -147,10 +150,11 @@ class _Packed(dict):
         self.bpe, self.pattern = bpe, pattern
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = [t for piece in self.pattern.findall(chunk) for t in self.bpe.encode_piece(piece.encode())]
-        packed = np.array(ids, "<i4").tobytes()
+        word = chunk[1:] if chunk[0] == " " else chunk
+        pieces = [chunk] if word.isalpha() else self.pattern.findall(chunk)  # letters are one match
+        packed = array("i", [t for piece in pieces for t in self.bpe.encode_piece(piece.encode())]).tobytes()
         if len(chunk) <= KEPT_BYTES:
-            if len(self) >= KEPT_ENTRIES:
+            if len(self) >= KEPT_CHUNKS:
                 self.clear()
             self[chunk] = packed
         return packed
