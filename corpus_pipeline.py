@@ -23,8 +23,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each group stays, the one of the smallest id.
+
+    Near-duplicates differ in at most two bits, or share 0.8 of their runs of five words.
+    """
+    return simhash.keep_first(docs, similarity=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,16 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placelab.llm.common import as_bytes, blocks, fresh, lower_ascii, map_batches, map_partitions
+from placelab.llm.common import (
+    Rolling, as_bytes, blocks, fresh, lower_ascii, map_batches, map_partitions, mix, shingle_hashes, word_hashes,
+)
 from placelab.operators.components import connected_components
-from placelab.session import materialize
+from placelab.session import discard, materialize
 
 WORDS, DISTANCE, HASH_SEED = 3, 2, 42
 SHARD_SIZE, SAMPLE_SIZE, LEAF_SIZE = 4096, 32_768, 512
+COMPARED_WORDS, PARTS, PART_SHINGLES = 5, 12, 4
+_ROLLING = Rolling(53)
 _WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
-def shingle_counts(hashes: list[int]) -> np.ndarray:
+def shingle_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
     """How many hashes have each bit, highest first."""
     raw = np.array(hashes, np.uint64).byteswap().view(np.uint8).reshape(-1, 8)
     return np.unpackbits(raw, axis=1).sum(0, dtype=np.int64)
@@ -224,15 +228,100 @@ def components(
     return found.join(of_print, "fp").select(key, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, reach: int = DISTANCE) -> DataFrame:
-    """One row of every component, with all its columns: that of the smallest id, ids before nulls.
+def shingles(data: bytes) -> np.ndarray:
+    """Distinct hashes of the runs of COMPARED_WORDS words, in order."""
+    return np.unique(shingle_hashes(word_hashes(lower_ascii(data), _ROLLING), COMPARED_WORDS))
 
-    Rows that share this id are told apart by a hash of their text; of equal rows one stays.
+
+def part_prints(hashes: np.ndarray) -> list[int]:
+    """SimHash fingerprints of up to PARTS small parts of the shingles, in two sizes.
+
+    A part holds the shingles whose hash ends in its number, PART_SHINGLES to twice as
+    many on average, so texts that share four fifths of their shingles have some part
+    in common unless luck is very bad, however long they are.
+    """
+    if not len(hashes):
+        return []
+    level, found = max(int(np.log2(max(len(hashes) / PART_SHINGLES, 1))), 0), []
+    for bits in {level, max(level - 1, 0)}:
+        number = hashes & np.uint64((1 << bits) - 1)
+        for j in range(min(1 << bits, PARTS)):
+            part = hashes[number == j]
+            if len(part):
+                whole = int(_WEIGHTS[2 * shingle_counts(part) > len(part)].sum(dtype=np.uint64))
+                found.append((whole + ((bits << 8 | j) << 48) + len(part)) % (1 << 64))
+    return mix(np.array(found, np.uint64)).tolist()
+
+
+def similar(parted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) between rows of ``parted(node, parts)`` whose ``texts(node, body)`` share that much of their shingles.
+
+    Rows that share a part are compared with two rows of that part: the one that shares
+    most parts with others, which is what copies were made from, and a fixed one. So a
+    part of any size gives links in proportion to its rows.
+    """
+    rows = parted.select("node", F.explode(F.array_distinct("parts")).alias("part"))
+    shared = rows.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    both = materialize(rows.join(shared, "part"))
+    degrees = both.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = both.join(degrees, "node")
+    middles = ranked.groupBy("part").agg(
+        F.max(F.struct("degree", "node")).alias("most"), F.min("node").alias("least"))
+    pairs = materialize(both.join(middles, "part").select("node", F.explode(F.array("most.node", "least")).alias("middle")).filter(
+        "node <> middle").select(F.greatest("node", "middle").alias("u"), F.least("node", "middle").alias("v")).distinct())
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [(shingles(t) >> np.uint64(32)).astype(np.uint32) for t in as_bytes(batch.column(1))]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "words"])
+
+    sets = materialize(map_batches(
+        texts.select("node", "body").join(needed, "node"), pack, "node long, words binary").dropDuplicates(["node"]))
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = []
+        for x, y in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3))):
+            a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            common = len(np.intersect1d(a, b))
+            kept.append(common >= similarity * (len(a) + len(b) - common))
+        return pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("words").alias("x")), "u").join(
+        sets.select(F.col("node").alias("v"), F.col("words").alias("y")), "v").select("u", "v", "x", "y")
+    links = materialize(map_batches(sides, compare, "u long, v long"))
+    discard(both, pairs, sets)
+    return links
+
+
+def keep_first(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, reach: int = DISTANCE,
+    similarity: float | None = None,
+) -> DataFrame:
+    """One row of every group, with all its columns: that of the smallest id, ids before nulls.
+
+    Groups are the components of ``components``. With ``similarity``, groups are also
+    joined whose first rows share that much of their runs of five words; those are
+    found by equal SimHash fingerprints of small parts and compared shingle by shingle.
+    Rows that share an id are told apart by a hash of their text; of equal rows one stays.
     """
-    name, row = fresh(docs, "_name"), fresh(docs, "_row")
-    named = docs.select(text, F.struct(
-        F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash")).alias(name))
-    chosen = components(named, name, text, words, reach).select(F.xxhash64("component_id").alias(row)).distinct()
-    marked = docs.withColumn(row, F.xxhash64(F.struct(
-        F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))))
-    return marked.dropDuplicates([row]).join(chosen, row, "left_semi").drop(row)
+    row = fresh(docs, "_row")
+    name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
+    named = docs.select(name.alias("name"), F.col(text).alias("body"))
+    found = components(named, "name", "body", words, reach)
+    firsts = found.select(F.xxhash64("component_id").alias("node"), "component_id").distinct()
+    if similarity is not None:
+        firsts = materialize(firsts)
+        bodies = named.select(F.xxhash64("name").alias("node"), "body")
+
+        def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+            parts = [np.array(part_prints(shingles(t)), np.uint64).view(np.int64) for t in as_bytes(batch.column(1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int64()))], ["node", "parts"])
+
+        parted = materialize(map_batches(bodies, sketch, "node long, parts array<long>"))
+        parted = parted.join(firsts.select("node"), "node", "left_semi").dropDuplicates(["node"])
+        groups = connected_components(similar(parted, bodies, similarity))
+        firsts = firsts.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("node")).agg(
+            F.min("component_id").alias("component_id"))
+    chosen = firsts.select(F.xxhash64("component_id").alias(row))
+    return docs.withColumn(row, F.xxhash64(name)).dropDuplicates([row]).join(chosen, row, "left_semi").drop(row)

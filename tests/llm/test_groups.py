@@ -223,6 +223,37 @@ def test_components_of_a_table(messy, messy_rows, nothing):
         (g not in names, names.get(g, 0)) for g in set(groups))
 
 
+def test_similar_texts_are_grouped(spark):
+    """Copies that share four fifths of their runs of five words go, however long; others stay."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=5))
+    passage = [word() for _ in range(60)]
+    rows = []
+    for n in (12, 30, 100, 100, 100, 400, 3000):
+        base = [word() for _ in range(n)]
+        rows.append((len(rows), " ".join(base)))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(max(1, n // 100)):
+                copy[rng.randrange(4, n - 4)] = word()
+            rows.append((len(rows), " ".join(copy)))
+    for _ in range(12):  # a passage that many share does not make them alike
+        rows.append((len(rows), " ".join([word() for _ in range(80)] + passage + [word() for _ in range(80)])))
+    sets = [set(zip(*[text.split()[i:] for i in range(5)])) for _, text in rows]
+    prints, first = [plain_print(text) for _, text in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= simhash.DISTANCE
+            if near or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = max(first[i], first[j]), min(first[i], first[j])
+                first = [new if f == old else f for f in first]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.keep_first(docs, similarity=0.8).collect()}
+    assert set(first) - kept == set()
+    assert len(kept) <= len(set(first)) + 1
+    assert len(set(first)) < len(rows) - 20
+
+
 def test_pipeline_stages(spark, ids_of):
     """Every stage against what its predecessor kept; the last one packs exactly the texts it got."""
     import corpus_pipeline as pipeline
