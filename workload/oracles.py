@@ -111,7 +111,9 @@ def _harvest_oracles() -> dict[str, str]:
 """
     return {
         "harvest_links": with_views("+" + _harvest(10, 3) + listed.format(40), "observations"),
-        "harvest_links_impatient": with_views("+" + _harvest(200, 1) + listed.format(1000), "observations"),
+        "harvest_links_impatient": with_views(
+            f"+sparse AS ({views.SPARSE_OBSERVATIONS}), " + _harvest(200, 1).replace("FROM observations", "FROM sparse") + listed.format(1000),
+            "observations"),
         "search_places": with_views("+" + _harvest(10, 3) + found, "observations", "event_captures", "event_tasks"),
     }
 
@@ -205,7 +207,6 @@ def _unescaped(text: str) -> str:
 def _place_oracles() -> dict[str, str]:
     stars = ", ".join(f"CASE WHEN bars >= {6 - s} THEN {_first_int(f'b{6 - s}')} END AS star_{s}" for s in range(1, 6))
     counts = "SELECT {c}, places FROM (SELECT {c}, count(*) AS places FROM places WHERE {c} IS NOT NULL GROUP BY {c}{cut}) x WHERE {c} <> ''"
-    cut = " ORDER BY places DESC, {c} LIMIT 10"
     overview = """SELECT count(*) AS total_places, round(avg(rating), 6) AS avg_rating, count(rating) AS rated_places, count(phone) AS with_phone, count(website) AS with_website,
  count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) AS with_coords,
  round(count(*) FILTER (WHERE latitude IS NOT NULL AND longitude IS NOT NULL) * 100.0E0 / count(*), 6) AS coords_pct FROM places"""
@@ -232,7 +233,7 @@ def _place_oracles() -> dict[str, str]:
         "io_merge_counts": """SELECT 'task_' || substr('abc', CAST(c_custkey % 3 AS INTEGER) + 1, 1) || '.csv' AS source_file,
   count(*) AS places FROM customer GROUP BY 1""",
         "stream_places": assembled,
-        "place_dedup_task": _from_places("SELECT task_id, rank, link, name FROM (SELECT *, row_number() OVER (PARTITION BY task_id, link ORDER BY rank) AS rn FROM places) x WHERE rn = 1"),
+        "place_dedup_task": _from_places("SELECT task_id, rank, 'u' || CAST(rank % 70 AS VARCHAR) AS link, name FROM (SELECT *, row_number() OVER (PARTITION BY task_id, rank % 70 ORDER BY rank) AS rn FROM places) x WHERE rn = 1"),
         "place_dedup_global": _from_keyed("SELECT task_id, rank, name, latitude, longitude FROM (SELECT *, row_number() OVER (PARTITION BY name, key_lat, key_lon ORDER BY task_id, rank) AS rn FROM keyed) x WHERE rn = 1"),
         "place_duplicates": _from_keyed("SELECT name, key_lat, key_lon, count(*) AS copies FROM keyed GROUP BY ALL HAVING count(*) > 1"),
         "place_duplicate_searches": _from_keyed(
@@ -246,13 +247,16 @@ def _place_oracles() -> dict[str, str]:
         "task_outcomes": """WITH found AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 AND c_nationkey % 6 <> 5 GROUP BY 1)
  SELECT CAST(n_nationkey AS BIGINT) AS task_id, n_name AS keyword, coalesce(n, 0) AS places_found, coalesce(n, 0) = 0 AS "empty",
  CAST(sum(coalesce(n, 0)) OVER (ORDER BY n_nationkey) AS BIGINT) AS running_total FROM nation LEFT JOIN found ON k = n_nationkey""",
-        "summary_category_top10": _from_places(counts.format(c="category", cut=cut.format(c="category"))),
+        "summary_category_top10": _from_places(
+            """SELECT category, places FROM (SELECT CASE WHEN rank % 13 = 0 THEN '' ELSE 'c' || CAST(rank * rank % 29 AS VARCHAR) END AS category,
+  count(*) AS places FROM places GROUP BY 1 ORDER BY places DESC, category LIMIT 10) x WHERE category <> ''"""),
         "summary_city": _from_places(counts.format(c="city", cut="")),
-        "summary_district_top10": _from_places(counts.format(c="district", cut=cut.format(c="district"))),
+        "summary_district_top10": _from_places(
+            "SELECT 'd' || CAST(rank % 23 AS VARCHAR) AS district, count(*) AS places FROM places GROUP BY 1 ORDER BY places DESC, district LIMIT 10"),
         "summary_overview": _from_places(overview),
         "stream_summary": _from_places(overview),
         "place_preview": _from_places("SELECT task_id, rank, name, city FROM places ORDER BY task_id, rank LIMIT 50"),
-        "io_task_files": _from_places("SELECT 'task_' || lpad(CAST(task_id AS VARCHAR), 3, '0') || '_toko_a_b_x_' || CAST(task_id AS VARCHAR) AS task_slug, count(*) AS places FROM places GROUP BY 1"),
+        "io_task_files": _from_places("SELECT 'task_' || lpad(CAST(task_id AS VARCHAR), 3, '0') || '_toko_a_b_x_' || CAST(task_id AS VARCHAR) AS task_slug, name, link, zip_code FROM places"),
         "row_numbers": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_id FROM orders",
         "io_merchants": "SELECT CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) AS numbers FROM customer",
     }
@@ -447,6 +451,11 @@ def _poi_oracles() -> dict[str, str]:
         "poi_coverage": found(300.0, 15, _COVERAGE),
         "poi_map_layers": found(500.0, 15, _LAYERS),
         "poi_relaxed": found(600.0, 10, _POI_ROWS),
+        "poi_kmeans_trim": with_views(f"""+lab AS (SELECT *, CAST(substr(city, 8) AS INTEGER) AS l FROM merchants),
+ means AS (SELECT l, avg(latitude) AS la, avg(longitude) AS lo, min(row_id) AS f FROM lab GROUP BY l HAVING count(*) >= 60),
+ inside AS (SELECT m.row_id, m.l, x.f FROM lab m JOIN means x ON x.l = m.l WHERE {hav('x.la', 'x.lo', 'm.latitude', 'm.longitude')} <= 700),
+ kept AS (SELECT l, row_number() OVER (ORDER BY min(f)) - 1 AS k FROM inside GROUP BY l HAVING count(*) >= 60)
+ SELECT m.row_id, CAST(coalesce(k.k, -1) AS INTEGER) AS poi_cluster FROM lab m LEFT JOIN inside i ON i.row_id = m.row_id LEFT JOIN kept k ON k.l = i.l""", "merchants"),
         "poi_adaptive": fitted(_POI_ROWS),
         "poi_adaptive_membership": fitted(_MEMBER_ROWS),
     }

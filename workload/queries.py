@@ -152,7 +152,9 @@ def harvest_links(t: Tables) -> DataFrame:
 
 
 def harvest_links_impatient(t: Tables) -> DataFrame:
-    return harvest.harvest_links(t.observations(), max_results=1000, max_scrolls=200, patience=1)
+    """Tasks stop at the first scroll without a new link, which most of them meet."""
+    t.observations().createOrReplaceTempView("observations")
+    return harvest.harvest_links(t.spark.sql(views.SPARSE_OBSERVATIONS), max_results=1000, max_scrolls=200, patience=1)
 
 
 def search_places(t: Tables) -> DataFrame:
@@ -206,7 +208,8 @@ def place_assemble(t: Tables) -> DataFrame:
 
 
 def place_dedup_task(t: Tables) -> DataFrame:
-    return P.first_per_link(t.places()).select("task_id", "rank", "link", "name")
+    few = F.concat(F.lit("u"), (F.col("rank") % 70).cast("string"))  # links that a task meets again and again
+    return P.first_per_link(t.places().withColumn("link", few)).select("task_id", "rank", "link", "name")
 
 
 def _recurring(t: Tables) -> DataFrame:
@@ -260,7 +263,9 @@ def task_outcomes(t: Tables) -> DataFrame:
 
 
 def summary_category_top10(t: Tables) -> DataFrame:
-    return summary.top_categories(t.places())
+    """Some thirty values, one of them blank: it takes part in the cut and is hidden afterwards."""
+    named = F.when(F.col("rank") % 13 == 0, "").otherwise(F.concat(F.lit("c"), (F.col("rank") * F.col("rank") % 29).cast("string")))
+    return summary.top_categories(t.places().withColumn("category", named))
 
 
 def summary_city(t: Tables) -> DataFrame:
@@ -268,7 +273,8 @@ def summary_city(t: Tables) -> DataFrame:
 
 
 def summary_district_top10(t: Tables) -> DataFrame:
-    return summary.top_districts(t.places())
+    """More values than are kept, most of them equally frequent."""
+    return summary.top_districts(t.places().withColumn("district", F.concat(F.lit("d"), (F.col("rank") % 23).cast("string"))))
 
 
 def summary_overview(t: Tables) -> DataFrame:
@@ -385,19 +391,26 @@ def poi_kmeans(t: Tables) -> DataFrame:
     return _rounded_pois(kmeans.detect_kmeans(t.merchants(), max_radius=350.0, min_merchants=NEEDED).pois)
 
 
+def poi_kmeans_trim(t: Tables) -> DataFrame:
+    """The trimming of given clusters: those of the merchants' nations."""
+    labels = t.merchants().withColumn("_label", F.expr("CAST(substring(city, 8) AS INT)"))
+    found = kmeans.trim(labels, 700.0, 60, "latitude", "longitude", "row_id")
+    return found.select("row_id", F.col("poi_cluster").cast("int").alias("poi_cluster"))
+
+
 def poi_sweep(t: Tables) -> DataFrame:
     return _round(sweep.sweep(t.merchants()), coverage=6)
 
 
 def poi_sweep_top(t: Tables) -> DataFrame:
-    results = materialize(sweep.sweep(t.merchants(), restarts=2))
+    results = materialize(sweep.sweep(t.merchants()))
     listed = [("most_pois", sweep.top(results, "pois_found", 10)), ("most_coverage", sweep.top(results, "coverage", 5)),
               ("best", sweep.best(results))]
     return P.union_all([df.withColumn("list", F.lit(name)) for name, df in listed])
 
 
 def poi_solution(t: Tables) -> DataFrame:
-    return solution.solution_summary(solution.solve(t.dirty(), "row_id", restarts=2))
+    return solution.solution_summary(solution.solve(t.dirty(), "row_id"))
 
 
 def poi_relaxed(t: Tables) -> DataFrame:
@@ -421,7 +434,7 @@ def io_task_files(t: Tables) -> DataFrame:
     tagged = t.places().withColumns({"search_keyword": F.lit("toko/a b"), "search_location": F.concat(F.lit("x, "), F.col("task_id").cast("string"))})
     sinks.write_per_task(tagged, path)
     written = readers.read_text_table(t.spark, path, sinks.RESULT_SEP)
-    return written.groupBy("task_slug").agg(F.count("*").alias("places"))
+    return written.select("task_slug", "name", "link", "zip_code")
 
 
 def _layouts(t: Tables) -> str:
@@ -489,7 +502,7 @@ def stream_dedup(t: Tables) -> DataFrame:
     path, written = _capture_files(t)
     arriving = incremental.places(incremental.read_captures(t.spark, path, written.schema))
     named = arriving.withColumn("name", F.concat(F.lit("Shop "), (F.col("rank") % 40).cast("string")))
-    return _drained(t, incremental.dedup(named, "30 days")).select("name", "latitude", "longitude").distinct()
+    return _drained(t, incremental.dedup(named, "30 days")).select("name", "latitude", "longitude")
 
 
 def stream_summary(t: Tables) -> DataFrame:
@@ -511,7 +524,7 @@ _PLAIN = [
     summary_city, summary_district_top10, summary_overview, place_preview, coord_diagnose, coord_suggest,
     coord_profile, coord_clean, coord_reject_counts, coord_repair_only, geo_distance, neighbor_pairs, neighbor_lists,
     neighbor_counts, dense_merchants, poi_dbscan_membership, poi_dbscan_summary, poi_statistics, poi_coverage,
-    poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_sweep, poi_sweep_top, poi_solution,
+    poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_solution,
     poi_relaxed, io_delimited, io_task_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
     stream_summary,
 ]

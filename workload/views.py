@@ -33,6 +33,12 @@ SELECT user_id AS task_id, CAST(floor((rn - 1) / 8) AS INT) AS scroll_no, CAST((
 FROM (SELECT user_id, props, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) t
 """
 
+# few new links, so that some scrolls bring none
+SPARSE_OBSERVATIONS = """
+SELECT task_id, scroll_no, pos, concat('h', CAST(floor((scroll_no * 8 + pos + task_id % 9) / 20E0) AS BIGINT)) AS href
+FROM observations
+"""
+
 # keyword and location positions follow the text, so that task numbers are the same everywhere
 KEYWORDS = """
 SELECT CAST(row_number() OVER (ORDER BY keyword) - 1 AS BIGINT) AS pos, keyword
