@@ -59,13 +59,15 @@ def profile(df: DataFrame, lat: str = LAT, lon: str = LON, order_col: str | None
             F.min(number).alias(f"{kind}_min"),
             F.max(number).alias(f"{kind}_max"),
             F.coalesce(width, F.lit(0)).cast("long").alias(f"{kind}_width"),
+            # a long plain number is not two joined ones
+            F.coalesce(width if order_col else F.max(F.when(number.isNull(), size)), F.lit(0)).cast("long").alias(f"{kind}_joined"),
         ]
     wide = df.agg(F.count("*").alias("rows"), *aggregates)
     stats = F.array(*[
         F.struct(
             F.lit(column).alias("column"), F.lit(kind).alias("kind"), F.lit(_is_text(df, column)).alias("is_text"),
             F.col("rows"),
-            *[F.col(f"{kind}_{s}").alias(s) for s in ("nulls", "numbers", "min", "max", "width")],
+            *[F.col(f"{kind}_{s}").alias(s) for s in ("nulls", "numbers", "min", "max", "width", "joined")],
         )
         for kind, column in (("lat", lat), ("lon", lon))
     ])
@@ -92,9 +94,9 @@ def diagnose(df: DataFrame, lat: str = LAT, lon: str = LON, order_col: str | Non
         ("string_type", F.col("is_text"), F.lit(None).cast("long"), F.concat(column, F.lit(" holds text"))),
         ("nulls", F.col("nulls") > 0, F.col("nulls"),
          F.concat(F.col("nulls").cast("string"), F.lit(" null values in "), column)),
-        ("concatenated", F.col("is_text") & (F.col("width") > LONGEST_PLAIN_VALUE), F.col("width"),
+        ("concatenated", F.col("is_text") & (F.col("joined") > LONGEST_PLAIN_VALUE), F.col("joined"),
          F.concat(F.lit("suspected concatenated values in "), column, F.lit(" (length "),
-                  F.col("width").cast("string"), F.lit(")"))),
+                  F.col("joined").cast("string"), F.lit(")"))),
         ("invalid_range", ~F.coalesce(in_range, F.lit(False)), F.lit(None).cast("long"),
          F.concat(F.lit("invalid range of "), column, F.lit(": "),
                   F.coalesce(F.col("min").cast("string"), F.lit("none")), F.lit(" to "),

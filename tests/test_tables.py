@@ -139,3 +139,8 @@ def test_diagnose_first_value_only(spark):
 def test_synthetic_merchants(spark):
     df = samples.synthetic_merchants(spark, 1000)
     assert df.count() == 1000 and clean.diagnose(df).isEmpty()
+
+
+def test_one_long_number_is_not_joined(spark):
+    rows = spark.createDataFrame([(0, "-6.1234567890123456", "106.8"), (1, "-6.2", "106.9")], "row_id long, latitude string, longitude string")
+    assert "concatenated" not in {r.code for r in clean.diagnose(rows).collect()}
