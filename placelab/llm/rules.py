@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placelab.llm.common import SPACE_PATTERN
+from placelab.llm.common import SPACE_PATTERN, SPACES
 
 # The common words of each language that the histograms count.
 COMMON_WORDS = {
@@ -33,7 +33,8 @@ ANY = "*"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), lambda w: w != "")
+    bare = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES.decode()))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_PATTERN))
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
