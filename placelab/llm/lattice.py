@@ -198,8 +198,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """(key, *keep, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     keep = keep or {}
     short = F.octet_length("word") <= FREQUENT_BYTES
-    top = model.words.filter(short).orderBy(F.desc("seen"), "word").limit(FREQUENT).select("word", "c", "log10p", "seen")
-    table = top.toArrow()  # FREQUENT rows of bounded length
+    # the smallest count that at most FREQUENT words reach; a count is held by a word at least
+    held = model.words.filter(short).groupBy("seen").count().orderBy(F.desc("seen")).limit(FREQUENT).collect()
+    reached = np.cumsum([r["count"] for r in held])
+    least = max([r.seen for r, n in zip(held, reached) if n > FREQUENT], default=-1) + 1
+    top = model.words.filter(short & (F.col("seen") >= least)).select("word", "c", "log10p")
+    table = top.toArrow()  # at most FREQUENT rows of bounded length
     frequent = dict(zip(
         table.column("word").to_pylist(),
         zip((np.log10(table.column("c").to_numpy() + 0.5)).tolist(), (table.column("c").to_numpy() > 0).tolist(), table.column("log10p").to_pylist()),

@@ -237,7 +237,7 @@ def test_lattice_sums_over_all_spellings():
     assert math.isclose(counts["▁ab"], 2 * math.exp(-3.0 - found)) and math.isclose(counts["ab"], 2 * math.exp(-2.7 - found))
 
 
-def test_lattice_over_odd_tables(messy, messy_rows, nothing):
+def test_lattice_over_odd_tables(messy, messy_rows, nothing, monkeypatch):
     trained = ~held_out("doc_id", 5, 1)
     path = public_path("piece_bpe_32k.model")
     got = lattice.score(messy, lattice.learn(messy, path, trained)).collect()
@@ -245,6 +245,11 @@ def test_lattice_over_odd_tables(messy, messy_rows, nothing):
     by_text = sorted((len((r[1] or "").encode().split()) + 1) for r in messy_rows)
     assert sorted(r.n_tokens for r in got) == by_text
     assert lattice.score(nothing, lattice.learn(nothing, path, trained)).count() == 0
+    model = lattice.learn(messy, path, trained)
+    monkeypatch.setattr(lattice, "FREQUENT", 3)  # nearly all words are joined
+    joined = lattice.score(messy, model).collect()
+    key = lambda r: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
+    assert sorted(map(key, joined)) == sorted(map(key, got))
     untrained = lattice.score(messy, lattice.learn(messy, path, F.lit(False))).collect()
     assert {r.n_known for r in untrained} == {0} and all(r.score < 0 for r in untrained)
 
