@@ -178,7 +178,7 @@ def learn(
     )
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     sample = materialize(texts.join(F.broadcast(chosen), "_k"))  # at most max_train ids
-    spread = sample.repartition(FIT_TASKS, "_k")
+    spread = sample.repartition(FIT_TASKS)
 
     def counted(part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -203,11 +203,11 @@ def learn(
         for batch in part:
             for t in as_text(batch.column(0)):
                 context_sums(vocabulary.numbers(words_of(t)), index, sums)
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<i8").tobytes()])], ["v"])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<i4").tobytes()])], ["v"])
 
     sums = np.zeros_like(index)
     for row in map_partitions(spread.select("_t"), contexts, "v binary").collect():  # FIT_TASKS rows of fixed size
-        sums += np.frombuffer(row.v, "<i8").reshape(sums.shape)
+        sums += np.frombuffer(row.v, "<i4").reshape(sums.shape)
     norms = np.linalg.norm(sums, axis=1, keepdims=True)
     vectors = (sums / np.maximum(norms, 1)).astype(np.float32)
     model = Classifier(vocabulary, vectors, (), 1.0)
