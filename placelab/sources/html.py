@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placelab.schemas import CAPTURE
+from placelab.session import ship_package
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template", "noscript", "head"))
@@ -168,6 +169,7 @@ def extract_fields(pages: DataFrame, texts: dict[str, str] | None = None,
                 out[c] = [None if e is None else e.attrs.get(name) for e in found]
             yield out
 
+    ship_package(pages.sparkSession)
     return pages.mapInPandas(read, schema)
 
 
@@ -213,6 +215,7 @@ def captures_from_pages(pages: DataFrame) -> DataFrame:
             found = pd.DataFrame([one(h) for h in batch["html"]], index=batch.index)
             yield pd.concat([batch.drop(columns="html"), found], axis=1).reindex(columns=names)
 
+    ship_package(rows.sparkSession)
     return rows.mapInPandas(read, CAPTURE)
 
 
@@ -236,4 +239,5 @@ def observations_from_panels(panels: DataFrame) -> DataFrame:
                         break
             yield pd.DataFrame(rows, columns=["task_id", "scroll_no", "pos", "href"])
 
+    ship_package(panels.sparkSession)
     return panels.select("task_id", "scroll_no", "html").mapInPandas(read, schema)

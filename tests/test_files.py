@@ -1,4 +1,7 @@
 import datetime
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +145,21 @@ def test_materialized_tables_are_read_back_and_removed(spark):
     discard(table)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FAILED_READ_FILE"):
         spark.read.parquet(table._placelab_path).count()
+
+
+def test_workers_need_no_path_to_the_package(tmp_path):
+    """Started in another folder, with the path set in the driver only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from placelab.session import discard_all, local_session, materialize
+from placelab.sources import html
+spark = local_session("elsewhere", cores="1")
+page = spark.createDataFrame([(1, "<h1>x</h1>")], "page_id int, html string")
+print("GOT", materialize(html.extract_fields(page, {{"t": "h1"}})).first().t)
+discard_all(spark)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "GOT x" in done.stdout, done.stderr[-2000:]
