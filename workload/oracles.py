@@ -422,6 +422,20 @@ def _adaptive(radius: float, needed: int) -> str:
 """
 
 
+def _density_sweep() -> str:
+    """Parameter sets of the density detectors, in the published order; coverage is not rounded yet."""
+    parts, ord_ = [], 0
+    for method, radii, text in (("DBSCAN", (200, 300, 500), _dbscan), ("Adaptive", (400, 600, 800), _adaptive)):
+        for radius in radii:
+            for needed in (15, 20, 30):
+                body = f"""SELECT CAST({ord_} AS INTEGER) AS ord, '{method}_r{radius}_m{needed}' AS config, '{method}' AS method, CAST({radius} AS INTEGER) AS radius,
+ CAST({needed} AS INTEGER) AS min_merchants, count(DISTINCT poi_cluster) FILTER (WHERE poi_cluster >= 0) AS pois_found,
+ count(*) FILTER (WHERE poi_cluster >= 0) * 100.0E0 / count(*) AS coverage FROM member"""
+                parts.append(f"SELECT * FROM ({with_views(text(float(radius), needed) + body, 'merchants', recursive=True)}) t{ord_}")
+                ord_ += 1
+    return " UNION ALL ".join(parts)
+
+
 def _poi_oracles() -> dict[str, str]:
     near = with_views("+" + _pairs(300.0) + " SELECT a_id, b_id, round(hav_m, 3) AS hav_m FROM pairs", "merchants")
     planar = _PLANAR.format(t=_TOLERANCE.format(r=300.0))
@@ -451,6 +465,12 @@ def _poi_oracles() -> dict[str, str]:
         "poi_coverage": found(300.0, 15, _COVERAGE),
         "poi_map_layers": found(500.0, 15, _LAYERS),
         "poi_relaxed": found(600.0, 10, _POI_ROWS),
+        "poi_sweep_density": f"SELECT * REPLACE (round(coverage, 6) AS coverage) FROM ({_density_sweep()}) s",
+        "poi_sweep_density_top": f"""WITH s AS ({_density_sweep()}), listed AS (
+ SELECT *, 'most_pois' AS list FROM (SELECT * FROM s ORDER BY pois_found DESC, ord LIMIT 10) a
+ UNION ALL SELECT *, 'most_coverage' FROM (SELECT * FROM s ORDER BY coverage DESC, ord LIMIT 5) b
+ UNION ALL SELECT *, 'best' FROM (SELECT * FROM s ORDER BY pois_found DESC, ord LIMIT 1) c)
+SELECT * REPLACE (round(coverage, 6) AS coverage) FROM listed""",
         "poi_kmeans_trim": with_views(f"""+lab AS (SELECT *, CAST(substr(city, 8) AS INTEGER) AS l FROM merchants),
  means AS (SELECT l, avg(latitude) AS la, avg(longitude) AS lo, min(row_id) AS f FROM lab GROUP BY l HAVING count(*) >= 60),
  inside AS (SELECT m.row_id, m.l, x.f FROM lab m JOIN means x ON x.l = m.l WHERE {hav('x.la', 'x.lo', 'm.latitude', 'm.longitude')} <= 700),

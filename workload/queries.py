@@ -402,13 +402,28 @@ def poi_sweep(t: Tables) -> DataFrame:
     return _round(sweep.sweep(t.merchants()), coverage=6)
 
 
-def poi_sweep_top(t: Tables) -> DataFrame:
-    results = materialize(sweep.sweep(t.merchants()))
+def _lists(results: DataFrame) -> DataFrame:
     listed = [("most_pois", sweep.top(results, "pois_found", 10)), ("most_coverage", sweep.top(results, "coverage", 5)),
               ("best", sweep.best(results))]
     return P.union_all([df.withColumn("list", F.lit(name)) for name, df in listed])
 
 
+def poi_sweep_top(t: Tables) -> DataFrame:
+    return _lists(materialize(sweep.sweep(t.merchants())))
+
+
+def _density_sweep(t: Tables) -> DataFrame:
+    return sweep.sweep(t.merchants(), methods=("DBSCAN", "Adaptive")).drop("error")
+
+
+def poi_sweep_density(t: Tables) -> DataFrame:
+    return _round(_density_sweep(t), coverage=6)
+
+
+def poi_sweep_density_top(t: Tables) -> DataFrame:
+    return _round(_lists(materialize(_density_sweep(t))), coverage=6)
+
+
 def poi_solution(t: Tables) -> DataFrame:
     return solution.solution_summary(solution.solve(t.dirty(), "row_id"))
 
@@ -524,7 +539,8 @@ _PLAIN = [
     summary_city, summary_district_top10, summary_overview, place_preview, coord_diagnose, coord_suggest,
     coord_profile, coord_clean, coord_reject_counts, coord_repair_only, geo_distance, neighbor_pairs, neighbor_lists,
     neighbor_counts, dense_merchants, poi_dbscan_membership, poi_dbscan_summary, poi_statistics, poi_coverage,
-    poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_solution,
+    poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_sweep_density,
+    poi_sweep_density_top, poi_solution,
     poi_relaxed, io_delimited, io_task_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
     stream_summary,
 ]
