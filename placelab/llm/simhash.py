@@ -31,7 +31,7 @@ from placelab.session import discard, materialize
 
 WORDS, DISTANCE, HASH_SEED = 3, 2, 42
 SHARD_SIZE, SAMPLE_SIZE, LEAF_SIZE = 4096, 32_768, 512
-COMPARED_WORDS, PARTS, PART_SHINGLES = 5, 12, 4
+COMPARED_WORDS, PARTS, PART_SHINGLES, BLOCK_ROWS = 5, 12, 4, 256
 _ROLLING = Rolling(53)
 _WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
@@ -253,22 +253,8 @@ def part_prints(hashes: np.ndarray) -> list[int]:
     return mix(np.array(found, np.uint64)).tolist()
 
 
-def similar(parted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) between rows of ``parted(node, parts)`` whose ``texts(node, body)`` share that much of their shingles.
-
-    Rows that share a part are compared with two rows of that part: the one that shares
-    most parts with others, which is what copies were made from, and a fixed one. So a
-    part of any size gives links in proportion to its rows.
-    """
-    rows = parted.select("node", F.explode(F.array_distinct("parts")).alias("part"))
-    shared = rows.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    both = materialize(rows.join(shared, "part"))
-    degrees = both.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = both.join(degrees, "node")
-    middles = ranked.groupBy("part").agg(
-        F.max(F.struct("degree", "node")).alias("most"), F.min("node").alias("least"))
-    pairs = materialize(both.join(middles, "part").select("node", F.explode(F.array("most.node", "least")).alias("middle")).filter(
-        "node <> middle").select(F.greatest("node", "middle").alias("u"), F.least("node", "middle").alias("v")).distinct())
+def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose ``texts(node, body)`` share that much of their shingles."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -290,10 +276,52 @@ def similar(parted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     sides = pairs.join(sets.select(F.col("node").alias("u"), F.col("words").alias("x")), "u").join(
         sets.select(F.col("node").alias("v"), F.col("words").alias("y")), "v").select("u", "v", "x", "y")
     links = materialize(map_batches(sides, compare, "u long, v long"))
-    discard(both, pairs, sets)
+    discard(sets)
     return links
 
 
+def pairs_apart(both: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (u, v) of rows of ``both(part, node)`` that share a part but no group of ``groups(node, component)``.
+
+    Parts within one group have none. The others are cut into blocks of about
+    BLOCK_ROWS rows, and every block meets every block of its part.
+    """
+    rows = both.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rows.groupBy("part").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("rows"),
+    ).filter("least <> most").select("part", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rows.join(mixed, "part").withColumn("own", F.pmod(F.xxhash64("node", "part"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.select("part", F.col("own").alias("i"), every.alias("j"), F.col("node").alias("a"), F.col("component").alias("c"))
+    right = rows.select("part", every.alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("component").alias("d"))
+    return left.join(right, ["part", "i", "j"]).filter("c < d").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def similar(parted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join exactly the rows of ``parted(node, parts)`` that share a part and that much of their shingles.
+
+    Shingles are those of ``texts(node, body)``. Rows that share a part are first compared
+    with two rows of that part: the one that shares most parts with others, which is what
+    copies were made from, and a fixed one. Then all pairs are compared that share a part
+    and are not yet in one group.
+    """
+    rows = parted.select("node", F.explode(F.array_distinct("parts")).alias("part"))
+    shared = rows.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+    both = materialize(rows.join(shared, "part"))
+    degrees = both.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = both.join(degrees, "node")
+    middles = ranked.groupBy("part").agg(
+        F.max(F.struct("degree", "node")).alias("most"), F.min("node").alias("least"))
+    pairs = materialize(both.join(middles, "part").select("node", F.explode(F.array("most.node", "least")).alias("middle")).filter(
+        "node <> middle").select(F.greatest("node", "middle").alias("u"), F.least("node", "middle").alias("v")).distinct())
+    links = alike(pairs, texts, similarity)
+    rest = materialize(pairs_apart(both, connected_components(links)))
+    more = alike(rest, texts, similarity)
+    discard(both, pairs, rest)
+    return links.unionByName(more)
+
+
 def keep_first(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, reach: int = DISTANCE,
     similarity: float | None = None,

@@ -254,6 +254,38 @@ def test_similar_texts_are_grouped(spark):
     assert len(set(first)) < len(rows) - 20
 
 
+def set_groups(sets, similarity=0.8):
+    """The first member of every set's group, by all pairs."""
+    first = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if first[i] != first[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                old, new = max(first[i], first[j]), min(first[i], first[j])
+                first = [new if f == old else f for f in first]
+    return first
+
+
+def link_groups(links, n):
+    first = list(range(n))
+    for u, v in links:
+        a, b = first[u], first[v]
+        first = [min(a, b) if f in (a, b) else f for f in first]
+    return first
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_all_rows_of_a_part_are_compared(spark, monkeypatch, block):
+    """A chain in one part whose links do not touch the two rows that all are compared with first."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[9 * i : 9 * i + 104]) for i in range(20)]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    parted = spark.createDataFrame([(i, [7]) for i in range(20)], "node long, parts array<long>")
+    bodies = spark.createDataFrame(list(enumerate(texts)), "node long, body string")
+    found = link_groups(simhash.similar(parted, bodies, 0.8).collect(), 20)
+    assert found == set_groups(sets) == [0] * 20
+
+
 def test_pipeline_stages(spark, ids_of):
     """Every stage against what its predecessor kept; the last one packs exactly the texts it got."""
     import corpus_pipeline as pipeline
