@@ -20,18 +20,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placelab.llm.common import (
-    Rolling, as_bytes, blocks, fresh, lower_ascii, map_batches, map_partitions, mix, shingle_hashes, word_hashes,
+    SLICE_ROWS, Rolling, as_bytes, blocks, fresh, lower_ascii, map_batches, map_partitions, mix, shingle_hashes, word_hashes,
 )
 from placelab.operators.components import connected_components
 from placelab.session import discard, materialize
 
 WORDS, DISTANCE, HASH_SEED = 3, 2, 42
 SHARD_SIZE, SAMPLE_SIZE, LEAF_SIZE = 4096, 32_768, 512
-COMPARED_WORDS, PARTS, PART_SHINGLES, BLOCK_ROWS = 5, 12, 4, 256
+COMPARED_WORDS, BLOCK_ROWS = 5, 256
+#: One text of so many is counted for the common shingles; they decide the work, not the result.
+COUNTED, LEAST_COUNTED, MAX_COMMON = 16, 6, 100_000
+SEEN_TEXTS = 1_000_000
 _ROLLING = Rolling(53)
 _WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
@@ -233,24 +236,66 @@ def shingles(data: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(lower_ascii(data), _ROLLING), COMPARED_WORDS))
 
 
-def part_prints(hashes: np.ndarray) -> list[int]:
-    """SimHash fingerprints of up to PARTS small parts of the shingles, in two sizes.
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a text in one order for all texts, so many that similar texts share one of them.
 
-    A part holds the shingles whose hash ends in its number, PART_SHINGLES to twice as
-    many on average, so texts that share four fifths of their shingles have some part
-    in common unless luck is very bad, however long they are.
+    Of n shingles, a text that shares ``similarity`` of all shingles with another lacks
+    less than this prefix in the other; so each of the two has a shared one in its
+    prefix, and the first shared one is in both. ``common`` shingles come last, the
+    rarest of them first.
     """
-    if not len(hashes):
-        return []
-    level, found = max(int(np.log2(max(len(hashes) / PART_SHINGLES, 1))), 0), []
-    for bits in {level, max(level - 1, 0)}:
-        number = hashes & np.uint64((1 << bits) - 1)
-        for j in range(min(1 << bits, PARTS)):
-            part = hashes[number == j]
-            if len(part):
-                whole = int(_WEIGHTS[2 * shingle_counts(part) > len(part)].sum(dtype=np.uint64))
-                found.append((whole + ((bits << 8 | j) << 48) + len(part)) % (1 << 64))
-    return mix(np.array(found, np.uint64)).tolist()
+    places = np.minimum(np.searchsorted(common["shingle"], hashes), max(len(common) - 1, 0))
+    weights = np.where(common["shingle"][places] == hashes, common["count"][places], 0) if len(common) else np.zeros(len(hashes), np.int64)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, weights))[: n - int(np.ceil(similarity * n - 1e-6)) + 1]] if n else hashes
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """(shingle, count) of shingles that are frequent in a fixed share of ``texts(node, body)``, sorted by shingle."""
+    def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(t) for t in as_bytes(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["shingle"])
+
+    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).select("body")
+    counts = map_batches(sample, worker, "shingle long").groupBy("shingle").agg(F.count("*").alias("count"))
+    top = counts.filter(F.col("count") >= LEAST_COUNTED).orderBy(F.desc("count"), "shingle").limit(MAX_COMMON).toArrow()
+    found = np.zeros(top.num_rows, [("shingle", np.uint64), ("count", np.int64)])
+    found["shingle"], found["count"] = top.column("shingle").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    return np.sort(found, order="shingle")
+
+
+def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """(part, node, at, size, n): the shingles in the prefixes of two or more of ``texts(node, body)``.
+
+    ``at`` is the place in the prefix, ``size`` the number of shingles of the text, ``n`` that of texts.
+    """
+    common = common_shingles(texts)
+
+    def worker(batches):
+        seen = set()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(begin, SLICE_ROWS)
+                found, nodes, sizes = [], [], []
+                for node, t in zip(some.column(0).to_pylist(), as_bytes(some.column(1))):
+                    if node not in seen:  # copies would only give the same rows again
+                        if len(seen) >= SEEN_TEXTS:
+                            seen.clear()
+                        seen.add(node)
+                        hashes = shingles(t)
+                        found.append(prefix(hashes, common, similarity))
+                        nodes.append(node)
+                        sizes.append(len(hashes))
+                if found:
+                    n = [len(x) for x in found]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), n)),
+                        pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n])),
+                        pa.array(np.repeat(np.array(sizes, np.int32), n))], ["part", "node", "at", "size"])
+
+    rows = map_partitions(texts.select("node", "body"), worker, "part long, node long, at int, size int")
+    once = rows.repartition("part").dropDuplicates(["part", "node"])
+    return once.withColumn("n", F.count("*").over(Window.partitionBy("part"))).filter("n > 1")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -280,8 +325,14 @@ def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return links
 
 
-def pairs_apart(both: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs (u, v) of rows of ``both(part, node)`` that share a part but no group of ``groups(node, component)``.
+def _enough(similarity: float) -> Column:
+    """Whether two texts whose first shared shingle is at places ``at`` and ``other_at`` can be similar."""
+    left = F.least(F.col("size") - F.col("at"), F.col("other_size") - F.col("other_at"))
+    return left * (1 + similarity) >= similarity * (F.col("size") + F.col("other_size")) - 1e-6
+
+
+def pairs_apart(both: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of rows of ``both(part, node, at, size)`` that share a part but no group of ``groups(node, component)``.
 
     Parts within one group have none. The others are cut into blocks of about
     BLOCK_ROWS rows, and every block meets every block of its part.
@@ -292,31 +343,32 @@ def pairs_apart(both: DataFrame, groups: DataFrame) -> DataFrame:
     ).filter("least <> most").select("part", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = rows.join(mixed, "part").withColumn("own", F.pmod(F.xxhash64("node", "part"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("part", F.col("own").alias("i"), every.alias("j"), F.col("node").alias("a"), F.col("component").alias("c"))
-    right = rows.select("part", every.alias("i"), F.col("own").alias("j"), F.col("node").alias("b"), F.col("component").alias("d"))
-    return left.join(right, ["part", "i", "j"]).filter("c < d").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    left = rows.select("part", F.col("own").alias("i"), every.alias("j"), "node", "component", "at", "size")
+    right = rows.select("part", every.alias("i"), F.col("own").alias("j"), *[
+        F.col(c).alias(f"other_{c}") for c in ("node", "component", "at", "size")])
+    return left.join(right, ["part", "i", "j"]).filter(F.col("component") < F.col("other_component")).filter(
+        _enough(similarity)).select(F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct()
 
 
-def similar(parted: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that join exactly the rows of ``parted(node, parts)`` that share a part and that much of their shingles.
+def similar(texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join exactly the ``texts(node, body)`` that share that much of their shingles.
 
-    Shingles are those of ``texts(node, body)``. Rows that share a part are first compared
-    with two rows of that part: the one that shares most parts with others, which is what
-    copies were made from, and a fixed one. Then all pairs are compared that share a part
-    and are not yet in one group.
+    Texts that share a shingle of their prefixes are first compared with two texts of
+    that shingle: the one that shares most with others, which is what copies were made
+    from, and a fixed one. Then all pairs are compared that share a shingle of their
+    prefixes and are not yet in one group, so no similar pair is left out.
     """
-    rows = parted.select("node", F.explode(F.array_distinct("parts")).alias("part"))
-    shared = rows.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
-    both = materialize(rows.join(shared, "part"))
+    both = materialize(prefixes(texts, similarity))
     degrees = both.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = both.join(degrees, "node")
-    middles = ranked.groupBy("part").agg(
-        F.max(F.struct("degree", "node")).alias("most"), F.min("node").alias("least"))
-    pairs = materialize(both.join(middles, "part").select("node", F.explode(F.array("most.node", "least")).alias("middle")).filter(
-        "node <> middle").select(F.greatest("node", "middle").alias("u"), F.least("node", "middle").alias("v")).distinct())
+    middle = F.struct("node", "at", "size")
+    middles = ranked.groupBy("part").agg(F.max_by(middle, F.struct("degree", "node")).alias("most"), F.min(middle).alias("least"))
+    met = both.join(middles, "part").select("node", "at", "size", F.explode(F.array("most", "least")).alias("m")).select(
+        "node", "at", "size", *[F.col(f"m.{c}").alias(f"other_{c}") for c in ("node", "at", "size")])
+    pairs = materialize(met.filter("node <> other_node").filter(_enough(similarity)).select(
+        F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct())
     links = alike(pairs, texts, similarity)
-    rest = materialize(pairs_apart(both, connected_components(links)))
+    rest = materialize(pairs_apart(both, connected_components(links), similarity))
     more = alike(rest, texts, similarity)
     discard(both, pairs, rest)
     return links.unionByName(more)
@@ -329,8 +381,8 @@ def keep_first(
     """One row of every group, with all its columns: that of the smallest id, ids before nulls.
 
     Groups are the components of ``components``. With ``similarity``, groups are also
-    joined whose first rows share that much of their runs of five words; those are
-    found by equal SimHash fingerprints of small parts and compared shingle by shingle.
+    joined whose first rows share that much of their runs of five words; all such pairs
+    are found, by a prefix filter, and compared shingle by shingle.
     Rows that share an id are told apart by a hash of their text; of equal rows one stays.
     """
     row = fresh(docs, "_row")
@@ -340,15 +392,8 @@ def keep_first(
     firsts = found.select(F.xxhash64("component_id").alias("node"), "component_id").distinct()
     if similarity is not None:
         firsts = materialize(firsts)
-        bodies = named.select(F.xxhash64("name").alias("node"), "body")
-
-        def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [np.array(part_prints(shingles(t)), np.uint64).view(np.int64) for t in as_bytes(batch.column(1))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int64()))], ["node", "parts"])
-
-        parted = materialize(map_batches(bodies, sketch, "node long, parts array<long>"))
-        parted = parted.join(firsts.select("node"), "node", "left_semi").dropDuplicates(["node"])
-        groups = connected_components(similar(parted, bodies, similarity))
+        bodies = named.select(F.xxhash64("name").alias("node"), "body").join(firsts.select("node"), "node", "left_semi")
+        groups = connected_components(similar(bodies, similarity))
         firsts = firsts.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("node")).agg(
             F.min("component_id").alias("component_id"))
     chosen = firsts.select(F.xxhash64("component_id").alias(row))

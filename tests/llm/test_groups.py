@@ -275,15 +275,42 @@ def link_groups(links, n):
 
 @pytest.mark.parametrize("block", [256, 3])
 def test_all_rows_of_a_part_are_compared(spark, monkeypatch, block):
-    """A chain in one part whose links do not touch the two rows that all are compared with first."""
+    """A chain and copies without their original, whose links do not all touch the two rows that all are compared with first."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
-    words = [f"w{i}" for i in range(300)]
+    rng = random.Random(block)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    words = [word() for _ in range(300)]
     texts = [" ".join(words[9 * i : 9 * i + 104]) for i in range(20)]
+    for _ in range(60):
+        copy = words[:204]
+        for at in rng.sample(range(204), 3):
+            copy[at] = word()
+        texts.append(" ".join(copy))
     sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
-    parted = spark.createDataFrame([(i, [7]) for i in range(20)], "node long, parts array<long>")
     bodies = spark.createDataFrame(list(enumerate(texts)), "node long, body string")
-    found = link_groups(simhash.similar(parted, bodies, 0.8).collect(), 20)
-    assert found == set_groups(sets) == [0] * 20
+    found = link_groups(simhash.similar(bodies, 0.8).collect(), len(texts))
+    assert found == set_groups(sets) and found[:20] == [0] * 20
+
+
+@pytest.mark.parametrize("least", [6, 1])
+def test_pairs_just_above_the_limit_are_found(spark, monkeypatch, least):
+    """At every length, however common the shingles are counted; pairs just below stay."""
+    monkeypatch.setattr(simhash, "LEAST_COUNTED", least)
+    monkeypatch.setattr(simhash, "COUNTED", 2)
+    rng = random.Random(least)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    texts = []
+    for n in (5, 6, 9, 10, 13, 14, 16, 30, 64, 131, 254, 504, 1004, 4004):
+        for below in (0, 0, 0, 1):
+            base, m = [word() for _ in range(n)], n - 4
+            other = m - -(-8 * m // 9) + below  # shingles that differ: (m - x) / (m + x) >= 0.8 up to m / 9
+            copy = base[: n - other] + [word() for _ in range(other)]
+            texts += [" ".join(base), " ".join(copy)]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    bodies = spark.createDataFrame(list(enumerate(texts)), "node long, body string").repartition(4)
+    found = link_groups(simhash.similar(bodies, 0.8).collect(), len(texts))
+    assert found == set_groups(sets)
+    assert all((found[2 * i] == found[2 * i + 1]) == (i % 4 < 3) for i in range(len(texts) // 2))
 
 
 def test_pipeline_stages(spark, ids_of):
