@@ -350,8 +350,8 @@ def pairs_apart(both: DataFrame, groups: DataFrame, similarity: float) -> DataFr
         _enough(similarity)).select(F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct()
 
 
-def similar(texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) that join exactly the ``texts(node, body)`` that share that much of their shingles.
+def similar(texts: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that, with ``known(u, v)``, join exactly the ``texts(node, body)`` that share that much of their shingles.
 
     Texts that share a shingle of their prefixes are first compared with two texts of
     that shingle: the one that shares most with others, which is what copies were made
@@ -368,7 +368,7 @@ def similar(texts: DataFrame, similarity: float) -> DataFrame:
     pairs = materialize(met.filter("node <> other_node").filter(_enough(similarity)).select(
         F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct())
     links = alike(pairs, texts, similarity)
-    rest = materialize(pairs_apart(both, connected_components(links), similarity))
+    rest = materialize(pairs_apart(both, connected_components(known.unionByName(links)), similarity))
     more = alike(rest, texts, similarity)
     discard(both, pairs, rest)
     return links.unionByName(more)
@@ -381,7 +381,7 @@ def keep_first(
     """One row of every group, with all its columns: that of the smallest id, ids before nulls.
 
     Groups are the components of ``components``. With ``similarity``, groups are also
-    joined whose first rows share that much of their runs of five words; all such pairs
+    joined of which any two rows share that much of their runs of five words; all such pairs
     are found, by a prefix filter, and compared shingle by shingle.
     Rows that share an id are told apart by a hash of their text; of equal rows one stays.
     """
@@ -389,12 +389,15 @@ def keep_first(
     name = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.xxhash64(text).alias("hash"))
     named = docs.select(name.alias("name"), F.col(text).alias("body"))
     found = components(named, "name", "body", words, reach)
-    firsts = found.select(F.xxhash64("component_id").alias("node"), "component_id").distinct()
     if similarity is not None:
-        firsts = materialize(firsts)
-        bodies = named.select(F.xxhash64("name").alias("node"), "body").join(firsts.select("node"), "node", "left_semi")
-        groups = connected_components(similar(bodies, similarity))
-        firsts = firsts.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("node")).agg(
-            F.min("component_id").alias("component_id"))
+        found = materialize(found)
+        # a text is known by its hash; those of one component hang on the text that names it
+        near = materialize(found.select(F.col("name.hash").alias("u"), F.col("component_id.hash").alias("v")).distinct())
+        links = similar(named.select(F.col("name.hash").alias("node"), "body"), near, similarity)
+        groups = connected_components(near.unionByName(links))
+        firsts = found.select("component_id", F.col("component_id.hash").alias("node")).distinct().join(
+            groups, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("component_id").alias("component_id"))
+    else:
+        firsts = found.select("component_id").distinct()
     chosen = firsts.select(F.xxhash64("component_id").alias(row))
     return docs.withColumn(row, F.xxhash64(name)).dropDuplicates([row]).join(chosen, row, "left_semi").drop(row)

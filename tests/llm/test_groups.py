@@ -265,6 +265,10 @@ def set_groups(sets, similarity=0.8):
     return first
 
 
+def nothing_known(spark):
+    return spark.createDataFrame([], "u long, v long")
+
+
 def link_groups(links, n):
     first = list(range(n))
     for u, v in links:
@@ -288,7 +292,7 @@ def test_all_rows_of_a_part_are_compared(spark, monkeypatch, block):
         texts.append(" ".join(copy))
     sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
     bodies = spark.createDataFrame(list(enumerate(texts)), "node long, body string")
-    found = link_groups(simhash.similar(bodies, 0.8).collect(), len(texts))
+    found = link_groups(simhash.similar(bodies, nothing_known(spark), 0.8).collect(), len(texts))
     assert found == set_groups(sets) and found[:20] == [0] * 20
 
 
@@ -308,11 +312,36 @@ def test_pairs_just_above_the_limit_are_found(spark, monkeypatch, least):
             texts += [" ".join(base), " ".join(copy)]
     sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
     bodies = spark.createDataFrame(list(enumerate(texts)), "node long, body string").repartition(4)
-    found = link_groups(simhash.similar(bodies, 0.8).collect(), len(texts))
+    found = link_groups(simhash.similar(bodies, nothing_known(spark), 0.8).collect(), len(texts))
     assert found == set_groups(sets)
     assert all((found[2 * i] == found[2 * i + 1]) == (i % 4 < 3) for i in range(len(texts) // 2))
 
 
+def test_later_rows_of_a_group_are_compared(spark):
+    """A text that is like a later row of a SimHash group, not like its first, goes with the group; repeated rows stay one."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    near = lambda a, b: (plain_print(a) ^ plain_print(b)).bit_count() <= simhash.DISTANCE
+    shares = lambda a, b: len(a & b) / len(a | b)
+    runs = lambda t: set(zip(*[t.split()[i:] for i in range(5)]))
+
+    def edited(words, n):
+        copy = list(words)
+        for at in rng.sample(range(len(words)), n):
+            copy[at] = word()
+        return copy
+
+    while True:  # two bits of distance, but four edits each: under 0.8 from the first to the last
+        first = [word() for _ in range(200)]
+        second = edited(first, 4)
+        third = edited(second, 4)
+        a, b, c = map(" ".join, (first, second, third))
+        if near(a, b) and not near(a, c) and not near(b, c) and shares(runs(b), runs(c)) >= 0.8 > shares(runs(a), runs(c)):
+            break
+    docs = spark.createDataFrame([(1, a), (2, b), (3, c), (3, c), (4, c), (None, c), (5, ""), (6, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(docs, similarity=0.8).collect()) == [1, 5]
+
+
 def test_pipeline_stages(spark, ids_of):
     """Every stage against what its predecessor kept; the last one packs exactly the texts it got."""
     import corpus_pipeline as pipeline
