@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placelab.llm import bpe, chat, fingerprint, langid, lattice, packing, quality, rules, simhash, suffixes
+from placelab.llm import (
+    bpe, chat, fingerprint, langid, lattice, licenses, packing, prefix_trie, quality, rules, simhash, suffixes, whitening,
+)
 from placelab.llm.common import documents, held_out, public_path, public_pattern
+from placelab.session import materialize
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
@@ -90,11 +93,42 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir)).withColumn("said", licenses.base(F.col("detections")))
+    starts = F.transform("said", lambda d: d["first_word"])
+    return found.select(
+        "doc_id", "n_words", F.size("said").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), licenses.labels(F.col("said")).alias("base_labels"),
+        licenses.labels(F.concat("said", licenses.accepted(F.col("detections")))).alias("labels"),
+        licenses.score(F.col("detections")).alias("score"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = materialize(whitening.transform(vectors, model, k=8).drop("embedding"))
+    explained = F.array(*[F.lit(x).cast("double") for x in model.explained(8)]).cast("array<double>")
+    error = F.lit(whitening.identity_error(rows)).cast("double")
+    return rows.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), error.alias("identity_error"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv_id = F.col("conv_id")
+    placed = prefix_trie.turns(documents(spark, sf_dir, "conversations"))
+    heads = F.crc32(conv_id.cast("string").cast("binary")) % 4
+    return prefix_trie.trie(*prefix_trie.with_shared_heads(materialize(placed), heads, conv_id - conv_id % 20))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_fingerprint": op4_fingerprint,
         "op5_packing": op5_packing, "op6_suffixes": op6_suffixes, "op7_lattice": op7_lattice, "op8_simhash": op8_simhash,
-        "op9_rules": op9_rules, "op10_chat": op10_chat, "pipeline": pipeline,
+        "op9_rules": op9_rules, "op10_chat": op10_chat, "op11_licenses": op11_licenses, "op12_whitening": op12_whitening,
+        "op13_prefix_trie": op13_prefix_trie, "pipeline": pipeline,
     }
 
 
@@ -119,6 +153,48 @@ FROM escaped GROUP BY conv_id
 """
 
 
+_TRIE_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS donor, xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], [ord(c)::BIGINT FOR c IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [1::BIGINT, 2, 3, 4, 5, 6, 7, 8]),
+      lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM ordered)
+), parts AS (
+  SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.donor AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN ordered o ON o.conv_id = c.conv_id AND o.pos > c.h
+), rebuilt AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY part, pos) AS all_turns FROM parts GROUP BY conv_id
+), whole AS (
+  SELECT conv_id, coalesce(all_turns, []) AS all_turns FROM convs LEFT JOIN rebuilt USING (conv_id)
+), paths AS (
+  SELECT conv_id, d AS depth, sha256(CAST(all_turns[1:d] AS VARCHAR)) AS node, len(all_turns) = d AS ends,
+    CASE WHEN d > 0 THEN sha256(CAST(all_turns[1:d - 1] AS VARCHAR)) END AS above,
+    CASE WHEN d > 0 THEN len(list_filter(regexp_split_to_array(all_turns[d].t, '[\x20\x09-\x0D]+'), lambda w: w <> '')) ELSE 0 END
+      AS words
+  FROM (SELECT conv_id, all_turns, unnest(range(0, len(all_turns) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT depth, node, any_value(above) AS above, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY depth, node
+), families AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+    (SELECT count(*) FROM nodes c WHERE c.above = n.node AND c.depth = n.depth + 1) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.node = n.above AND p.depth = n.depth - 1
+), below AS (
+  SELECT p.depth, p.node, sum(CAST(f.n_children = 0 AS BIGINT)) AS n_leaves, sum((f.n_convs - 1) * f.words) AS saved_tokens
+  FROM families f JOIN paths p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.depth, p.node
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM families JOIN below USING (depth, node)
+"""
+
+
 def _rules_sql() -> str:
     """The rules in SQL; the word lists and limits are those of the operator."""
     lists = " UNION ALL ".join(
@@ -180,4 +256,4 @@ FROM measured
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_rules": _rules_sql(), "op10_chat": _CHAT_SQL}
+    return {"op9_rules": _rules_sql(), "op10_chat": _CHAT_SQL, "op13_prefix_trie": _TRIE_SQL}
