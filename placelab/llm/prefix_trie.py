@@ -22,10 +22,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelab.llm.common import map_partitions
@@ -37,6 +36,7 @@ WIDTH = 8
 #: Blocks of a conversation that share a window, and conversation ids joined in one piece of text.
 STRETCH, PIECE = 4096, 4096
 TIE_CHARS = 64
+SLOTS = range(1, WIDTH + 1)
 NODE = ["depth", "k1", "k2"]
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -85,35 +85,30 @@ def with_shared_heads(placed: DataFrame, heads: Column, donor: Column) -> tuple[
     return own.unionByName(borrowed), convs.select("conv_id", length.alias("n"))
 
 
-def _lanes(pos: Column, turn_id: Column) -> list[Column]:
-    """Two hashes of a turn at its position; null without a turn."""
-    return [F.when(turn_id.isNotNull(), F.xxhash64(F.lit(seed), pos, turn_id)) for seed in (1, 2)]
+def _lane(seed: int, pos: str, turn_id: str) -> str:
+    """A hash of a turn at its position; a node's value is the XOR of those on its path."""
+    return f"xxhash64({seed}, {pos}, {turn_id})"
 
 
-def _over_blocks(rows: DataFrame, values: dict[str, str], how, later: bool) -> DataFrame:
-    """Aggregate ``values`` (name: column) over the earlier or later blocks of each conversation.
+def _over_blocks(rows: DataFrame, values: dict[str, str], how: str, later: bool) -> DataFrame:
+    """Add the aggregate ``how`` of ``values`` (name: column) over the earlier or later blocks of each conversation.
 
     Blocks of a long conversation are looked at in stretches, and the stretches'
     totals once more, so that no window holds more than a small part of them.
     """
-    order = F.desc if later else F.asc
-    before = (Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("conv_id", "_stretch").orderBy(order("block")).rowsBetween(*before)
-    across = Window.partitionBy("conv_id").orderBy(order("_stretch")).rowsBetween(*before)
-    cut = rows.withColumn("_stretch", F.floor(F.col("block") / STRETCH))
-    totals = cut.groupBy("conv_id", "_stretch").agg(*[how(c).alias(c) for c in values.values()])
+    order, join = "DESC" if later else "ASC", "^" if how == "bit_xor" else "+"
+    cut = rows.withColumn("_stretch", F.expr(f"block div {STRETCH}"))
     # only conversations of several stretches have something to hand over
-    several = totals.join(totals.filter("_stretch > 0").select("conv_id").distinct(), "conv_id", "left_semi")
-    handed = several.select("conv_id", "_stretch", *[how(c).over(across).alias(f"_handed_{c}") for c in values.values()])
-    near = cut.select("*", *[how(c).over(inside).alias(name) for name, c in values.items()])
-    joined = near.join(handed, ["conv_id", "_stretch"], "left")
-    zero = F.lit(0).cast("long")
-    both = [
-        (F.coalesce(name, zero).bitwiseXOR(F.coalesce(f"_handed_{c}", zero)) if how is F.bit_xor
-         else F.coalesce(name, zero) + F.coalesce(f"_handed_{c}", zero)).alias(name)
-        for name, c in values.items()
-    ]
-    return joined.select(*rows.columns, *both)
+    several = cut.filter("_stretch > 0").select("conv_id").distinct()
+    totals = cut.join(several, "conv_id", "left_semi").groupBy("conv_id", "_stretch").agg(
+        *[F.expr(f"{how}({c}) AS _total_{c}") for c in values.values()])
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    handed = totals.selectExpr("conv_id", "_stretch", *[
+        f"{how}(_total_{c}) OVER (PARTITION BY conv_id ORDER BY _stretch {order} {before}) AS _handed_{c}" for c in values.values()])
+    near = cut.selectExpr("*", *[
+        f"{how}({c}) OVER (PARTITION BY conv_id, _stretch ORDER BY block {order} {before}) AS _near_{c}" for c in values.values()])
+    return near.join(handed, ["conv_id", "_stretch"], "left").selectExpr(
+        *rows.columns, *[f"coalesce(_near_{c}, 0L) {join} coalesce(_handed_{c}, 0L) AS {name}" for name, c in values.items()])
 
 
 def blocks(rebuilt: DataFrame, convs: DataFrame) -> DataFrame:
@@ -121,61 +116,47 @@ def blocks(rebuilt: DataFrame, convs: DataFrame) -> DataFrame:
 
     Conversations without turns have one block without any.
     """
-    slot = F.col("pos") - F.col("block") * WIDTH
     none = convs.filter("n = 0").selectExpr("conv_id", "1L AS pos", "CAST(NULL AS binary) AS id", "0L AS words")
-    rows = rebuilt.unionByName(none).withColumn("block", F.floor((F.col("pos") - 1) / WIDTH)).withColumn("slot", slot)
-    lanes = _lanes(F.col("pos"), F.col("id"))
-    at = range(1, WIDTH + 1)
+    rows = rebuilt.unionByName(none).selectExpr(
+        "conv_id", "(pos - 1) div %d AS block" % WIDTH, "1 + (pos - 1) %% %d AS slot" % WIDTH, "id", "words",
+        *[f"CASE WHEN id IS NOT NULL THEN {_lane(i, 'pos', 'id')} ELSE 0L END AS x{i}" for i in (1, 2)])
     cut = rows.groupBy("conv_id", "block").agg(
-        *[F.max(F.when(F.col("slot") == j, F.col("id"))).alias(f"t{j}") for j in at],
-        *[F.max(F.when(F.col("slot") == j, F.col("words"))).alias(f"w{j}") for j in at],
-        *[F.coalesce(F.bit_xor(x), F.lit(0)).alias(f"x{i}") for i, x in enumerate(lanes, 1)],
+        *[F.expr(f"max({c}) FILTER (WHERE slot = {j}) AS {name}{j}") for name, c in (("t", "id"), ("w", "words")) for j in SLOTS],
+        F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"),
     )
-    return materialize(_over_blocks(materialize(cut), {"b1": "x1", "b2": "x2"}, F.bit_xor, later=False))
+    return materialize(_over_blocks(materialize(cut), {"b1": "x1", "b2": "x2"}, "bit_xor", later=False))
 
 
 def _rolled_up(cut: DataFrame, measures: str) -> DataFrame:
-    """Groups of all prefixes: (block, b1, b2, level, t1..tk, measures).
+    """All prefixes of all blocks as nodes: (depth, k1, k2, p1, p2, level, measures); p1 and p2 are the parent's.
 
     Groups whose last position is empty are shorter conversations; level 0 is a
-    node of its own at the start only, since it is the end of the block before.
+    node of its own at the start only, since elsewhere it is the end of the block before.
     """
-    names = ", ".join(f"t{j}" for j in range(1, WIDTH + 1))
+    names = ", ".join(f"t{j}" for j in SLOTS)
     level = f"{WIDTH} - bit_count(grouping_id())"  # one bit for every position that is grouped away
-    last = "CASE level WHEN 0 THEN block = 0 " + " ".join(
-        f"WHEN {j} THEN t{j} IS NOT NULL" for j in range(1, WIDTH + 1)) + " END"
     groups = cut.sparkSession.sql(
         f"SELECT block, b1, b2, {level} AS level, {names}, {measures} FROM {{cut}} GROUP BY block, b1, b2, ROLLUP({names})",
         cut=cut)
-    return groups.filter(F.expr(last))
+    kept = groups.withColumn("last", F.expr(_by_level("t"))).filter("last IS NOT NULL OR block = 0 AND level = 0")
+    path = {
+        i: " ^ ".join([f"b{i}", *[
+            f"CASE WHEN level >= {j} THEN {_lane(i, f'(block * {WIDTH} + {j})', f't{j}')} ELSE 0L END" for j in SLOTS]])
+        for i in (1, 2)
+    }
+    return kept.selectExpr("*", f"block * {WIDTH} + level AS depth", *[f"{path[i]} AS k{i}" for i in (1, 2)]).selectExpr(
+        "*", *[f"k{i} ^ {_lane(i, 'depth', 'last')} AS p{i}" for i in (1, 2)]).drop("block", "b1", "b2", "last", *names.split(", "))
 
 
-def _named(groups: DataFrame) -> DataFrame:
-    """Groups with the node they are (depth, k1, k2), and its parent (p1, p2)."""
-    def upto(most: Column, lane: int) -> Column:
-        terms = [
-            F.when(F.lit(j) <= most, _lanes(F.col("block") * WIDTH + j, F.col(f"t{j}"))[lane - 1])
-            for j in range(1, WIDTH + 1)
-        ]
-        return reduce(lambda x, t: x.bitwiseXOR(F.coalesce(t, F.lit(0).cast("long"))), terms, F.col(f"b{lane}"))
-
-    level = F.col("level")
-    return groups.withColumns({
-        "depth": F.col("block") * WIDTH + level, "k1": upto(level, 1), "k2": upto(level, 2),
-        "p1": upto(level - 1, 1), "p2": upto(level - 1, 2),
-    })
-
-
-def _by_level(prefix: str, start: int = 1) -> str:
-    return "CASE level " + " ".join(f"WHEN {j} THEN {prefix}{j}" for j in range(start, WIDTH + 1)) + " END"
+def _by_level(prefix: str) -> str:
+    return "CASE level " + " ".join(f"WHEN {j} THEN {prefix}{j}" for j in SLOTS) + " END"
 
 
 def _members(cut: DataFrame) -> DataFrame:
     """(depth, k1, k2, p1, p2, conv_id, n_convs, words): every node with its smallest member."""
-    most = ", ".join(f"max(w{j}) AS w{j}" for j in range(1, WIDTH + 1))
-    nodes = _named(_rolled_up(cut, f"count(*) AS n_convs, min(conv_id) AS conv_id, {most}"))
-    words = F.coalesce(F.expr(_by_level("w")), F.lit(0))
-    return materialize(nodes.select(*NODE, "p1", "p2", "conv_id", "n_convs", words.alias("words")))
+    most = ", ".join(f"max(w{j}) AS w{j}" for j in SLOTS)
+    nodes = _rolled_up(cut, f"count(*) AS n_convs, min(conv_id) AS conv_id, {most}")
+    return nodes.selectExpr(*NODE, "p1", "p2", "conv_id", "n_convs", f"coalesce({_by_level('w')}, 0L) AS words")
 
 
 def _ends(cut: DataFrame, convs: DataFrame) -> DataFrame:
@@ -222,20 +203,17 @@ def _below(cut: DataFrame, nodes: DataFrame) -> DataFrame:
     ``nodes`` has what each adds in ``saved`` and ``leaf``. Both are booked on
     the node's smallest member: its block holds, per position, what it adds from there on.
     """
-    at = range(1, WIDTH + 1)
-    block = F.greatest(F.floor((F.col("depth") - 1) / WIDTH), F.lit(0))
-    slot = F.col("depth") - block * WIDTH
-    own = nodes.filter("saved > 0 OR leaf > 0").select("conv_id", block.alias("block"), slot.alias("slot"), "saved", "leaf")
+    own = nodes.filter("saved > 0 OR leaf > 0").selectExpr(
+        "conv_id", f"greatest((depth - 1) div {WIDTH}, 0L) AS block", "depth", "saved", "leaf")
     booked = own.groupBy("conv_id", "block").agg(
-        *[F.sum(F.when(F.col("slot") >= j, F.col("saved")).otherwise(0)).alias(f"s{j}") for j in at],
-        F.sum("leaf").alias("leaf"))
-    zero = F.lit(0).cast("long")
-    filled = cut.drop(*[f"w{j}" for j in at], "x1", "x2").join(booked, ["conv_id", "block"], "left").withColumns(
-        {c: F.coalesce(c, zero) for c in [*[f"s{j}" for j in at], "leaf"]})
-    later = _over_blocks(materialize(filled), {"_saved": "s1", "_leaf": "leaf"}, F.sum, later=True)
-    sums = ", ".join(f"sum(s{j} + _saved) AS s{j}" for j in at)
-    groups = _named(_rolled_up(later, f"{sums}, sum(leaf + _leaf) AS n_leaves"))
-    return groups.select(*NODE, "n_leaves", F.expr(f"coalesce({_by_level('s')}, s1)").alias("saved_tokens"))
+        *[F.expr(f"sum(saved) FILTER (WHERE depth >= block * {WIDTH} + {j}) AS s{j}") for j in SLOTS], F.sum("leaf").alias("leaf"))
+    sums = [f"s{j}" for j in SLOTS]
+    filled = materialize(
+        cut.select("conv_id", "block", "b1", "b2", *[f"t{j}" for j in SLOTS]).join(booked, ["conv_id", "block"], "left").fillna(
+            0, [*sums, "leaf"]))
+    later = _over_blocks(filled, {"_saved": "s1", "_leaf": "leaf"}, "sum", later=True)
+    nodes = _rolled_up(later, ", ".join(f"sum({s} + _saved) AS {s}" for s in sums) + ", sum(leaf + _leaf) AS n_leaves")
+    return nodes.selectExpr(*NODE, "n_leaves", f"CASE level WHEN 0 THEN s1 ELSE {_by_level('s')} END AS saved_tokens")
 
 
 def trie(rebuilt: DataFrame, convs: DataFrame) -> DataFrame:
