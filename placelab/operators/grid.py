@@ -232,6 +232,12 @@ def relate(left: DataFrame, right: DataFrame, mode: str = SPHERE, value: Column
     return levels
 
 
+def cell_pairs(left: DataFrame, right: DataFrame, mode: str = SPHERE) -> DataFrame:
+    """(cfg, ay, ax, by, bx, b_n): pairs of occupied cells that may hold points within the radius of each other."""
+    pairs = cover(blocks(left, 0, "a"), mode).join(blocks(right, 0, "b").drop("b_radius", "b_height"), _B)
+    return _with_verdict(pairs, mode, "false").filter("verdict != 'out'").select("cfg", "ay", "ax", "by", "bx", "b_n")
+
+
 def _hot(settled: DataFrame, keys: list[str], size: str, most: int | None) -> DataFrame | None:
     if not most or most <= skew.HOT_ROWS:
         return None

@@ -1,10 +1,8 @@
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placelab.operators import adaptive, grid, kmeans, neighbors, poi
+from placelab.operators import adaptive, adaptive_rounds, grid, kmeans, neighbors, poi
 from placelab.operators.components import connected_components
 from placelab.operators.dbscan import dbscan
 from placelab.operators.neighbors import Config
@@ -94,13 +92,11 @@ def test_components_of_a_long_chain_and_a_star(spark, monkeypatch):
     assert {r.node: r.component for r in got} == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(40)}}
 
 
-SLOW = pytest.mark.skipif(not os.environ.get("PLACELAB_SLOW"), reason="many rounds of small jobs; set PLACELAB_SLOW=1")
-
-
-@pytest.mark.parametrize("large,n", [(False, 220), pytest.param(True, 60, marks=SLOW)])
-def test_adaptive_equals_sequential_loop(spark, monkeypatch, large, n):
-    if large:
-        monkeypatch.setattr(adaptive, "GROUP_SPOTS", 0)
+@pytest.mark.parametrize("n,tried,tile,listed,per_tile", [
+    (220, 64, 32, 50_000, 2_000_000), (120, 2, 1, 50_000, 40), (120, 3, 2, 0, 1000), (120, 64, 32, 12, 1000)])
+def test_adaptive_equals_sequential_loop(spark, monkeypatch, n, tried, tile, listed, per_tile):
+    for name, value in (("FIRST_TRIED", tried), ("TILE_CELLS", tile), ("LISTED", listed), ("LISTED_PER_TILE", per_tile)):
+        monkeypatch.setattr(adaptive_rounds, name, value)
     radius, needed = 600.0, 6
     lats, lons = cloud(7, n, 60.0, 179.999, 0.02, copies=20)
     labels, radii = models.adaptive(lats, lons, radius, needed)
@@ -112,6 +108,16 @@ def test_adaptive_equals_sequential_loop(spark, monkeypatch, large, n):
     assert poi.coverage(found.membership).first().merchants_in_pois == (labels >= 0).sum()
 
 
+def test_adaptive_with_thousands_of_centres_in_one_cell(spark):
+    r = np.random.default_rng(4)
+    lats, lons = 0.001 + r.uniform(0, 0.003, 21_000), 0.001 + r.uniform(0, 0.003, 21_000)
+    labels, _ = models.adaptive(lats, lons, 600.0, 15)
+    found = adaptive.detect_adaptive(table(spark, lats, lons), 600.0, 15)
+    got = [r.poi_cluster for r in found.membership.orderBy("row_id").collect()]
+    assert got == labels.tolist() and max(got) >= 2
+    assert adaptive_rounds.claims_in_order.rounds <= 12  # of 2,100 centres
+
+
 def test_kmeans_invariants(spark):
     lats, lons = cloud(8, 240, -6.2, 106.8, 0.01)
     found = kmeans.detect_kmeans(table(spark, lats, lons), max_radius=400.0, min_merchants=10, restarts=3)
