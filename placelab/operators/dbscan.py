@@ -19,6 +19,8 @@ from placelab.operators.rows import with_row_id
 from placelab.session import materialize
 
 NOISE = -1
+#: Cell numbers have 28 bits per axis.
+LEAST_RADIUS = 0.25
 _CELL = ["cfg", "cy", "cx"]
 
 
@@ -39,6 +41,8 @@ _SPOT = ("cfg", "lat", "lon", "weight", "poi_cluster")
 
 def cluster(spots: DataFrame, configs: list[Config]) -> DataFrame:
     """``cluster_points`` of weighted positions for several parameter sets at once."""
+    if any(c.radius < LEAST_RADIUS for c in configs):
+        raise ValueError(f"a radius below {LEAST_RADIUS} m has more cells than a cell number holds")
     return cluster_points(grid_points(spots, configs, "lat", "lon", "spot", "weight"))
 
 

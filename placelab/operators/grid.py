@@ -36,7 +36,12 @@ _DIAMETER = f"{2 * EARTH_RADIUS_M}D"
 # bounds leave a margin, so that rounding can only keep a pair open, never settle it wrongly
 _LESS, _MORE = "(1 - 1e-9D)", "(1 + 1e-9D)"
 
-CELL_HEIGHT = f"degrees(2 * asin(sin(radius / {_DIAMETER}) / sqrt(2D))) * {_LESS}"
+def _half_angle(metres: str) -> str:
+    """Half the angle that spans ``metres``; nothing is farther than half the globe."""
+    return f"least({metres} / {_DIAMETER}, pi() / 2)"
+
+
+CELL_HEIGHT = f"degrees(2 * asin(sin({_half_angle('radius')}) / sqrt(2D))) * {_LESS}"
 """Height in degrees of a cell whose diagonal does not exceed the column ``radius``."""
 
 
@@ -91,33 +96,51 @@ def blocks(points: DataFrame, level: int, prefix: str, value: Column | None = No
     return points.selectExpr("*", *_block(level, p)).groupBy("cfg", f"{p}y", f"{p}x").agg(*measures, *extra)
 
 
+PLANAR_SPAN = f"CAST(greatest(-30, least(9, ceil(log2(radius / ({METRES_PER_DEGREE}D * {_cos('lat')}) * {_MORE})))) AS INT)"
+"""Power of two, in degrees, that the planar radius at ``lat`` does not exceed; 2^9 is more than the globe."""
+
+
+def with_planar_cells(points: DataFrame) -> DataFrame:
+    """Like ``with_cells``, on a square grid of degrees with cells of 2^span.
+
+    The planar radius grows without limit towards the poles. On a grid of its
+    own size it never reaches further than the next cell.
+    """
+    scale = 1 << LEVELS
+    return points.selectExpr("*", "pow(2D, span) AS height").selectExpr(
+        "*", f"CAST(floor((lat + 90) / height * {scale}) AS BIGINT) AS fy",
+        f"CAST(floor((lon + 180) / height * {scale}) AS BIGINT) AS fx",
+    ).selectExpr("*", f"shiftright(fy, {LEVELS}) AS cy", f"shiftright(fx, {LEVELS}) AS cx")
+
+
 def cover(cells: DataFrame, mode: str) -> DataFrame:
     """All cells (by, bx) that may hold a partner of a point in the boxes ``a_*``.
 
     The longitude reach follows from sin²(d/2R) ≥ cos φ1 · cos φ2 · sin²(Δλ/2).
-    Columns wrap at the antimeridian; near a pole a whole row is covered. The
-    planar ball reaches further than the radius away from the equator.
+    Columns wrap at the antimeridian; near a pole, where rows have few columns, a
+    whole row is covered. In planar mode the cells are those of ``with_planar_cells``.
     """
+    if mode == PLANAR:
+        return cells.selectExpr("*", "explode(sequence(ay - 1, ay + 1)) AS by").selectExpr(
+            "*", "explode(sequence(ax - 1, ax + 1)) AS bx")
     own = "greatest(abs(a_lat0), abs(a_lat1))"
-    reach = f"a_radius / {_cos(own)}" if mode == PLANAR else "a_radius"
     low, high = _row_range("by", "a_height")
     farthest = f"least(90D, greatest(abs({low}), abs({high})))"
     whole = "_ratio >= 1 OR _c1 - _c0 + 1 >= _cols"
     return (
-        cells.selectExpr("*", f"{reach} AS _reach")
-        .selectExpr("*", f"degrees(_reach / {EARTH_RADIUS_M}D) * {_MORE} + 1e-12D AS _up")
+        cells.selectExpr("*", f"degrees(2 * {_half_angle('a_radius')}) * {_MORE} + 1e-12D AS _up")
         .selectExpr("*", """explode(sequence(
             greatest(CAST(floor((a_lat0 - _up + 90) / a_height) AS BIGINT), 0L),
             least(CAST(floor((a_lat1 + _up + 90) / a_height) AS BIGINT), CAST(floor(180D / a_height) AS BIGINT)))) AS by""")
         .selectExpr("*", f"{_columns_in_row('by', 'a_height')} AS _cols",
-                    f"sin(_reach / {_DIAMETER}) / sqrt({_cos(own)} * {_cos(farthest)}) AS _ratio")
+                    f"sin({_half_angle('a_radius')}) / sqrt({_cos(own)} * {_cos(farthest)}) AS _ratio")
         .selectExpr("*", f"degrees(2 * asin(least(1D, _ratio))) * {_MORE} + 1e-12D AS _side")
         .selectExpr("*", "CAST(floor((a_lon0 - _side + 180) / 360 * _cols) AS BIGINT) AS _c0",
                     "CAST(floor((a_lon1 + _side + 180) / 360 * _cols) AS BIGINT) AS _c1")
         .selectExpr("*", f"""explode(CASE WHEN {whole} THEN sequence(0L, _cols - 1)
             ELSE sequence(_c0, greatest(_c0, _c1)) END) AS _c""")
         .selectExpr("*", "pmod(_c, _cols) AS bx")
-        .drop("_reach", "_up", "_cols", "_ratio", "_side", "_c0", "_c1", "_c")
+        .drop("_up", "_cols", "_ratio", "_side", "_c0", "_c1", "_c")
     )
 
 
@@ -153,7 +176,7 @@ def _with_verdict(pairs: DataFrame, mode: str, open_again: str) -> DataFrame:
         return [f"{_cos(f'greatest(abs({low}), abs({high}))')} AS _{p}_least",
                 f"{_cos(_nearest_to_equator(low, high))} AS _{p}_most"]
 
-    limit = f"pow(sin(a_radius / {_DIAMETER}), 2)"
+    limit = f"pow(sin({_half_angle('a_radius')}), 2)"
     sphere_in = f"{_sin2_half('_lat_max')} + _a_most * _b_most * {_sin2_half('least(_far, 180D)')} <= {limit} * {_LESS}"
     sphere_out = (f"{_sin2_half('_lat_min')} + _a_least * _b_least * "
                   f"{_sin2_half('least(_near, greatest(360 - _far, 0D))')} > {limit} * {_MORE}")

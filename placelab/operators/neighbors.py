@@ -68,18 +68,52 @@ def neighbor_pairs(merchants: DataFrame, radius: float, lat: str = "latitude", l
     planar tolerance at the first merchant.
     """
     points = materialize(grid_points(merchants, [Config(0, radius)], lat, lon, row_id))
+    return _listed(points, points, mode)
+
+
+def _listed(centres: DataFrame, points: DataFrame, mode: str) -> DataFrame:
     pairs = None
-    for level in grid.relate(points, points, mode):
+    for level in grid.relate(centres, points, mode):
         part = grid.compared(level.listed(), mode).selectExpr("a_id", "b_id", f"{grid.distance()} AS hav_m")
         pairs = part if pairs is None else pairs.unionByName(part)
     return pairs
 
 
-def neighbors_of(merchants: DataFrame, radius: float, lat: str = "latitude", lon: str = "longitude",
+def in_company(centres: DataFrame, spots: DataFrame) -> DataFrame:
+    """(cfg, id) of ``centres`` (cfg, id, lat, lon, radius) with another merchant in their planar ball.
+
+    ``spots`` (id, lat, lon, weight) hold the centres themselves too. Each centre
+    is looked at on a grid of the size of its planar radius, of which there are at
+    most forty, and only merchants in cells around centres take part.
+    """
+    left = materialize(grid.with_planar_cells(
+        centres.selectExpr("cfg AS _cfg", "id", "lat", "lon", "radius", f"{grid.PLANAR_SPAN} AS span")
+        .withColumn("cfg", F.col("_cfg") * 64 + F.col("span") + 32)))
+    spans = left.select("cfg", "span").distinct()
+    right = grid.with_planar_cells(spots.select("id", "lat", "lon", "weight", F.lit(0.0).alias("radius")).crossJoin(F.broadcast(spans)))
+    around = grid.cover(grid.blocks(left, 0, "a"), grid.PLANAR).selectExpr("cfg", "by AS cy", "bx AS cx").distinct()
+    near = materialize(right.join(around, ["cfg", "cy", "cx"], "left_semi"))
+    found = grid.fold(left, near, "weight", F.sum, grid.PLANAR).filter("value > 1")
+    return found.selectExpr("CAST(cfg div 64 AS INT) AS cfg", "id")
+
+
+def neighbors_of(centres: DataFrame, merchants: DataFrame, radius: float, lat: str = "latitude", lon: str = "longitude",
                  row_id: str = "row_id") -> DataFrame:
-    """Neighbour lists by both distances, as pairs; a merchant alone in its planar ball has none."""
-    pairs = neighbor_pairs(merchants, radius, lat, lon, row_id, grid.BOTH)
-    one = merchants.withColumn("weight", F.lit(1))
-    points = materialize(grid_points(one, [Config(0, radius)], lat, lon, row_id, "weight"))
-    alone = grid.fold(points, points, "weight", F.sum, grid.PLANAR).filter("value <= 1")
-    return pairs.join(alone.select(F.col("id").alias("a_id")), "a_id", "left_anti")
+    """(a_id, b_id, hav_m): merchants near each of the given centres, which are merchants themselves.
+
+    A neighbour is within the radius, and within the planar tolerance in degrees
+    at the centre's latitude. A centre alone in its planar ball has no list, not even itself.
+    Only cells around centres are joined, so few centres cost little.
+    """
+    config = [Config(0, radius)]
+    left = materialize(grid_points(centres, config, lat, lon, row_id))
+    pairs = materialize(_listed(left, materialize(grid_points(merchants, config, lat, lon, row_id)), grid.BOTH))
+    others = pairs.filter("a_id != b_id").select(F.col("a_id").alias("id")).distinct()
+    single = materialize(left.join(others, "id", "left_anti"))
+    if single.isEmpty():
+        return pairs
+    spots = merchants.select(
+        F.col(row_id).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"),
+        F.lit(1).cast("long").alias("weight"))
+    alone = single.join(in_company(single, spots), "id", "left_anti").select(F.col("id").alias("a_id"))
+    return pairs.join(alone, "a_id", "left_anti")

@@ -52,12 +52,36 @@ def test_counts_equal_brute_force_with_hot_positions(spark, hot_paths, monkeypat
     assert got == {i: len(n) for i, n in enumerate(models.neighbor_sets(lats, lons, 400.0))}
 
 
+def lists_of(lats, lons, radius, centres):
+    """Pairs by plain Python: both distances, and no list for a centre alone in its planar ball."""
+    pairs = set()
+    for i in centres:
+        planar = radius / (111320 * np.cos(np.radians(lats[i])))
+        ball = np.flatnonzero((lats - lats[i]) ** 2 + (lons - lons[i]) ** 2 <= planar**2)
+        if len(ball) > 1:
+            pairs |= {(i, int(j)) for j in ball[models.distances(lats[i], lons[i], lats[ball], lons[ball]) <= radius]}
+    return pairs
+
+
 def test_lists_need_company(spark):
     lats, lons = np.array([0.0, 0.0001, 5.0]), np.array([0.0, 0.0, 5.0])
-    got = {(r.a_id, r.b_id) for r in neighbors.neighbors_of(table(spark, lats, lons), 50.0).collect()}
+    merchants = table(spark, lats, lons)
+    got = {(r.a_id, r.b_id) for r in neighbors.neighbors_of(merchants, merchants, 50.0).collect()}
     assert got == {(0, 0), (0, 1), (1, 0), (1, 1)}
 
 
+@pytest.mark.parametrize("radius", [600.0, 3e7])
+def test_lists_of_given_centres_up_to_the_poles(spark, hot_paths, radius):
+    r = np.random.default_rng(12)
+    lats = np.concatenate([[90, 90, 90, -90, 89.99, 89.99, 89.99, 89.999, -89.99, 60.0, 60.02, 0.0, 30.0, 45.0],
+                           90 - r.uniform(0, 0.02, 12), r.uniform(-90, 90, 30)])
+    lons = np.concatenate([[0, 120, -180, 50, 10, 10.5, 100, -80, 0, 179.999, -179.999, 0, 0, 0], r.uniform(-180, 180, 42)])
+    merchants = table(spark, lats, lons)
+    centres = [i for i in range(len(lats)) if i < 14 or i % 2]
+    found = neighbors.neighbors_of(merchants.filter(F.col("row_id").isin(centres)), merchants, radius).collect()
+    assert {(x.a_id, x.b_id) for x in found} == lists_of(lats, lons, radius, centres)
+
+
 def labels_of(spark, lats, lons, configs):
     m = table(spark, lats, lons)
     found = dbscan(m, configs).select("cfg", "lat", "lon", "poi_cluster")

@@ -438,9 +438,12 @@ def _density_sweep() -> str:
 
 def _poi_oracles() -> dict[str, str]:
     near = with_views("+" + _pairs(300.0) + " SELECT a_id, b_id, round(hav_m, 3) AS hav_m FROM pairs", "merchants")
-    planar = _PLANAR.format(t=_TOLERANCE.format(r=300.0))
-    lists = with_views(f"""+{_pairs(300.0, ' AND ' + planar)}, ball AS (SELECT a.row_id AS id FROM merchants a JOIN merchants b ON {planar} GROUP BY a.row_id HAVING count(*) > 1)
+
+    def lists(radius: float, centres: str = "true") -> str:
+        planar = _PLANAR.format(t=_TOLERANCE.format(r=radius))
+        return with_views(f"""+{_pairs(radius, ' AND ' + planar)}, ball AS (SELECT a.row_id AS id FROM merchants a JOIN merchants b ON {planar} WHERE {centres} GROUP BY a.row_id HAVING count(*) > 1)
  SELECT a_id, b_id, round(hav_m, 3) AS hav_m FROM pairs WHERE a_id IN (SELECT id FROM ball)""", "merchants")
+
     counts = "+" + _pairs(500.0) + ", n AS (SELECT a_id AS row_id, count(*) AS neighbors FROM pairs GROUP BY a_id) "
 
     def found(radius: float, needed: int, body: str) -> str:
@@ -455,7 +458,8 @@ def _poi_oracles() -> dict[str, str]:
             f"SELECT row_id, round({hav('-6.2E0', '106.8E0', 'latitude', 'longitude')}, 3) AS metres, round(250.0E0 / 111320.0E0, 9) AS lat_tol, "
             "round(250.0E0 / (111320.0E0 * cos(radians(latitude))), 9) AS lon_tol FROM merchants", "merchants"),
         "neighbor_pairs": near,
-        "neighbor_lists": lists,
+        "neighbor_lists": lists(300.0),
+        "neighbor_centres": lists(600.0, "a.row_id % 10 = 0"),
         "neighbor_counts": with_views(counts + "SELECT row_id, neighbors FROM n", "merchants"),
         "dense_merchants": with_views(counts + """SELECT city, CAST(place AS INTEGER) AS place, row_id, name, neighbors FROM (
  SELECT m.city, m.row_id, m.name, n.neighbors, row_number() OVER (PARTITION BY m.city ORDER BY n.neighbors DESC, m.row_id) AS place FROM merchants m JOIN n ON n.row_id = m.row_id) x WHERE place <= 10""", "merchants"),

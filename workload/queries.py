@@ -336,7 +336,13 @@ def neighbor_pairs(t: Tables) -> DataFrame:
 
 
 def neighbor_lists(t: Tables) -> DataFrame:
-    return _round(neighbors.neighbors_of(t.merchants(), 300.0), hav_m=3)
+    return _round(neighbors.neighbors_of(t.merchants(), t.merchants(), 300.0), hav_m=3)
+
+
+def neighbor_centres(t: Tables) -> DataFrame:
+    """Neighbours of given centres: the merchants that the adaptive detector starts from, among all merchants."""
+    centres = t.merchants().filter(F.col("row_id") % adaptive.SAMPLE_STEP == 0)
+    return _round(neighbors.neighbors_of(centres, t.merchants(), 600.0), hav_m=3)
 
 
 def neighbor_counts(t: Tables) -> DataFrame:
@@ -537,7 +543,7 @@ _PLAIN = [
     place_phone_fallback, place_assemble, place_dedup_task, place_dedup_global, place_duplicates,
     place_duplicate_searches, merge_union, merge_file_counts, merge_totals, task_outcomes, summary_category_top10,
     summary_city, summary_district_top10, summary_overview, place_preview, coord_diagnose, coord_suggest,
-    coord_profile, coord_clean, coord_reject_counts, coord_repair_only, geo_distance, neighbor_pairs, neighbor_lists,
+    coord_profile, coord_clean, coord_reject_counts, coord_repair_only, geo_distance, neighbor_pairs, neighbor_lists, neighbor_centres,
     neighbor_counts, dense_merchants, poi_dbscan_membership, poi_dbscan_summary, poi_statistics, poi_coverage,
     poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_sweep_density,
     poi_sweep_density_top, poi_solution,
