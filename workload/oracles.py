@@ -422,10 +422,41 @@ def _adaptive(radius: float, needed: int) -> str:
 """
 
 
-def _density_sweep() -> str:
-    """Parameter sets of the density detectors, in the published order; coverage is not rounded yet."""
+def _kmeans(radius: float, needed: int) -> str:
+    """All restarts from their fixed seeds until none moves, the cheapest one, and the trim of its clusters."""
+    square = "(s.lat - l.lat) * (s.lat - l.lat) + (s.lon - l.lon) * (s.lon - l.lon)"
+    return f"""+spots AS MATERIALIZED (SELECT latitude AS lat, longitude AS lon, min(row_id) AS spot, count(*) AS w FROM merchants GROUP BY ALL),
+ rules AS MATERIALIZED (SELECT least(greatest(1, sum(w) // ({needed} * 2)), 20) AS k, 1e-4 * (sum(w * (lat - mlat) * (lat - mlat)) / sum(w) + sum(w * (lon - mlon) * (lon - mlon)) / sum(w)) / 2 AS tol
+  FROM spots, (SELECT sum(lat * w) / sum(w) AS mlat, sum(lon * w) / sum(w) AS mlon FROM spots) m),
+ seeds AS (SELECT r, c, lat, lon FROM (SELECT r, row_number() OVER (PARTITION BY r ORDER BY md5(CAST(r AS VARCHAR) || ':' || CAST(spot AS VARCHAR)), spot) - 1 AS c, lat, lon
+  FROM spots, (SELECT unnest(range(10)) AS r) runs) x WHERE c < (SELECT k FROM rules)),
+ lloyd(pass, r, c, lat, lon, done) AS (
+  SELECT 0, r, c, lat, lon, false FROM seeds
+  UNION ALL
+  SELECT pass + 1, r, c, nlat, nlon, sum((nlat - lat) * (nlat - lat) + (nlon - lon) * (nlon - lon)) OVER (PARTITION BY r) <= (SELECT tol FROM rules) FROM (
+   SELECT l.*, coalesce(m.lat, l.lat) AS nlat, coalesce(m.lon, l.lon) AS nlon FROM lloyd l LEFT JOIN (
+    SELECT r, b.c AS c, sum(lat * w) / sum(w) AS lat, sum(lon * w) / sum(w) AS lon FROM (
+     SELECT l.r, s.spot, s.lat, s.lon, s.w, min({{'d': {square}, 'c': l.c}}) AS b FROM spots s, lloyd l WHERE NOT l.done GROUP BY ALL) a GROUP BY ALL
+   ) m ON m.r = l.r AND m.c = l.c WHERE NOT l.done) moved WHERE pass < 300),
+ ends AS MATERIALIZED (SELECT * FROM lloyd QUALIFY pass = max(pass) OVER (PARTITION BY r)),
+ assigned AS MATERIALIZED (SELECT l.r, s.spot, s.lat, s.lon, s.w, min({{'d': {square}, 'c': l.c}}) AS b FROM spots s, ends l GROUP BY ALL),
+ cheapest AS (SELECT r FROM assigned GROUP BY r ORDER BY sum(w * b.d), r LIMIT 1),
+ lab AS (SELECT m.*, a.b.c AS l FROM merchants m JOIN assigned a ON a.lat = m.latitude AND a.lon = m.longitude WHERE a.r = (SELECT r FROM cheapest)),
+ means AS (SELECT l, avg(latitude) AS la, avg(longitude) AS lo, min(row_id) AS f FROM lab GROUP BY l HAVING count(*) >= {needed}),
+ inside AS (SELECT m.row_id, m.l, x.f FROM lab m JOIN means x ON x.l = m.l WHERE {hav('x.la', 'x.lo', 'm.latitude', 'm.longitude')} <= {radius}),
+ kept AS (SELECT l, row_number() OVER (ORDER BY min(f)) - 1 AS k FROM inside GROUP BY l HAVING count(*) >= {needed}),
+ member AS (SELECT m.*, CAST(coalesce(k.k, -1) AS INTEGER) AS poi_cluster FROM merchants m LEFT JOIN inside i ON i.row_id = m.row_id LEFT JOIN kept k ON k.l = i.l)
+"""
+
+
+_DENSITY = (("DBSCAN", (200, 300, 500), _dbscan), ("Adaptive", (400, 600, 800), _adaptive))
+_METHODS = (*_DENSITY, ("KMeans", (250, 350, 500), _kmeans))
+
+
+def _density_sweep(methods: tuple = _DENSITY) -> str:
+    """Parameter sets of the given detectors, in the published order; coverage is not rounded yet."""
     parts, ord_ = [], 0
-    for method, radii, text in (("DBSCAN", (200, 300, 500), _dbscan), ("Adaptive", (400, 600, 800), _adaptive)):
+    for method, radii, text in methods:
         for radius in radii:
             for needed in (15, 20, 30):
                 body = f"""SELECT CAST({ord_} AS INTEGER) AS ord, '{method}_r{radius}_m{needed}' AS config, '{method}' AS method, CAST({radius} AS INTEGER) AS radius,
@@ -436,6 +467,28 @@ def _density_sweep() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _listed_sets(methods: tuple, more: str = "") -> str:
+    return f"""WITH s AS MATERIALIZED ({_density_sweep(methods)}), listed AS (
+ SELECT *, 'most_pois' AS list FROM (SELECT * FROM s ORDER BY pois_found DESC, ord LIMIT 10) a
+ UNION ALL SELECT *, 'most_coverage' FROM (SELECT * FROM s ORDER BY coverage DESC, ord LIMIT 5) b
+ UNION ALL SELECT *, 'best' FROM (SELECT * FROM s ORDER BY pois_found DESC, ord LIMIT 1) c)
+SELECT * REPLACE (round(coverage, 6) AS coverage){more} FROM listed"""
+
+
+def _solution() -> str:
+    """Statistics of every parameter set on the cleaned merchants; the first of those with most POIs stays."""
+    parts = []
+    for method, radii, text in _METHODS:
+        for radius, needed in ((r, m) for r in radii for m in (15, 20, 30)):
+            body = text(float(radius), needed) + _described(str(radius), needed)
+            parts.append(f"""SELECT * FROM (WITH RECURSIVE merchants AS (SELECT * FROM cleaned), {body.lstrip().lstrip('+')}
+ SELECT {len(parts)} AS ord, '{method}' AS method, CAST({radius} AS DOUBLE) AS radius, CAST({needed} AS INTEGER) AS min_merchants, s.* FROM ({_STATISTICS}) s) t{len(parts)}""")
+    return with_views(f"""+f AS (SELECT row_id, {_repair('latitude', 'first')} AS latitude, {_repair('longitude', 'first')} AS longitude FROM dirty),
+ cleaned AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, latitude, longitude, CAST(NULL AS VARCHAR) AS subdistrict,
+  CAST(NULL AS VARCHAR) AS district, CAST(NULL AS VARCHAR) AS city FROM f WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180)
+SELECT * EXCLUDE (ord) FROM ({' UNION ALL '.join(parts)}) every_set ORDER BY total_pois DESC, ord LIMIT 1""", "merchants", "dirty")
+
+
 def _poi_oracles() -> dict[str, str]:
     near = with_views("+" + _pairs(300.0) + " SELECT a_id, b_id, round(hav_m, 3) AS hav_m FROM pairs", "merchants")
 
@@ -469,12 +522,12 @@ def _poi_oracles() -> dict[str, str]:
         "poi_coverage": found(300.0, 15, _COVERAGE),
         "poi_map_layers": found(500.0, 15, _LAYERS),
         "poi_relaxed": found(600.0, 10, _POI_ROWS),
+        "poi_kmeans": with_views(_kmeans(350.0, 15) + _described("350.0", 15) + _POI_ROWS.replace("SELECT poi_id,", "SELECT poi_id, round(max_distance, 3) AS actual_max_radius,"), "merchants", recursive=True),
+        "poi_sweep": f"SELECT * REPLACE (round(coverage, 6) AS coverage), CAST(NULL AS VARCHAR) AS error FROM ({_density_sweep(_METHODS)}) s",
         "poi_sweep_density": f"SELECT * REPLACE (round(coverage, 6) AS coverage) FROM ({_density_sweep()}) s",
-        "poi_sweep_density_top": f"""WITH s AS ({_density_sweep()}), listed AS (
- SELECT *, 'most_pois' AS list FROM (SELECT * FROM s ORDER BY pois_found DESC, ord LIMIT 10) a
- UNION ALL SELECT *, 'most_coverage' FROM (SELECT * FROM s ORDER BY coverage DESC, ord LIMIT 5) b
- UNION ALL SELECT *, 'best' FROM (SELECT * FROM s ORDER BY pois_found DESC, ord LIMIT 1) c)
-SELECT * REPLACE (round(coverage, 6) AS coverage) FROM listed""",
+        "poi_sweep_density_top": _listed_sets(_DENSITY),
+        "poi_sweep_top": _listed_sets(_METHODS, ", CAST(NULL AS VARCHAR) AS error"),
+        "poi_solution": _solution(),
         "poi_kmeans_trim": with_views(f"""+lab AS (SELECT *, CAST(substr(city, 8) AS INTEGER) AS l FROM merchants),
  means AS (SELECT l, avg(latitude) AS la, avg(longitude) AS lo, min(row_id) AS f FROM lab GROUP BY l HAVING count(*) >= 60),
  inside AS (SELECT m.row_id, m.l, x.f FROM lab m JOIN means x ON x.l = m.l WHERE {hav('x.la', 'x.lo', 'm.latitude', 'm.longitude')} <= 700),

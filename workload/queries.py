@@ -415,7 +415,7 @@ def _lists(results: DataFrame) -> DataFrame:
 
 
 def poi_sweep_top(t: Tables) -> DataFrame:
-    return _lists(materialize(sweep.sweep(t.merchants())))
+    return _round(_lists(materialize(sweep.sweep(t.merchants()))), coverage=6)
 
 
 def _density_sweep(t: Tables) -> DataFrame:
@@ -431,7 +431,8 @@ def poi_sweep_density_top(t: Tables) -> DataFrame:
 
 
 def poi_solution(t: Tables) -> DataFrame:
-    return solution.solution_summary(solution.solve(t.dirty(), "row_id"))
+    return _round(solution.solution_summary(solution.solve(t.dirty(), "row_id")), coverage_percentage=6, avg_merchants_per_poi=6,
+                  std_merchants_per_poi=6, avg_max_distance=3, avg_avg_distance=3)
 
 
 def poi_relaxed(t: Tables) -> DataFrame:
