@@ -74,15 +74,15 @@ def _may_be_subdistrict(part: Column, city: Column, province: Column) -> Column:
     )
 
 
-def with_address_parts(df: DataFrame, address: str = "address") -> DataFrame:
-    """Add subdistrict, district, city, province and zip_code read from column ``address``.
+def with_address_parts(df: DataFrame, address: str = "address", parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Add the ``parts`` (subdistrict, district, city, province, zip_code) read from column ``address``.
 
     The parts build on each other, so they come in three steps, each computed
-    once per row.
+    once per row. A subdistrict needs all but the zip code; the others need no step but their own.
     """
     lowered = computed_once(df, {"_text": blank_to_null(F.col(address)), "_lower": F.lower(F.col(address))})
     text, longest_first = F.col("_text"), sorted(PROVINCES, key=len, reverse=True)
-    named = computed_once(lowered, {
+    steps = {
         "zip_code": first_match(text, ZIP),
         "province": _named_in(F.col("_lower"), longest_first),
         "city": F.coalesce(
@@ -93,20 +93,23 @@ def with_address_parts(df: DataFrame, address: str = "address") -> DataFrame:
         "_marked": blank_to_null(
             strip(F.coalesce(first_match(text, SUBDISTRICT_MARKED, 1), first_match(text, VILLAGE_MARKED, 1)))
         ),
-    })
-    parts = F.filter(
+    }
+    needed = {*parts, "district", "city", "province", "_marked"} if "subdistrict" in parts else set(parts)
+    named = computed_once(lowered, {name: step for name, step in steps.items() if name in needed})
+    if "subdistrict" not in parts:
+        return named.drop("_text", "_lower")
+    listed_parts = F.filter(
         F.transform(F.split("_text", ","), strip),
         lambda p: _may_be_subdistrict(p, F.col("city"), F.col("province")),
     )
-    listed = computed_once(named, {"_parts": F.when(F.col("_marked").isNull(), parts)})
+    listed = computed_once(named, {"_parts": F.when(F.col("_marked").isNull(), listed_parts)})
     before_district = F.filter("_parts", lambda p: F.position(p, text) < F.position(F.col("district"), text))
     inferred = F.coalesce(
         F.when(F.col("district") != "", F.try_element_at(before_district, F.lit(1))),
         F.try_element_at("_parts", F.lit(1)),
     )
-    return listed.withColumn("subdistrict", F.coalesce("_marked", inferred)).drop(
-        "_text", "_lower", "_marked", "_parts"
-    )
+    helpers = {"_text", "_lower", "_marked", "_parts", *(needed - set(parts))}
+    return listed.withColumn("subdistrict", F.coalesce("_marked", inferred)).drop(*helpers)
 
 
 def parse_address_columns(df: DataFrame, address: str = "address") -> DataFrame:

@@ -31,10 +31,20 @@ def valid_places(places: DataFrame) -> DataFrame:
     return places.filter(is_valid_place(F.col("name"), F.col("link")))
 
 
-def assemble(captures: DataFrame, keep: tuple[str, ...] = ("task_id", "rank")) -> DataFrame:
+# Which helper steps a result column is read from; the others come straight from the capture.
+HELPERS = {
+    "latitude": "_at", "longitude": "_at", "rating": "_rating", "reviews_count": "_reviews", "phone": "_phone",
+    "address": "address", **{part: "address" for part in PARTS},
+}
+
+
+def assemble(captures: DataFrame, keep: tuple[str, ...] = ("task_id", "rank"),
+             columns: tuple[str, ...] = tuple(PLACE_COLUMNS)) -> DataFrame:
     """CAPTURE rows to PLACE rows in one narrow stage; ``keep`` columns are carried along.
 
-    Captures may lack optional columns: they then count as null.
+    Only the steps that ``columns`` depend on are planned. Name and link are
+    always looked at, since they decide whether a place is valid. Captures may
+    lack optional columns: they then count as null.
     """
     strings = ["category_text", "address_text", "rating_box_text", "rating_alt_text", "phone_text", "phone_aria",
                "website", "hours_text", "search_keyword", "search_location"]
@@ -45,14 +55,19 @@ def assemble(captures: DataFrame, keep: tuple[str, ...] = ("task_id", "rank")) -
     rows = named_captures(captures.withColumns(absent) if absent else captures)
 
     box = F.col("rating_box_text")
-    rows = X.computed_once(rows, {
+    helpers = {
         "address": X.text_or_first_label(F.col("address_text"), F.col("address_aria")),
         "_at": link_coordinates(F.col("link")),
         "_rating": X.rating_text(box, F.col("rating_alt_text")),
         "_reviews": X.reviews_text(box),
         "_phone": X.text_or_label(F.col("phone_text"), F.col("phone_aria")),
-    })
-    rows = with_address_parts(rows, "address")
+    }
+    needed = {HELPERS.get(c) for c in columns}
+    wanted_helpers = {name: step for name, step in helpers.items() if name in needed}
+    if wanted_helpers:
+        rows = X.computed_once(rows, wanted_helpers)
+    if parts := tuple(p for p in PARTS if p in columns):
+        rows = with_address_parts(rows, "address", parts)
     fields = {
         "name": X.clean_text(F.col("name_text")),
         "category": X.clean_text(F.col("category_text")),
@@ -72,7 +87,9 @@ def assemble(captures: DataFrame, keep: tuple[str, ...] = ("task_id", "rank")) -
         "scraped_at": F.col("captured_at"),
     }
     carried = [c for c in keep if c in rows.columns]
-    return valid_places(rows.select(*carried, *[fields[c].alias(c) for c in PLACE_COLUMNS]))
+    asked = [c for c in PLACE_COLUMNS if c in columns]
+    known = rows.select(*carried, *[fields[c].alias(c) for c in PLACE_COLUMNS if c in {*columns, "name", "link"}])
+    return valid_places(known).select(*carried, *asked)
 
 
 def first_per_link(places: DataFrame) -> DataFrame:

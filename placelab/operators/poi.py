@@ -42,9 +42,10 @@ def describe(assigned: DataFrame, radius: Column, min_merchants: int, lat: str,
     inside, outside = assigned.filter(c("poi_cluster") >= 0), assigned.filter(c("poi_cluster") < 0)
     centres = materialize(inside.groupBy("poi_cluster").agg(
         F.avg(lat).alias("center_lat"), F.avg(lon).alias("center_lon"), F.count("*").alias("merchant_count"),
-        *[F.coalesce(F.mode(n, True), F.lit("")).alias(n) for n in names],
         *[F.first(n).alias(n) for n in extra],
     ))
+    if names:
+        centres = materialize(centres.join(_commonest(inside, names), "poi_cluster", "left").fillna("", names))
     sized = centres.select("poi_cluster", "center_lat", "center_lon", c("merchant_count").alias("_n"))
     measured = skew.join_per_key(inside, sized, ["poi_cluster"], "_n").withColumn(
         "distance_to_center", haversine_m(c("center_lat"), c("center_lon"), c(lat), c(lon))
@@ -66,6 +67,18 @@ def describe(assigned: DataFrame, radius: Column, min_merchants: int, lat: str,
     return Detection(pois, membership)
 
 
+def _commonest(inside: DataFrame, names: list[str]) -> DataFrame:
+    """(poi_cluster, *names): the most frequent value of each column per cluster, the first in order on ties.
+
+    Values are counted first, which combines before the shuffle; a cluster then has one row per value.
+    """
+    pairs = inside.select("poi_cluster", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("_name"), F.col(n).alias("_value")) for n in names]))).filter("_value IS NOT NULL")
+    counts = pairs.groupBy("poi_cluster", "_name", "_value").agg((-F.count("*")).alias("_n"))
+    first = counts.groupBy("poi_cluster", "_name").agg(F.min(F.struct("_n", "_value")).alias("_best"))
+    return first.groupBy("poi_cluster").agg(*[F.max(F.when(F.col("_name") == n, F.col("_best._value"))).alias(n) for n in names])
+
+
 def detect_dbscan(merchants: DataFrame, radius: float = 250, min_merchants: int = 30, lat: str = "latitude",
                   lon: str = "longitude", row_id: str = "row_id") -> Detection:
     """POIs by density clustering."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placelab.functions.random import gaussian, uniform
+
 # Sample keywords, and sample locations as (subdistrict, district).
 KEYWORDS = ["warung kelontong", "toko kelontong", "minimarket", "cafe", "restoran", "apotek"]
 LOCATIONS = [
@@ -59,18 +61,27 @@ def damaged_merchants(spark: SparkSession) -> DataFrame:
 
 
 def synthetic_merchants(spark: SparkSession, n: int = 1000, per_spot: int = 115, seed: int = 42) -> DataFrame:
-    """``n`` merchants: Gaussian hot-spots of ``per_spot`` each, the rest spread wider; grows with ``n``."""
-    spot = F.floor(F.col("row_id") / per_spot)
+    """``n`` merchants around the hot-spots; see ``scattered``."""
+    return scattered(spark.range(n).withColumnRenamed("id", "row_id"), per_spot, seed)
+
+
+def scattered(rows: DataFrame, per_spot: int = 115, seed: int = 42) -> DataFrame:
+    """A merchant per ``row_id``: Gaussian hot-spots of ``per_spot`` rows each, the rest spread wider.
+
+    Everything about a merchant follows from its row_id and the seed, whatever the partitioning.
+    """
+    row, spot = F.col("row_id"), F.floor(F.col("row_id") / per_spot)
     hot = spot < len(HOT_SPOTS)
-    lat = F.element_at(F.array(*[F.lit(a) for a, _ in HOT_SPOTS]), F.least(spot, F.lit(len(HOT_SPOTS) - 1)).cast("int") + 1)
-    lon = F.element_at(F.array(*[F.lit(o) for _, o in HOT_SPOTS]), F.least(spot, F.lit(len(HOT_SPOTS) - 1)).cast("int") + 1)
+    at = F.least(spot, F.lit(len(HOT_SPOTS) - 1)).cast("int") + 1
+    lat = F.element_at(F.array(*[F.lit(a) for a, _ in HOT_SPOTS]), at)
+    lon = F.element_at(F.array(*[F.lit(o) for _, o in HOT_SPOTS]), at)
     spread = F.when(hot, HOT_SPREAD).otherwise(BACKGROUND_SPREAD)
-    return spark.range(n).withColumnRenamed("id", "row_id").select(
+    return rows.select(
         "row_id",
-        (F.when(hot, lat).otherwise(HOT_SPOTS[0][0]) + F.randn(seed) * spread).alias("latitude"),
-        (F.when(hot, lon).otherwise(HOT_SPOTS[0][1]) + F.randn(seed + 1) * spread).alias("longitude"),
+        (F.when(hot, lat).otherwise(HOT_SPOTS[0][0]) + gaussian(seed, row, "lat") * spread).alias("latitude"),
+        (F.when(hot, lon).otherwise(HOT_SPOTS[0][1]) + gaussian(seed, row, "lon") * spread).alias("longitude"),
         F.format_string("M_%04d", "row_id").alias("merchant_id"),
         F.lit("Jakarta").alias("city"),
-        F.format_string("District_%d", F.floor(F.rand(seed + 2) * 3) + 1).alias("district"),
-        F.format_string("Subdistrict_%d", F.floor(F.rand(seed + 3) * 9) + 1).alias("subdistrict"),
+        F.format_string("District_%d", F.floor(uniform(seed, row, "district") * 3) + 1).alias("district"),
+        F.format_string("Subdistrict_%d", F.floor(uniform(seed, row, "subdistrict") * 9) + 1).alias("subdistrict"),
     )

@@ -74,6 +74,26 @@ def running_counts(stream: DataFrame, column: str) -> DataFrame:
     return stream.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("places"))
 
 
+def upsert_to(stream: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "1 minute") -> StreamingQuery:
+    """Keep the changed rows of every micro-batch of an aggregate under the batch's own name.
+
+    A batch that is run again after a failure replaces its own rows, so nothing is counted twice. ``latest`` reads the state.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def latest(spark: SparkSession, path: str, schema: T.StructType, *keys: str) -> DataFrame:
+    """The current row of every key of what ``upsert_to`` has written."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    values = [f.name for f in schema.fields if f.name not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str, once: bool = False, every: str = "1 minute",
               fmt: str = "parquet") -> StreamingQuery:
     """Append the stream to files; the checkpoint keeps progress over restarts.

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,32 @@ def test_diagnose_first_value_only(spark):
 def test_synthetic_merchants(spark):
     df = samples.synthetic_merchants(spark, 1000)
     assert df.count() == 1000 and clean.diagnose(df).isEmpty()
+    rows = sorted(map(tuple, df.collect()))
+    assert rows == sorted(map(tuple, samples.scattered(spark.range(0, 1000, 1, 7).toDF("row_id")).collect()))
+    spread = np.array([r[1] for r in rows[:345]]) - np.repeat([-6.2088, -6.2100, -6.2050], 115)
+    assert abs(spread.mean()) < 0.001 and abs(spread.std() - 0.005) < 0.0006
+
+
+def test_only_needed_fields_are_planned(spark):
+    rows = [(1, 1, "u/@-6.5,106.8", "Shop", "food", "Jl. A, Kel. Menteng, Kec. Tebet, Jakarta Selatan, DKI Jakarta 12810", "4.5 (7)"),
+            (1, 2, None, "No link", "food", None, None), (1, 3, "v", "Results", "x", None, None)]
+    schema = "task_id long, rank int, link string, name_text string, category_text string, address_text string, rating_box_text string"
+    captures = spark.createDataFrame(rows, schema)
+    whole = P.assemble(captures)
+    for columns in (("category",), ("city",), ("subdistrict",), ("zip_code", "rating"), ("latitude", "name"), ("province", "district")):
+        part = P.assemble(captures, columns=columns)
+        assert set(part.columns) == {"task_id", "rank", *columns}
+        assert part.collect() == whole.select(part.columns).collect() and part.count() == 1
+    plan = P.assemble(captures, columns=("category",))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "regexp" not in plan.split("Physical Plan")[1].lower().replace("regexp_replace", "")
+
+
+def test_commonest_names_of_clusters(spark):
+    rows = [(0, "b", None), (0, "a", None), (0, "b", "x"), (0, "a", "y"), (1, None, None), (2, "z", "q")]
+    from placelab.operators.poi import _commonest
+
+    got = _commonest(spark.createDataFrame(rows, "poi_cluster int, city string, district string"), ["city", "district"]).collect()
+    assert sorted(map(tuple, got)) == [(0, "a", "x"), (2, "z", "q")]
 
 
 def test_one_long_number_is_not_joined(spark):

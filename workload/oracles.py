@@ -204,6 +204,22 @@ def _unescaped(text: str) -> str:
     return f"nullif(trim({text}), '')"
 
 
+def _synthetic() -> str:
+    def uniform(stream: str) -> str:
+        return f"((CAST(('0x' || substr(md5('42:{stream}:' || CAST(row_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5E0) / 4503599627370496.0E0)"
+
+    def normal(stream: str) -> str:
+        return f"sqrt(-2 * ln({uniform(stream + 'a')})) * cos(2 * pi() * {uniform(stream + 'b')})"
+
+    lats, lons = "[-6.2088E0, -6.2100E0, -6.2050E0]", "[106.8456E0, 106.8500E0, 106.8400E0]"
+    spread, place = "CASE WHEN spot < 3 THEN 0.005E0 ELSE 0.02E0 END", "CASE WHEN spot < 3 THEN spot + 1 ELSE 1 END"
+    return f"""WITH rows AS (SELECT CAST(c_custkey AS BIGINT) AS row_id, CAST(floor(c_custkey / 115) AS BIGINT) AS spot FROM customer)
+SELECT row_id, round({lats}[{place}] + {normal('lat')} * {spread}, 9) AS latitude, round({lons}[{place}] + {normal('lon')} * {spread}, 9) AS longitude,
+ 'M_' || CASE WHEN row_id < 10000 THEN lpad(CAST(row_id AS VARCHAR), 4, '0') ELSE CAST(row_id AS VARCHAR) END AS merchant_id, 'Jakarta' AS city,
+ 'District_' || CAST(CAST(floor({uniform('district')} * 3) AS BIGINT) + 1 AS VARCHAR) AS district,
+ 'Subdistrict_' || CAST(CAST(floor({uniform('subdistrict')} * 9) AS BIGINT) + 1 AS VARCHAR) AS subdistrict FROM rows"""
+
+
 def _place_oracles() -> dict[str, str]:
     stars = ", ".join(f"CASE WHEN bars >= {6 - s} THEN {_first_int(f'b{6 - s}')} END AS star_{s}" for s in range(1, 6))
     counts = "SELECT {c}, places FROM (SELECT {c}, count(*) AS places FROM places WHERE {c} IS NOT NULL GROUP BY {c}{cut}) x WHERE {c} <> ''"
@@ -250,6 +266,8 @@ def _place_oracles() -> dict[str, str]:
         "summary_category_top10": _from_places(
             """SELECT category, places FROM (SELECT CASE WHEN rank % 13 = 0 THEN '' ELSE 'c' || CAST(rank * rank % 29 AS VARCHAR) END AS category,
   count(*) AS places FROM places GROUP BY 1 ORDER BY places DESC, category LIMIT 10) x WHERE category <> ''"""),
+        "stream_counts": _from_places("SELECT city, count(*) AS places FROM places WHERE city IS NOT NULL GROUP BY 1"),
+        "synthetic_merchants": _synthetic(),
         "summary_city": _from_places(counts.format(c="city", cut="")),
         "summary_district_top10": _from_places(
             "SELECT 'd' || CAST(rank % 23 AS VARCHAR) AS district, count(*) AS places FROM places GROUP BY 1 ORDER BY places DESC, district LIMIT 10"),

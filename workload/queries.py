@@ -17,7 +17,7 @@ from placelab.operators import places as P
 from placelab.operators.rows import with_row_id
 from placelab.plans import merge, search, solution, sweep
 from placelab.session import checkpoint_dir, materialize
-from placelab.sources import html, readers, sinks
+from placelab.sources import html, readers, samples, sinks
 from placelab.streaming import incremental
 from workload import views
 
@@ -72,8 +72,9 @@ class Tables:
     def event_tasks(self) -> DataFrame:
         return self._bound(views.EVENT_TASKS, ("events",))
 
-    def places(self) -> DataFrame:
-        return P.assemble(self.captures())
+    def places(self, *columns: str) -> DataFrame:
+        """Assembled places; only ``columns`` are worked out, if any are named."""
+        return P.assemble(self.captures(), columns=columns) if columns else P.assemble(self.captures())
 
     def scratch(self) -> str:
         return f"{checkpoint_dir(self.spark)}/run-{uuid.uuid4().hex}"
@@ -265,24 +266,25 @@ def task_outcomes(t: Tables) -> DataFrame:
 def summary_category_top10(t: Tables) -> DataFrame:
     """Some thirty values, one of them blank: it takes part in the cut and is hidden afterwards."""
     named = F.when(F.col("rank") % 13 == 0, "").otherwise(F.concat(F.lit("c"), (F.col("rank") * F.col("rank") % 29).cast("string")))
-    return summary.top_categories(t.places().withColumn("category", named))
+    return summary.top_categories(t.places("category").withColumn("category", named))
 
 
 def summary_city(t: Tables) -> DataFrame:
-    return summary.city_counts(t.places())
+    return summary.city_counts(t.places("city"))
 
 
 def summary_district_top10(t: Tables) -> DataFrame:
     """More values than are kept, most of them equally frequent."""
-    return summary.top_districts(t.places().withColumn("district", F.concat(F.lit("d"), (F.col("rank") % 23).cast("string"))))
+    return summary.top_districts(t.places("district").withColumn("district", F.concat(F.lit("d"), (F.col("rank") % 23).cast("string"))))
 
 
 def summary_overview(t: Tables) -> DataFrame:
-    return _round(summary.overview(t.places()), avg_rating=6, coords_pct=6)
+    needed = ("rating", "phone", "website", "latitude", "longitude")
+    return _round(summary.overview(t.places(*needed)), avg_rating=6, coords_pct=6)
 
 
 def place_preview(t: Tables) -> DataFrame:
-    return summary.preview(t.places().select("task_id", "rank", "name", "city"), 50, "task_id", "rank")
+    return summary.preview(t.places("name", "city"), 50, "task_id", "rank")
 
 
 # ---- coordinates
@@ -537,6 +539,22 @@ def stream_summary(t: Tables) -> DataFrame:
     return _round(incremental.running_summary(windows), avg_rating=6, coords_pct=6)
 
 
+def stream_counts(t: Tables) -> DataFrame:
+    """Running places per city, kept by upserts as four files arrive one by one."""
+    path, written = _capture_files(t)
+    arriving = incremental.read_captures(t.spark, path, written.schema, files_per_trigger=1)
+    counts = incremental.running_counts(P.assemble(arriving, columns=("city",)), "city")
+    out = t.scratch()
+    incremental.upsert_to(counts, out, t.scratch(), once=True).awaitTermination()
+    return incremental.latest(t.spark, out, counts.schema, "city")
+
+
+def synthetic_merchants(t: Tables) -> DataFrame:
+    """A synthetic merchant per customer."""
+    made = samples.scattered(t["customer"].select(F.col("c_custkey").cast("long").alias("row_id")))
+    return _round(made, latitude=9, longitude=9)
+
+
 _PLAIN = [
     task_cross, task_from_table, task_form_locations, task_district, task_subdistrict, task_estimate, task_slug,
     rerun_pairs, rerun_tasks, validate_inputs, harvest_links, harvest_links_impatient, search_places,
@@ -549,7 +567,7 @@ _PLAIN = [
     poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_sweep_density,
     poi_sweep_density_top, poi_solution,
     poi_relaxed, io_delimited, io_task_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
-    stream_summary,
+    stream_summary, stream_counts, synthetic_merchants,
 ]
 
 
