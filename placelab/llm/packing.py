@@ -17,6 +17,7 @@ packed like others; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from placelab.session import materialize
 TIERS = (512, 1024, 2048)
 GROUP_WINDOWS, POOL_TOKENS, RESTS_PER_TASK = 8, 1 << 20, 4096
 KEPT_CHARS, KEPT_ENTRIES, EMIT_ROWS = 32, 1_200_000, 8192
+#: Marks that never share a match of the split pattern with a word before them.
+MARKS = frozenset(".,;:!?")
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -44,27 +47,44 @@ def _tokenizer(path: str, pattern: str) -> tuple:
         from tokenizers import Tokenizer
 
         loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
-        _tokenizers[path] = (loaded, Chunks(pattern), {})
+        special = [t.content for t in loaded.get_added_tokens_decoder().values()]
+        found = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        _tokenizers[path] = (loaded, Chunks(pattern), found, {}, {})
     return _tokenizers[path]
 
 
+def _base(chunk: str) -> str:
+    """The chunk without a mark at its end that the split pattern takes for itself: a word is then encoded once for all its marks."""
+    return chunk[:-1] if chunk[-1] in MARKS and chunk[1 if chunk[0] == " " else 0 : -1].isalpha() else chunk
+
+
 def tokenize(texts: list[str], path: str, pattern: str, end_id: int) -> list[bytes]:
-    """Ids of every text and the end id, as packed 32-bit numbers; every new chunk goes to the tokenizer once."""
-    tokenizer, chunks, known = _tokenizer(path, pattern)
+    """Ids of every text and the end id, as packed 32-bit numbers; every new chunk goes to the tokenizer once.
+
+    A text that holds the string of a special token goes to the tokenizer as a whole, which gives it that token's id.
+    """
+    tokenizer, chunks, special, known, bases = _tokenizer(path, pattern)
     end = array("I", [end_id]).tobytes()
-    cuts = [chunks(text) for text in texts]
+    cuts = [() if special(text) else chunks(text) for text in texts]
     needed = set().union(*cuts)
     new = [c for c in needed if c not in known]
-    if len(known) + len(new) > KEPT_ENTRIES:
+    if len(known) + len(bases) + len(new) > KEPT_ENTRIES:
         known.clear()
+        bases.clear()
         new = list(needed)
-    encoded = tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-    known.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, encoded))
-    found = [b"".join([known[c] for c in cut]) + end for cut in cuts]
+    cores = [_base(c) for c in new]
+    fresh = list({*cores, *(c[-1] for c in new)}.difference(bases)) if new else []
+    encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
+    bases.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, encoded))
+    known.update((c, bases[b] if len(b) == len(c) else bases[b] + bases[c[-1]]) for c, b in zip(new, cores))
+    found = [
+        (b"".join([known[c] for c in cut]) if cut else array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()) + end
+        for text, cut in zip(texts, cuts)
+    ]
     for c in new:
         if len(c) > KEPT_CHARS:
             del known[c]
+            bases.pop(_base(c), None)
     return found
 
 

@@ -254,7 +254,7 @@ def score(
 
 def keep_good(docs: DataFrame, model: Classifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of at least that score, with all their columns."""
-    place = docs.columns.index(text)
+    place = [c.lower() for c in docs.columns].index(text.lower())
 
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(model.score_texts(as_text(batch.column(place))) >= threshold))

@@ -362,9 +362,9 @@ def _cut(data: bytes, found: list[dict] | None, width: int) -> tuple[bytes, int,
     return np.frombuffer(data, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def _with_spans(docs: DataFrame, mark: str, key: str, text: str, width: int, gram: int) -> DataFrame:
-    found = spans(docs, key, text, width, gram).groupBy("row").agg(
-        F.collect_list(F.struct("first", "last")).alias("_spans")).withColumnRenamed("row", mark)
+def _with_spans(docs: DataFrame, mark: str, key: str, text: str, width: int, gram: int, into: str = "_spans") -> DataFrame:
+    found = spans(docs.select(key, text), key, text, width, gram).groupBy("row").agg(
+        F.collect_list(F.struct("first", "last")).alias(into)).withColumnRenamed("row", mark)
     return docs.withColumn(mark, _text_key(key, text)).join(found, mark, "left").drop(mark)
 
 
@@ -389,9 +389,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
     ``size`` names a column of text lengths in code points to be brought up to date. A null text stays null.
     """
-    mark = fresh(docs, "_row")
-    rows = _with_spans(docs, mark, key, text, width, gram)
-    place, at = docs.columns.index(text), len(docs.columns)
+    rows = _with_spans(docs, fresh(docs, "_row"), key, text, width, gram, fresh(docs, "_spans"))
+    place, at = [c.lower() for c in docs.columns].index(text.lower()), len(docs.columns)
 
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
         new = [

@@ -19,7 +19,6 @@ def ids_of():
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(TOKENIZER)
-    loaded.encode_special_tokens = True
     return lambda text: np.array(loaded.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
@@ -61,6 +60,20 @@ def test_packing_loses_and_pads_nothing(spark, messy_rows, messy, nothing, ids_o
     assert packing.pack(nothing, TOKENIZER, public_pattern()).count() == 0
 
 
+def test_tokens_equal_the_plain_library(ids_of):
+    rng = random.Random(9)
+    bits = ["<|endoftext|>", "<|endof", "text|>", "word", "Ünï", ",", ".", "!?", "'s", "don't", " ", "  ", "\n", "12", "é,", "漢字.", "x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["<|endoftext|>"] * 2
+    got = packing.tokenize(texts, TOKENIZER, public_pattern(), 1)
+    assert all(g == ids_of(t).tobytes() for g, t in zip(got, texts))
+
+
+def test_repeated_passages_with_clashing_columns(messy):
+    clashing = messy.selectExpr("doc_id", "text AS Text", "n_chars", "row AS _spans", "row AS _row", "lang AS first", "row")
+    left = suffixes.remove(clashing, size="n_chars")
+    assert left.columns == clashing.columns and left.count() == clashing.count()
+
+
 def test_step_groups_hold_equal_token_numbers(messy):
     pieces = packing.pack(messy, TOKENIZER, public_pattern()).groupBy("step_group").sum("length").collect()
     sizes = sorted(r[1] for r in pieces)
