@@ -23,68 +23,83 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from placelab.llm.bpe import Chunks
 from placelab.llm.common import as_text, map_partitions
 from placelab.session import materialize
 
 TIERS = (512, 1024, 2048)
 GROUP_WINDOWS, POOL_TOKENS, RESTS_PER_TASK = 8, 1 << 20, 4096
-KEPT_CHARS, KEPT_ENTRIES, EMIT_ROWS = 32, 1_200_000, 8192
-#: Marks that never share a match of the split pattern with a word before them.
-MARKS = frozenset(".,;:!?")
+PART_CHARS, EMIT_ROWS = 1 << 20, 8192
 
 _tokenizers: dict[str, tuple] = {}
 
 
+def _byte_values() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others in order after 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def _tokenizer(path: str, pattern: str) -> tuple:
+    """(library tokenizer, search for special strings, encoder with the same merges)."""
     if path not in _tokenizers:
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         loaded = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         special = [t.content for t in loaded.get_added_tokens_decoder().values()]
+        value, vocabulary = _byte_values(), model["vocab"]
+        ranks = {bytes(value[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [vocabulary[a + b] for a, b in pairs]
+        if made != sorted(made):
+            raise ValueError("the ids of the vocabulary do not follow its merges")
         found = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
-        _tokenizers[path] = (loaded, Chunks(pattern), found, {}, {})
+        encoder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _tokenizers[path] = (loaded, found, encoder)
     return _tokenizers[path]
 
 
-def _base(chunk: str) -> str:
-    """The chunk without a mark at its end that the split pattern takes for itself: a word is then encoded once for all its marks."""
-    return chunk[:-1] if chunk[-1] in MARKS and chunk[1 if chunk[0] == " " else 0 : -1].isalpha() else chunk
+#: No match of the split pattern reaches across this place.
+_BETWEEN_WORDS = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that are encoded for themselves."""
+    at = 0
+    while len(text) - at > PART_CHARS:
+        cut = _BETWEEN_WORDS.search(text, at + PART_CHARS)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 def tokenize(texts: list[str], path: str, pattern: str, end_id: int) -> list[bytes]:
-    """Ids of every text and the end id, as packed 32-bit numbers; every new chunk goes to the tokenizer once.
+    """Ids of every text, as the tokenizer file's library gives them, and the end id, as packed 32-bit numbers.
 
-    A text that holds the string of a special token goes to the tokenizer as a whole, which gives it that token's id.
+    The merges are run by a faster encoder with the ranks of the same file. A text that holds the
+    string of a special token goes to the library itself, which gives that string its own id.
     """
-    tokenizer, chunks, special, known, bases = _tokenizer(path, pattern)
-    end = array("I", [end_id]).tobytes()
-    cuts = [() if special(text) else chunks(text) for text in texts]
-    needed = set().union(*cuts)
-    new = [c for c in needed if c not in known]
-    if len(known) + len(bases) + len(new) > KEPT_ENTRIES:
-        known.clear()
-        bases.clear()
-        new = list(needed)
-    cores = [_base(c) for c in new]
-    fresh = list({*cores, *(c[-1] for c in new)}.difference(bases)) if new else []
-    encoded = tokenizer.encode_batch_fast(fresh, add_special_tokens=False) if fresh else []
-    bases.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, encoded))
-    known.update((c, bases[b] if len(b) == len(c) else bases[b] + bases[c[-1]]) for c, b in zip(new, cores))
-    found = [
-        (b"".join([known[c] for c in cut]) if cut else array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()) + end
-        for text, cut in zip(texts, cuts)
-    ]
-    for c in new:
-        if len(c) > KEPT_CHARS:
-            del known[c]
-            bases.pop(_base(c), None)
+    loaded, special, encoder = _tokenizer(path, pattern)
+    end, found = array("I", [end_id]).tobytes(), []
+    for text in texts:
+        if special(text):
+            ids = [loaded.encode(text, add_special_tokens=False).ids]
+        else:
+            ids = map(encoder.encode_ordinary, _parts(text))
+        found.append(b"".join(array("I", part).tobytes() for part in ids) + end)
     return found
 
 

@@ -60,10 +60,14 @@ def test_packing_loses_and_pads_nothing(spark, messy_rows, messy, nothing, ids_o
     assert packing.pack(nothing, TOKENIZER, public_pattern()).count() == 0
 
 
-def test_tokens_equal_the_plain_library(ids_of):
+def test_tokens_equal_the_plain_library(ids_of, monkeypatch):
     rng = random.Random(9)
     bits = ["<|endoftext|>", "<|endof", "text|>", "word", "Ünï", ",", ".", "!?", "'s", "don't", " ", "  ", "\n", "12", "é,", "漢字.", "x"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + ["<|endoftext|>"] * 2
+    odd = [chr(c) for c in (0, 9, 0x0B, 0x1C, 0x1F, 0x85, 0xA0, 0x200B, 0x2028, 0x3000, 0x180E, 0xFEFF, 0x301, 0x1F642, 0xE0, 0x661)]
+    texts += ["".join(rng.choice(odd + bits[3:]) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randint(1, 0xD7FF), rng.randint(32, 126)])) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    monkeypatch.setattr(packing, "PART_CHARS", 20)
     got = packing.tokenize(texts, TOKENIZER, public_pattern(), 1)
     assert all(g == ids_of(t).tobytes() for g, t in zip(got, texts))
 
