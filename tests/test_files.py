@@ -180,3 +180,26 @@ discard_all(spark)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "GOT x" in done.stdout, done.stderr[-2000:]
+
+
+def test_one_named_file_per_task(spark, tmp_path):
+    from placelab.sources.task_writer import write_task_files
+
+    rows = [(1, r, f"n {r}|\"q\"", "u", "kw one", "loc, a") for r in (3, 1, 2)] + [(2, 1, "x", "v", "kw", "b"), (12, 1, None, "w", "k", "c")]
+    schema = "task_id long, rank int, name string, link string, search_keyword string, search_location string"
+    places = P.assemble(spark.createDataFrame(rows, schema).withColumnRenamed("name", "name_text")).repartition(3)
+    out = str(tmp_path / "results")
+    write_task_files(places, out)
+    files = sorted(f.name for f in (tmp_path / "results").iterdir())
+    assert len(files) == 2 and files[0].startswith("task_001_kw_one") and all(f.endswith(".csv") for f in files)
+    back = spark.read.options(sep="|", header=True, escape='"', multiLine=True).csv(f"{out}/{files[0]}")
+    assert [r.name for r in back.collect()] == ['n 1|"q"', 'n 2|"q"', 'n 3|"q"']
+    with pytest.raises(Exception, match="there already"):
+        write_task_files(places, out)
+    assert sorted(f.name for f in (tmp_path / "results").iterdir()) == files  # nothing of the failed job is left
+    write_task_files(places, out, mode="overwrite")
+    failing = places.withColumn("name", F.when(F.col("rank") == 3, F.raise_error(F.lit("bad"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="bad"):
+        write_task_files(failing, str(tmp_path / "none"))
+    left = tmp_path / "none"
+    assert not left.exists() or not any(left.rglob("*.csv"))
