@@ -274,6 +274,7 @@ def _place_oracles() -> dict[str, str]:
         "summary_overview": _from_places(overview),
         "stream_summary": _from_places(overview),
         "place_preview": _from_places("SELECT task_id, rank, name, city FROM places ORDER BY task_id, rank LIMIT 50"),
+        "io_named_files": _from_places("SELECT 'task_' || lpad(CAST(task_id AS VARCHAR), 3, '0') || '_toko_a_b_x_' || CAST(task_id AS VARCHAR) AS file, name, link, zip_code FROM places"),
         "io_task_files": _from_places("SELECT 'task_' || lpad(CAST(task_id AS VARCHAR), 3, '0') || '_toko_a_b_x_' || CAST(task_id AS VARCHAR) AS task_slug, name, link, zip_code FROM places"),
         "row_numbers": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_id FROM orders",
         "io_merchants": "SELECT CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) AS numbers FROM customer",

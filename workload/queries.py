@@ -17,7 +17,7 @@ from placelab.operators import places as P
 from placelab.operators.rows import with_row_id
 from placelab.plans import merge, search, solution, sweep
 from placelab.session import checkpoint_dir, materialize
-from placelab.sources import html, readers, samples, sinks
+from placelab.sources import html, readers, samples, sinks, task_writer
 from placelab.streaming import incremental
 from workload import views
 
@@ -461,6 +461,16 @@ def io_task_files(t: Tables) -> DataFrame:
     return written.select("task_slug", "name", "link", "zip_code")
 
 
+def io_named_files(t: Tables) -> DataFrame:
+    """One file per task by its published name, read back with the name of the file."""
+    path = t.scratch()
+    tagged = t.places().withColumns({"search_keyword": F.lit("toko/a b"), "search_location": F.concat(F.lit("x, "), F.col("task_id").cast("string"))})
+    task_writer.write_task_files(tagged, path)
+    reader = t.spark.read.options(sep=sinks.RESULT_SEP, header=True, escape='"', multiLine=True)
+    written = reader.csv(path).withColumn("file", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1))
+    return written.select("file", "name", "link", "zip_code")
+
+
 def _layouts(t: Tables) -> str:
     """Three task files with different columns, one of them with the published name of the link."""
     path, shops = t.scratch(), t["customer"]
@@ -566,7 +576,7 @@ _PLAIN = [
     neighbor_counts, dense_merchants, poi_dbscan_membership, poi_dbscan_summary, poi_statistics, poi_coverage,
     poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_sweep_density,
     poi_sweep_density_top, poi_solution,
-    poi_relaxed, io_delimited, io_task_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
+    poi_relaxed, io_delimited, io_task_files, io_named_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
     stream_summary, stream_counts, synthetic_merchants,
 ]
 
