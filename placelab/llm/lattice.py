@@ -11,9 +11,12 @@ of T / (N + T) is left to the pieces. The probabilities of all words and the end
 to one.
 
 Words are separated by ASCII white space, A-Z is lower-cased. Every distinct word is
-counted and scored once for the whole corpus. Frequent words, a bounded number, are sent
-to all tasks; the others are joined by the word. Null text counts as empty: one end.
-Null ids belong to the training rows; repeated rows stay; other columns are ignored.
+counted and scored once for the whole corpus, in sorted order inside a task, so that words
+share the work on their common beginnings. Frequent words, a bounded number, are sent to
+all tasks; the others are joined by the word. Null text counts as empty: one end.
+Null ids belong to the training rows; repeated rows stay and count each time; other columns
+are ignored, whatever their names. An empty table gives no rows. Texts are read in blocks of
+whole words, so a text's length is not limited; words of equal counts are alike for the model.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -58,56 +62,104 @@ class Lattice:
     def __init__(self, logs: dict[str, float]) -> None:
         self.logs = {p: v for p, v in logs.items() if not (p.startswith("<0x") and len(p) == 6)}
         self.bytes = [logs.get(f"<0x{b:02X}>", SMALLEST) for b in range(256)]
-        self.prefixes = {p[:n] for p in self.logs for n in range(1, len(p))}
-
-    def edges(self, word: str) -> list[list[tuple[int, float]]]:
-        """For every place: the places before it and the log weight of the piece between."""
-        n, logs, prefixes = len(word), self.logs, self.prefixes
-        into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                weight = logs.get(part)
-                if weight is not None:
-                    into[j].append((i, weight))
-                if part not in prefixes:
-                    break
-            if word[i] not in logs:  # a character that is no piece is spelled by its bytes
-                into[i + 1].append((i, sum(self.bytes[b] for b in word[i].encode("utf-8", "surrogateescape"))))
-        return into
-
-    def forward(self, into: list[list[tuple[int, float]]]) -> list[float]:
-        total = [0.0]
-        for edges in into[1:]:
-            terms = [total[i] + w for i, w in edges]
-            top = max(terms)
-            total.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
-        return total
+        prefixes = {p[:n] for p in self.logs for n in range(1, len(p))}
+        #: of every piece and every start of one: its log weight, if it is a piece, and whether longer pieces begin with it
+        self.parts = {p: (self.logs.get(p), p in prefixes) for p in prefixes | self.logs.keys()}
 
     def log_probability(self, word: str) -> float:
-        return self.forward(self.edges(START + word))[-1]
+        return Walk(self).forward(word)
 
     def add_expected(self, word: str, weight: float, counts: dict[str, float]) -> None:
         """Add how often each piece is used, over all segmentations, times ``weight``."""
+        walk = Walk(self)
+        walk.add(word, weight, counts)
+        walk.close(0, counts)
+
+
+class Walk:
+    """Sums over all spellings of one word after another, as a walk through the trie of the words.
+
+    What leads to a place depends on the letters before it only, so a word takes over the
+    places it shares with the word before; in sorted order every place of the trie is
+    worked out once. The same holds backwards: a place gathers what follows it in all words
+    that pass through, and hands it on to the places before when the walk leaves it.
+    """
+
+    def __init__(self, lattice: Lattice) -> None:
+        self.lattice, self.text = lattice, ""
+        self.total = [0.0]  # per place: log probability of all ways to it
+        self.back = [-math.inf]  # per place: log of what follows, of the words so far
+        self.into: list[list[tuple[int, float, str | None]]] = [[]]  # per place: start, log weight and piece
+        self.open: list[list[int]] = [[]]  # per place: starts of pieces that may go on
+
+    def _shared(self, text: str) -> int:
+        n = min(len(text), len(self.text))
+        if text[:n] == self.text[:n]:
+            return n
+        return next(i for i in range(n) if text[i] != self.text[i])
+
+    def forward(self, word: str, counts: dict[str, float] | None = None) -> float:
+        """The log probability of ``word``; places left behind are closed if there are ``counts``."""
         text = START + word
-        into = self.edges(text)
-        total = self.forward(into)
-        back = [-math.inf] * len(text) + [0.0]
-        for j in range(len(text), 0, -1):
-            for i, w in into[j]:
-                x, y = back[i], back[j] + w
-                back[i] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-        for j in range(1, len(text) + 1):
-            for i, w in into[j]:
-                share = math.exp(total[i] + w + back[j] - total[-1]) * weight
-                if share > 1e-9:
-                    piece = text[i:j]
-                    if j == i + 1 and piece not in self.logs:
-                        for b in piece.encode("utf-8", "surrogateescape"):
-                            name = f"<0x{b:02X}>"
-                            counts[name] = counts.get(name, 0.0) + share
-                    else:
-                        counts[piece] = counts.get(piece, 0.0) + share
+        shared = self._shared(text)
+        if counts is not None:
+            self.close(shared, counts)
+        for values in (self.total, self.back, self.into, self.open):
+            del values[shared + 1 :]
+        self.text = text
+        parts, total = self.lattice.parts, self.total
+        for j in range(shared + 1, len(text) + 1):
+            edges: list[tuple[int, float, str | None]] = []
+            going: list[int] = []
+            for i in (*self.open[-1], j - 1):
+                part = text[i:j]
+                found = parts.get(part)
+                if found is not None:
+                    weight, longer = found
+                    if weight is not None:
+                        edges.append((i, weight, part))
+                    if longer:
+                        going.append(i)
+            if not edges or edges[-1][0] != j - 1:  # a character that is no piece is spelled by its bytes
+                spelled = text[j - 1].encode("utf-8", "surrogateescape")
+                edges.append((j - 1, sum(self.lattice.bytes[b] for b in spelled), None))
+            if len(edges) == 1:
+                total.append(total[edges[0][0]] + edges[0][1])
+            else:
+                terms = [total[i] + w for i, w, _ in edges]
+                top = max(terms)
+                total.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+            self.back.append(-math.inf)
+            self.into.append(edges)
+            self.open.append(going)
+        return total[-1]
+
+    def add(self, word: str, weight: float, counts: dict[str, float]) -> None:
+        """Let ``weight`` times ``word`` count; ``close`` completes ``counts``."""
+        found = self.forward(word, counts)
+        self.back[-1] = _log_add(self.back[-1], math.log(weight) - found)
+
+    def close(self, keep: int, counts: dict[str, float]) -> None:
+        """Leave all places beyond ``keep``: count the pieces that lead to them."""
+        total, back = self.total, self.back
+        for j in range(len(total) - 1, keep, -1):
+            after = back[j]
+            for i, weight, piece in self.into[j]:
+                through = weight + after
+                back[i] = _log_add(back[i], through)
+                share = math.exp(total[i] + through)
+                if piece is not None:
+                    counts[piece] = counts.get(piece, 0.0) + share
+                else:
+                    for b in self.text[i:j].encode("utf-8", "surrogateescape"):
+                        name = f"<0x{b:02X}>"
+                        counts[name] = counts.get(name, 0.0) + share
+
+
+def _log_add(x: float, y: float) -> float:
+    if x == -math.inf:
+        return y
+    return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
 
 
 @dataclass
@@ -122,7 +174,7 @@ class Model:
 
 
 def _counted(docs: DataFrame, text: str, trained: Column) -> DataFrame:
-    """(word, c, seen): training and total counts of all words; tasks count first."""
+    """(word, c, seen): training and total counts of all words, sorted inside each task; tasks count first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train: Counter[bytes] = Counter()
@@ -146,7 +198,7 @@ def _counted(docs: DataFrame, text: str, trained: Column) -> DataFrame:
             yield flush()
 
     parts = map_partitions(docs.select(text, trained.alias("t")), run, "word binary, c long, seen long")
-    return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+    return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen")).sortWithinPartitions("word")
 
 
 def _text(word: bytes) -> str:
@@ -165,9 +217,11 @@ def learn(docs: DataFrame, path: str, trained: Column, text: str = "text") -> Mo
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, float] = {}
+        walk = Walk(start)
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                start.add_expected(_text(word), c, counts)
+                walk.add(_text(word), c, counts)
+        walk.close(0, counts)
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.float64())], ["piece", "n"])
 
     pieces = map_partitions(counted.filter("c > 0").select("word", "c"), used, "piece string, n double")
@@ -181,14 +235,16 @@ def learn(docs: DataFrame, path: str, trained: Column, text: str = "text") -> Mo
     kinds = distinct + 1
     left = math.log(kinds / (tokens + kinds))
 
-    def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spelled = np.array([lattice.log_probability(_text(w)) for w in batch.column(0).to_pylist()]) + left
-        with np.errstate(divide="ignore"):
-            whole_word = np.log(batch.column(1).to_numpy() / (tokens + kinds))
-        found = np.logaddexp(whole_word, spelled) / math.log(10)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["word", "c", "seen", "log10p"])
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = Walk(lattice)
+        for batch in batches:
+            spelled = np.array([walk.forward(_text(w)) for w in batch.column(0).to_pylist()], float) + left
+            with np.errstate(divide="ignore"):
+                whole_word = np.log(batch.column(1).to_numpy() / (tokens + kinds))
+            found = np.logaddexp(whole_word, spelled) / math.log(10)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], ["word", "c", "seen", "log10p"])
 
-    words = materialize(map_batches(counted, scored, "word binary, c long, seen long, log10p double"))
+    words = materialize(map_partitions(counted, scored, "word binary, c long, seen long, log10p double"))
     discard(counted)
     end = math.log10(ends / (tokens + kinds) + end_alone * kinds / (tokens + kinds))
     return Model(words, tokens, ends, distinct, end)
@@ -197,12 +253,14 @@ def learn(docs: DataFrame, path: str, trained: Column, text: str = "text") -> Mo
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """(key, *keep, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     keep = keep or {}
-    short = F.octet_length("word") <= FREQUENT_BYTES
+    # long words are sent as 128 bits of hash behind a space, which no word holds
+    sent_as = F.when(F.octet_length("word") <= FREQUENT_BYTES, F.col("word")).otherwise(
+        F.concat(F.lit(" ").cast("binary"), F.unhex(F.md5("word"))))
     # the smallest count that at most FREQUENT words reach; a count is held by a word at least
-    held = model.words.filter(short).groupBy("seen").count().orderBy(F.desc("seen")).limit(FREQUENT).collect()
+    held = model.words.groupBy("seen").count().orderBy(F.desc("seen")).limit(FREQUENT).collect()
     reached = np.cumsum([r["count"] for r in held])
     least = max([r.seen for r, n in zip(held, reached) if n > FREQUENT], default=-1) + 1
-    top = model.words.filter(short & (F.col("seen") >= least)).select("word", "c", "log10p")
+    top = model.words.filter(F.col("seen") >= least).select(sent_as.alias("word"), "c", "log10p")
     table = top.toArrow()  # at most FREQUENT rows of bounded length
     frequent = dict(zip(
         table.column("word").to_pylist(),
@@ -211,7 +269,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def worker(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, rows, names = sent.value, [], []
+        known, rows = sent.value, []
+        ends, rare_words, rare_times = [0], [], []
         for data in as_bytes(batch.column(0)):
             n = known_n = 0
             base = logs = 0.0
@@ -220,7 +279,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 words = block.split()
                 n += len(words)
                 for word, times in Counter(words).items():
-                    found = known.get(word)
+                    found = known.get(word if len(word) <= FREQUENT_BYTES else b" " + md5(word).digest())
                     if found is None:
                         rare[word] += times
                     else:
@@ -228,8 +287,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                         known_n += times * found[1]
                         logs += times * found[2]
             rows.append((n, known_n, base, logs))
-            names.append([{"word": w, "n": t} for w, t in rare.items()])
-        rest = pa.array(names, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+            rare_words.extend(rare)
+            rare_times.extend(rare.values())
+            ends.append(len(rare_words))
+        pairs = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_times, pa.int64())], ["word", "n"])
+        rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
         n, known_n, base, logs = (list(c) for c in zip(*rows))
         return pa.RecordBatch.from_arrays(
             [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(known_n, pa.int64()), pa.array(base, pa.float64()),

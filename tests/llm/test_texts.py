@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+import zlib
+from itertools import product
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from placelab.llm import bpe, chat, fingerprint, langid, lattice, quality, queri
 from placelab.llm.common import held_out, public_path, public_pattern
 
 RANKS = public_path("byte_bpe_50k.tiktoken")
+SMALL = "/root/testdata/sf0.001"
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -237,6 +240,70 @@ def test_lattice_sums_over_all_spellings():
     assert math.isclose(counts["▁ab"], 2 * math.exp(-3.0 - found)) and math.isclose(counts["ab"], 2 * math.exp(-2.7 - found))
 
 
+def spellings(text, logs):
+    """All ways to write ``text`` as pieces; a character that is no piece is its bytes."""
+    if not text:
+        yield [], 0.0
+    for n in range(1, len(text) + 1):
+        names = [text[:n]] if text[:n] in logs else [f"<0x{b:02X}>" for b in text[0].encode()] if n == 1 else []
+        for rest, value in spellings(text[n:], logs) if names else ():
+            yield names + rest, sum(logs[x] for x in names) + value
+
+
+def test_lattice_shares_beginnings_without_changing_sums():
+    import math
+
+    rng = random.Random(3)
+    logs = {"".join(p): -rng.random() * 4 for n in (1, 2, 3) for p in product("▁ab", repeat=n)}
+    logs |= {f"<0x{b:02X}>": -6.0 - b / 256 for b in range(256)}
+    del logs["▁▁a"], logs["bab"]
+    known = lattice.Lattice(logs)
+    words = sorted({"".join(rng.choices("abé", [5, 4, 1], k=rng.randint(1, 6))) for _ in range(150)})
+    for order in (words, rng.sample(words, len(words))):  # sorted order saves work, any order is right
+        counts, wanted = {}, {}
+        walk, plain = lattice.Walk(known), lattice.Walk(known)
+        for times, word in enumerate(order, 1):
+            ways = list(spellings(lattice.START + word, logs))
+            whole = math.log(sum(math.exp(v) for _, v in ways))
+            assert math.isclose(plain.forward(word), whole) and math.isclose(known.log_probability(word), whole)
+            walk.add(word, times, counts)
+            for names, value in ways:
+                for name in names:
+                    wanted[name] = wanted.get(name, 0.0) + times * math.exp(value - whole)
+        walk.close(0, counts)
+        assert counts.keys() == wanted.keys() and all(math.isclose(counts[p], wanted[p], rel_tol=1e-9) for p in wanted)
+
+
+def test_lattice_query_like_plain_python(spark):
+    import math
+    from collections import Counter
+
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    count = Counter(w for i, words in rows if not out[i] for w in words)
+    ends = sum(not x for x in out.values())
+    tokens, kinds = sum(count.values()) + ends, len(count) + 1
+    base = {i: sum(math.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1))) for c in [ends, *(count[w] for w in words)]) for i, words in rows}
+    got = {r.doc_id: r for r in queries.op7_lattice(spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    for i, words in rows:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.train_tokens) == (out[i], len(words) + 1, tokens)
+        assert r.n_known == 1 + sum(count[w] > 0 for w in words) and math.isclose(r.base_score, base[i], rel_tol=1e-9)
+        assert r.score < 0
+
+
+def test_long_frequent_words_are_known_by_their_digest(spark, monkeypatch):
+    long = "x" * 100
+    docs = spark.createDataFrame([(i, f"{long} {long} rare{i}") for i in range(30)], "doc_id long, text string")
+    model = lattice.learn(docs, public_path("piece_bpe_32k.model"), F.lit(True))
+    monkeypatch.setattr(lattice, "FREQUENT", 1)  # only the long word is sent to all tasks
+    few = sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lattice.score(docs, model).collect())
+    monkeypatch.setattr(lattice, "FREQUENT", 100)
+    assert few == sorted((r.doc_id, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in lattice.score(docs, model).collect())
+    assert {x[1] for x in few} == {4}
+
+
 def test_lattice_over_odd_tables(messy, messy_rows, nothing, monkeypatch):
     trained = ~held_out("doc_id", 5, 1)
     path = public_path("piece_bpe_32k.model")
@@ -255,4 +322,4 @@ def test_lattice_over_odd_tables(messy, messy_rows, nothing, monkeypatch):
 
 
 def test_registered_queries_have_sql_where_it_can_be_said():
-    assert set(queries.oracle_sql()) == {"op9_rules", "op10_chat"} and len(queries.queries()) == 11
+    assert set(queries.oracle_sql()) == {"op9_rules", "op10_chat", "op13_prefix_trie"} and len(queries.queries()) == 14
