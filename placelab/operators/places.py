@@ -159,3 +159,19 @@ def task_outcomes(tasks: DataFrame, places: DataFrame) -> DataFrame:
     )
     outcome = counted.withColumn("empty", F.col("places_found") == 0)
     return with_running_total(outcome, "places_found", "task_id")
+
+
+def of_completed_tasks(places: DataFrame, errors: DataFrame) -> DataFrame:
+    """Places of the tasks that did not fail; a failed task gives no result, whatever it had collected."""
+    return places.join(errors.select("task_id").distinct(), "task_id", "left_anti")
+
+
+def task_states(tasks: DataFrame, places: DataFrame, errors: DataFrame) -> DataFrame:
+    """Outcome of every task with its ``status``: ``failed`` if it is in ``errors`` (task_id, error), else ``empty`` or ``found``.
+
+    A failed task counts no places; ``error`` is the smallest of its errors, null for the others.
+    """
+    failed = errors.groupBy("task_id").agg(F.min("error").alias("error"), F.lit(True).alias("_failed"))
+    outcome = task_outcomes(tasks, of_completed_tasks(places, errors)).join(failed, "task_id", "left")
+    status = F.when(F.col("_failed"), "failed").when(F.col("empty"), "empty").otherwise("found")
+    return outcome.withColumn("status", status).drop("_failed", "empty")

@@ -59,7 +59,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder wherever it is stored; nothing happens if it is not there."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -69,12 +70,12 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_placelab_path", None)
         if path:
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
 
 
 def discard_all(spark: SparkSession) -> None:
     """Remove every table that this application has materialized; for the end of a job."""
-    _delete(spark, _folder(spark))
+    delete(spark, _folder(spark))
 
 
 _shipped: dict[str, str] = {}

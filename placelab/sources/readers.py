@@ -44,6 +44,13 @@ def read_locations(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.withColumns(absent) if absent else df
 
 
+def in_file_order(df: DataFrame, name: str = "pos") -> DataFrame:
+    """Rows of a file reader with a dense 0-based number in the order of the file (of files: by path)."""
+    at = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    placed = materialize(df.select("*", *[c.alias(n) for n, c in at.items()]))  # the order inside a split is fixed once
+    return with_row_id(placed, *at, name=name).drop(*at)
+
+
 def _typed(column: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.LongType, T.IntegerType)):
         # counts may have been written as 123.0

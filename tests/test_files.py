@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from placelab.operators import places as P
-from placelab.plans import merge
+from placelab.plans import merge, run
 from placelab.session import discard, materialize
 from placelab.sources import html, readers, sinks
-from placelab.streaming import incremental
+from placelab.streaming import identity_index, incremental
 
 
 def some_places(spark, n=6):
@@ -156,6 +156,71 @@ def test_running_counts_survive_replays(spark, tmp_path):
     assert read() == [("a", 3), ("b", 1), ("c", 1)]
 
 
+def uncommit(progress):
+    """As if the job had died between writing and committing its last batch."""
+    last = sorted((progress / "commits").glob("[0-9]*"), key=lambda f: int(f.name))[-1]
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    last.unlink()
+
+
+def test_dedup_over_all_time(spark, tmp_path):
+    path, out, index, progress = (str(tmp_path / n) for n in ("in", "out", "index", "progress"))
+    schema = "task_id long, rank int, name string, latitude double, longitude double"
+    rows = [(i, j, f"n{(i * 3 + j) % 9}", [1.0, 0.0, None][j % 3], 2.0) for i in range(8) for j in range(5)] + [(7, 9, "late", None, None)]
+    whole = spark.createDataFrame(rows, schema)
+    wanted = sorted(map(tuple, P.dedup_global(whole).collect()), key=str)
+    read = lambda: sorted(map(tuple, identity_index.kept(spark, out, whole.schema).collect()), key=str)
+    os.mkdir(path)
+    arriving = spark.readStream.schema(schema).parquet(path)
+    for i in range(8):  # one batch per task, in order, so that the first arrival is the first by task
+        whole.filter(F.col("task_id") == i).coalesce(1).write.mode("append").parquet(path)
+        work = lambda: identity_index.dedup_all_time(arriving, out, index, progress, buckets=4, merge_every=3, once=True).awaitTermination()  # noqa: E731, B023
+        work()
+        if i in (3, 4, 6):  # the batch that merges, the one after it, which removes what was merged, and the next merge
+            uncommit(tmp_path / "progress")
+            work()
+    assert read() == wanted
+    assert sorted(f.name for f in (tmp_path / "index").iterdir()) == ["batch-7", "merged-6"]
+
+
+def test_a_whole_run(spark, tmp_path):
+    keywords, locations, out = tmp_path / "k.csv", tmp_path / "l.csv", str(tmp_path / "out")
+    keywords.write_text("keyword\nzoo\nbank\n")
+    locations.write_text("subdistrict,district,city\nSenayan,Kebayoran Baru,Jakarta\n,Tebet,Jakarta\n")
+    seen = spark.createDataFrame([(t, 0, p, f"u{p}") for t in (0, 1, 3) for p in range(3)], "task_id long, scroll_no int, pos int, href string")
+    captures = spark.createDataFrame(
+        [(t, p, f"u{p}", f"Shop {p}", "", "") for t in (0, 1, 3) for p in range(3)],
+        "task_id long, rank int, link string, name_text string, search_keyword string, search_location string")
+    errors = spark.createDataFrame([(1, "timeout"), (1, "again")], "task_id long, error string")
+    options = sinks.OutputOptions(output_dir=out, max_results=2)
+    done = run.run_search(spark, str(keywords), str(locations), seen, captures, errors, options)
+    got = [(r.task_id, r.keyword, r.location, r.places_found, r.status, r.error) for r in done.outcomes.orderBy("task_id").collect()]
+    assert got == [
+        (0, "zoo", "Senayan, Kebayoran Baru, Jakarta", 2, "found", None), (1, "zoo", "Tebet, Jakarta", 0, "failed", "again"),
+        (2, "bank", "Senayan, Kebayoran Baru, Jakarta", 0, "empty", None), (3, "bank", "Tebet, Jakarta", 2, "found", None)]
+    names = sorted(f for f in os.listdir(out) if f.startswith("task_"))
+    assert names == ["task_000_zoo_Senayan_Kebayoran_Baru_Jakarta.csv", "task_003_bank_Tebet_Jakarta.csv"]
+    assert merge.merge_task_files(spark, out).places.count() == spark.read.parquet(done.final[0]).count() == 4
+    keywords.write_text("word\nzoo\n")
+    with pytest.raises(ValueError, match="'keyword' column"):
+        run.planned_tasks(spark, str(keywords), str(locations), 5)
+    keywords.write_text("keyword\nzoo\n")
+    nothing = run.run_search(spark, str(keywords), str(locations), seen.limit(0), captures, options=options)
+    assert nothing.final is None and {r.status for r in nothing.outcomes.collect()} == {"empty"}
+
+
+def test_rows_are_numbered_in_the_order_of_the_file(spark, tmp_path):
+    values = [f"w{(i * 7919) % 5000:05d}" for i in range(5000)]
+    (tmp_path / "k.csv").write_text("keyword\n" + "\n".join(values) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # many splits of one file
+    try:
+        rows = readers.in_file_order(readers.read_keywords(spark, str(tmp_path / "k.csv"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.keyword for r in sorted(rows, key=lambda r: r.pos)] == values and {r.pos for r in rows} == set(range(5000))
+
+
 def test_materialized_tables_are_read_back_and_removed(spark):
     table = materialize(spark.range(5))
     assert table.count() == 5

@@ -109,7 +109,27 @@ def _harvest_oracles() -> dict[str, str]:
   WHERE l.rank <= t.max_results AND c.name_text IS NOT NULL AND c.name_text NOT IN ('', 'Hasil', 'Results'))
  SELECT * FROM kept WHERE length(name) > 0
 """
+    filled = {c: f"nullif({c}, '')" for c in ("subdistrict", "district", "city")}
+    run = f"""+loc AS (SELECT pos, concat_ws(', ', {filled['subdistrict']}, {filled['district']}, {filled['city']}) AS location,
+  '' AS subdistrict, '' AS district, '' AS city FROM locations), tasks AS ({_CROSS}), {_harvest(10, 3)},
+ found AS (SELECT l.task_id, l.href AS link, {strip('c.name_text')} AS name, {strip('c.category_text')} AS category
+  FROM links l JOIN event_captures c ON c.task_id = l.task_id AND c.link = l.href
+  WHERE l.rank <= 50 AND l.task_id % 11 <> 3 AND c.name_text IS NOT NULL AND c.name_text NOT IN ('', 'Hasil', 'Results')),
+ kept AS (SELECT * FROM found WHERE length(name) > 0)
+"""
+    outcomes = """, counted AS (SELECT task_id, count(*) AS n FROM kept GROUP BY task_id),
+ failed AS (SELECT DISTINCT user_id AS task_id FROM events WHERE user_id % 11 = 3)
+ SELECT t.task_id, keyword, location, coalesce(n, 0) AS places_found,
+  CAST(sum(coalesce(n, 0)) OVER (ORDER BY t.task_id) AS BIGINT) AS running_total,
+  CASE WHEN f.task_id IS NOT NULL THEN 'timeout' END AS error,
+  CASE WHEN f.task_id IS NOT NULL THEN 'failed' WHEN n IS NULL THEN 'empty' ELSE 'found' END AS status
+ FROM tasks t LEFT JOIN counted c ON c.task_id = t.task_id LEFT JOIN failed f ON f.task_id = t.task_id"""
+    files = """ SELECT t.task_id, name, category, link, keyword AS search_keyword, nullif(location, '') AS search_location
+ FROM kept k JOIN tasks t ON t.task_id = k.task_id"""
+    inputs = ("keywords", "locations", "observations", "event_captures")
     return {
+        "run_outcomes": with_views(run + outcomes, *inputs),
+        "run_task_files": with_views(run + files, *inputs),
         "harvest_links": with_views("+" + _harvest(10, 3) + listed.format(40), "observations"),
         "harvest_links_impatient": with_views(
             f"+sparse AS ({views.SPARSE_OBSERVATIONS}), " + _harvest(200, 1).replace("FROM observations", "FROM sparse") + listed.format(1000),
@@ -257,6 +277,8 @@ def _place_oracles() -> dict[str, str]:
             "FROM (SELECT *, count(*) OVER (PARTITION BY name, key_lat, key_lon) AS n FROM keyed) x WHERE n > 1"),
         "stream_dedup": _from_keyed(
             "SELECT DISTINCT name, key_lat AS latitude, key_lon AS longitude FROM (SELECT 'Shop ' || CAST(rank % 40 AS VARCHAR) AS name, latitude AS key_lat, longitude AS key_lon FROM places) x"),
+        "stream_dedup_all_time": _from_keyed(
+            "SELECT DISTINCT name, key_lat AS latitude, key_lon AS longitude FROM (SELECT 'Shop ' || CAST(rank % 40 AS VARCHAR) AS name, latitude AS key_lat, longitude AS key_lon FROM places) x"),
         "merge_union": "SELECT c_name AS name, c_mktsegment AS category, CAST(NULL AS DOUBLE) AS balance FROM customer UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier UNION ALL SELECT c_name, c_mktsegment, NULL FROM customer",
         "merge_file_counts": _from_keyed("SELECT 'task_' || CAST(task_id AS VARCHAR) || '.csv' AS source_file, count(*) AS places FROM keyed GROUP BY 1"),
         "merge_totals": _from_keyed("SELECT count(DISTINCT task_id) AS files, count(*) AS total_places, (SELECT count(*) FROM (SELECT DISTINCT name, key_lat, key_lon FROM keyed) y) AS unique_places FROM keyed"),

@@ -15,10 +15,10 @@ from placelab.functions.geo import degree_tolerances, haversine_m
 from placelab.operators import adaptive, clean, harvest, kmeans, neighbors, poi, summary, tasks
 from placelab.operators import places as P
 from placelab.operators.rows import with_row_id
-from placelab.plans import merge, search, solution, sweep
+from placelab.plans import merge, run, search, solution, sweep
 from placelab.session import checkpoint_dir, materialize
 from placelab.sources import html, readers, samples, sinks, task_writer
-from placelab.streaming import incremental
+from placelab.streaming import identity_index, incremental
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +163,30 @@ def search_places(t: Tables) -> DataFrame:
     return found.select("task_id", "rank", "link", "name", "category", "search_keyword", "search_location")
 
 
+def _searched(t: Tables) -> tuple[run.Run, str]:
+    """A whole run from two delimited files; every eleventh task has failed."""
+    files = {"keywords": t.keywords().orderBy("pos").select("keyword"), "locations": t.locations().orderBy("pos").drop("pos")}
+    paths = {name: t.scratch() for name in files}
+    for name, rows in files.items():
+        rows.coalesce(1).write.options(
+            header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(paths[name])
+    failed = t.event_tasks().filter("task_id % 11 = 3").select("task_id", F.lit("timeout").alias("error"))
+    options = sinks.OutputOptions(output_dir=t.scratch())
+    done = run.run_search(t.spark, paths["keywords"], paths["locations"], t.observations(), t.event_captures(), failed, options)
+    return done, options.output_dir
+
+
+def run_outcomes(t: Tables) -> DataFrame:
+    return _searched(t)[0].outcomes
+
+
+def run_task_files(t: Tables) -> DataFrame:
+    """The files that a run has written, one per task with places, read back."""
+    rows = merge.merge_task_files(t.spark, _searched(t)[1]).places
+    number = F.regexp_extract("source_file", r"^task_(\d+)_", 1).cast("long")
+    return rows.select(number.alias("task_id"), "name", "category", "link", "search_keyword", "search_location")
+
+
 def place_parse_coords(t: Tables) -> DataFrame:
     return t.captures().select("rank", link_coordinates(F.col("link")).alias("at")).select("rank", "at.latitude", "at.longitude")
 
@@ -539,6 +563,20 @@ def stream_dedup(t: Tables) -> DataFrame:
     return _drained(t, incremental.dedup(named, "30 days")).select("name", "latitude", "longitude")
 
 
+def stream_dedup_all_time(t: Tables) -> DataFrame:
+    """Every identity once, though all places come again years later, in a stream that was stopped in between."""
+    path, written = _capture_files(t)
+    out, index, progress = t.scratch(), t.scratch(), t.scratch()
+    for again in (False, True):
+        if again:
+            late = written.withColumn("captured_at", F.col("captured_at") + F.expr("INTERVAL 3 YEARS"))
+            materialize(late).write.mode("append").parquet(path)
+        arriving = incremental.places(incremental.read_captures(t.spark, path, written.schema, files_per_trigger=1))
+        named = arriving.withColumn("name", F.concat(F.lit("Shop "), (F.col("rank") % 40).cast("string")))
+        identity_index.dedup_all_time(named, out, index, progress, merge_every=3, once=True).awaitTermination()
+    return identity_index.kept(t.spark, out, named.schema).select("name", "latitude", "longitude")
+
+
 def stream_summary(t: Tables) -> DataFrame:
     """The running overview after every complete window; the last hour waits for its watermark."""
     path, written = _capture_files(t)
@@ -567,7 +605,7 @@ def synthetic_merchants(t: Tables) -> DataFrame:
 
 _PLAIN = [
     task_cross, task_from_table, task_form_locations, task_district, task_subdistrict, task_estimate, task_slug,
-    rerun_pairs, rerun_tasks, validate_inputs, harvest_links, harvest_links_impatient, search_places,
+    rerun_pairs, rerun_tasks, validate_inputs, harvest_links, harvest_links_impatient, search_places, run_outcomes, run_task_files,
     place_parse_coords, place_parse_address, place_parse_rating, place_parse_reviews, place_clean_text, place_stars,
     place_phone_fallback, place_assemble, place_dedup_task, place_dedup_global, place_duplicates,
     place_duplicate_searches, merge_union, merge_file_counts, merge_totals, task_outcomes, summary_category_top10,
@@ -577,7 +615,7 @@ _PLAIN = [
     poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_sweep_density,
     poi_sweep_density_top, poi_solution,
     poi_relaxed, io_delimited, io_task_files, io_named_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
-    stream_summary, stream_counts, synthetic_merchants,
+    stream_dedup_all_time, stream_summary, stream_counts, synthetic_merchants,
 ]
 
 
