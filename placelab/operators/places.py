@@ -12,6 +12,7 @@ from placelab.functions.address import PARTS, with_address_parts
 from placelab.functions.coords import link_coordinates
 from placelab.operators.rows import with_running_total
 from placelab.schemas import PLACE, PLACE_COLUMNS
+from placelab.session import materialize
 
 # Headings of the result list that are not place names.
 PANEL_HEADINGS = ["Hasil", "Results"]
@@ -129,12 +130,16 @@ def duplicates(places: DataFrame) -> DataFrame:
 
 
 def duplicate_searches(places: DataFrame) -> DataFrame:
-    """(search_keyword, search_location) pairs that produced duplicated places: input of a re-run."""
-    keyed = with_identity(places)
-    repeated = duplicates(places).drop("copies")
-    same = reduce(lambda a, b: a & b, [keyed[c].eqNullSafe(repeated[c]) for c in IDENTITY])
-    hit = keyed.join(repeated, same, "left_semi")
-    return hit.select("search_keyword", "search_location").distinct()
+    """(search_keyword, search_location) pairs that produced duplicated places: input of a re-run.
+
+    The input is evaluated once, into counts per identity and search; only these are
+    written out, summed per identity and joined, so copies do not weigh on the join.
+    """
+    searches = materialize(
+        with_identity(places).groupBy(*IDENTITY, "search_keyword", "search_location").agg(F.count("*").alias("copies")))
+    repeated = searches.groupBy(*IDENTITY).agg(F.sum("copies").alias("all_copies")).filter("all_copies > 1")
+    same = reduce(lambda a, b: a & b, [searches[c].eqNullSafe(repeated[c]) for c in IDENTITY])
+    return searches.join(repeated, same, "left_semi").select("search_keyword", "search_location").distinct()
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -75,6 +75,7 @@ def _task_oracles() -> dict[str, str]:
         "task_subdistrict": with_views(by_subdistrict + _CROSS, "keywords"),
         "task_estimate": with_views("+" + _PARTS + f", t AS ({_CROSS}) " + estimate, "keywords", "locations"),
         "task_slug": with_views("+" + _PARTS + f", t AS ({_CROSS}) " + slug, "keywords", "locations"),
+        "io_rerun": with_views(f"+p AS ({pairs}) SELECT DISTINCT keyword, location FROM ({listed}) x", "rerun"),
         "rerun_pairs": with_views(f"+p AS ({pairs}) {listed}", "rerun"),
         "rerun_tasks": with_views(
             f"+p AS ({pairs}), l AS ({listed}) SELECT row_number() OVER (ORDER BY source_file, keyword, location) - 1 AS task_id, keyword, location, "
@@ -296,6 +297,9 @@ def _place_oracles() -> dict[str, str]:
         "summary_overview": _from_places(overview),
         "stream_summary": _from_places(overview),
         "place_preview": _from_places("SELECT task_id, rank, name, city FROM places ORDER BY task_id, rank LIMIT 50"),
+        "io_final": _from_places("""SELECT 'final_results_20240506_070809.' || suffix AS file,
+  'name,category,address,subdistrict,district,city,province,zip_code,latitude,longitude,rating,reviews_count,phone,website,link,opening_hours,star_1,star_2,star_3,star_4,star_5,search_keyword,search_location,scraped_at' AS columns,
+  name, category, city, zip_code, phone, link FROM places, (VALUES ('parquet'), ('csv')) v(suffix)"""),
         "io_named_files": _from_places("SELECT 'task_' || lpad(CAST(task_id AS VARCHAR), 3, '0') || '_toko_a_b_x_' || CAST(task_id AS VARCHAR) AS file, name, link, zip_code FROM places"),
         "io_task_files": _from_places("SELECT 'task_' || lpad(CAST(task_id AS VARCHAR), 3, '0') || '_toko_a_b_x_' || CAST(task_id AS VARCHAR) AS task_slug, name, link, zip_code FROM places"),
         "row_numbers": "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_id FROM orders",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -477,6 +478,27 @@ def io_delimited(t: Tables) -> DataFrame:
     )
 
 
+def io_rerun(t: Tables) -> DataFrame:
+    """Re-run lists as files whose header names have spaces around them."""
+    rows, path = t.rerun().drop("source_file"), t.scratch()
+    rows.select(*[F.col(c).alias(f" {c} ") for c in rows.columns]).write.options(
+        header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    read = readers.read_rerun(t.spark, path)
+    return tasks.rerun_pairs(read).select("keyword", "location").distinct()
+
+
+def io_final(t: Tables) -> DataFrame:
+    """Both time-stamped results, read back: their rows, columns and names."""
+    written = sinks.write_final(t.places(), t.scratch(), at=datetime(2024, 5, 6, 7, 8, 9))
+    tables = [t.spark.read.parquet(written[0]), readers.as_places(readers.read_text_table(t.spark, written[1], sinks.RESULT_SEP))]
+    return P.union_all([
+        table.select(
+            F.lit(path.rsplit("/", 1)[1]).alias("file"), F.lit(",".join(table.columns)).alias("columns"),
+            "name", "category", "city", "zip_code", "phone", "link")
+        for path, table in zip(written, tables)
+    ])
+
+
 def io_task_files(t: Tables) -> DataFrame:
     path = t.scratch()
     tagged = t.places().withColumns({"search_keyword": F.lit("toko/a b"), "search_location": F.concat(F.lit("x, "), F.col("task_id").cast("string"))})
@@ -614,7 +636,7 @@ _PLAIN = [
     neighbor_counts, dense_merchants, poi_dbscan_membership, poi_dbscan_summary, poi_statistics, poi_coverage,
     poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_sweep_density,
     poi_sweep_density_top, poi_solution,
-    poi_relaxed, io_delimited, io_task_files, io_named_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
+    poi_relaxed, io_delimited, io_rerun, io_final, io_task_files, io_named_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
     stream_dedup_all_time, stream_summary, stream_counts, synthetic_merchants,
 ]
 
