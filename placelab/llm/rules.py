@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placelab.llm.common import SPACE_PATTERN, SPACES
+from placelab.session import materialize
 
 # The common words of each language that the histograms count.
 COMMON_WORDS = {
@@ -141,10 +142,18 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
 
     One row per language that has a word list, and one for the rest: a handful of rows.
     """
-    known = F.when(F.col(lang).isin(list(COMMON_WORDS)), F.col(lang)).otherwise(ANY)
+    base = once(docs, [], l=_listed_lang(F.col(lang)), lang=F.col(lang), text=F.coalesce(F.col(text), F.lit("")), words=words_of(F.col(text)))
+    return _shares(_histograms(base, ["l"]))
+
+
+def _listed_lang(lang: Column) -> Column:
+    return F.when(lang.isin(list(COMMON_WORDS)), lang).otherwise(ANY)
+
+
+def _shares(histograms: DataFrame) -> dict[str, dict[str, list[float]]]:
+    """References from the histograms of all documents, by ``l``."""
     width = len(next(iter(COMMON_WORDS.values()))) + 1
-    base = once(docs, [], l=known, lang=F.col(lang), text=F.coalesce(F.col(text), F.lit("")), words=words_of(F.col(text)))
-    sums = _histograms(base, ["l"]).groupBy("l").agg(
+    sums = histograms.groupBy("l").agg(
         F.array(*[F.sum(F.get("chars", F.lit(i))) for i in range(6)]).alias("c"),
         F.array(*[F.sum(F.get("common", F.lit(i))) for i in range(width)]).alias("w"),
     ).collect()
@@ -169,8 +178,11 @@ def _reference(refs: dict, kind: str, lang: Column, size: int) -> Column:
     return chosen
 
 
-def _judged(docs: DataFrame, refs: dict, keep: str) -> DataFrame:
-    """``keep`` with all counts and verdicts of every row of ``docs(keep, text, lang)``."""
+SIMPLE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _shaped(docs: DataFrame, keep: str) -> DataFrame:
+    """``keep``, ``lang``, all counts and histograms of every row of ``docs(keep, text, lang)``."""
     texts = once(docs, [keep, "lang"], text=F.coalesce("text", F.lit("")))
     split = once(
         texts, [keep, "lang", "text"], words=words_of(F.col("text")),
@@ -181,13 +193,16 @@ def _judged(docs: DataFrame, refs: dict, keep: str) -> DataFrame:
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         n_repeat_words=repeated_words(F.col("words")),
     )
-    simple = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    shaped = _histograms(first, [keep, "lang", "n_words", "n_dup_lines", "n_repeat_words"]).select(
+    return _histograms(first, [keep, "lang", "n_words", "n_dup_lines", "n_repeat_words"]).select(
         "*", (F.col("n_chars") - F.col("spaces")).cast("long").alias("word_chars"),
         F.col("symbols").cast("long").alias("n_symbols"))
+
+
+def _judged(shaped: DataFrame, refs: dict, keep: str) -> DataFrame:
+    """``keep`` with all counts and verdicts."""
     lang = F.col("lang")
     far = once(
-        shaped, [keep, "n_chars", *simple],
+        shaped, [keep, "n_chars", *SIMPLE],
         char_distance=_distance(F.col("chars"), _reference(refs, "chars", lang, 6)),
         word_distance=F.when(F.size("common") > 0, _distance(F.col("common"), _reference(refs, "words", lang, 17))),
     )
@@ -197,16 +212,21 @@ def _judged(docs: DataFrame, refs: dict, keep: str) -> DataFrame:
         | ((F.col("n_words") >= MIN_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     )
     return once(
-        far, [keep, *simple, "char_distance", "word_distance"],
+        far, [keep, *SIMPLE, "char_distance", "word_distance"],
         base_failed=failed, kept=~failed & ~F.coalesce(off, F.lit(False)),
     )
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The id, all counts, both distances, ``base_failed`` and ``kept`` of every row."""
-    refs = references(docs, text, lang)
+    """The id, all counts, both distances, ``base_failed`` and ``kept`` of every row; none for an empty table.
+
+    Texts are read once: the counts of all rows, without their texts, are written out, and
+    both the references and the verdicts come from them.
+    """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return _judged(rows, refs, "_key").withColumnRenamed("_key", key)
+    counted = materialize(_shaped(rows, "_key"))
+    refs = _shares(counted.withColumn("l", _listed_lang(F.col("lang"))))
+    return _judged(counted, refs, "_key").withColumnRenamed("_key", key)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -214,4 +234,4 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFr
     refs = references(docs, text, lang)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(whole, F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return _judged(rows, refs, "_row").filter("kept").select("_row.*")
+    return _judged(_shaped(rows, "_row"), refs, "_row").filter("kept").select("_row.*")
