@@ -8,13 +8,15 @@ windows of a text (its stretches of ``width`` bytes) are told apart in three ste
    row: the hash of the anchor and the hash of the bytes under all these windows.
    Anchors that occur once belong to windows that occur once and go.
 2. Rows that agree in both hashes (128 bits) are copies: all their windows are repeated.
-3. What is left are the edges of repeated passages. Their suffixes are sorted, anchor by
+3. What is left are the edges of repeated passages. All their suffixes are sorted, anchor by
    anchor, by merging sorted runs. Two suffixes are compared at the end of their common
    extension, which a binary search over prefix hashes finds; neighbours in the order
    with ``width`` common bytes are compared byte by byte and are repeated.
 
-Anchors with very many different surroundings would make one task sort them all; their
-windows are spread and counted, block by block, by 128 bits of hash instead.
+An anchor with very many different surroundings is split before its sort: windows are cut
+into blocks at fixed distances from the anchor, and only blocks with the same core (the
+bytes that all windows of a block cover) can hold equal windows. Each core is sorted on its
+own; one that still has too many surroundings is cut into halves, down to single windows.
 
 Null text counts as empty; a text of less than ``width`` bytes keeps all of them; rows
 that are equal are copies of each other; other columns are ignored by ``spans`` and kept
@@ -39,6 +41,7 @@ HOT_CONTEXTS, CHUNK_WINDOWS, BLOCK_BYTES, BLOCK_WINDOWS = 1000, 200_000, 1 << 18
 _PLACE_BITS = np.uint64(21)
 _PLACE = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
 _ORDER, _CONTENT = Rolling(17), Rolling(29)
+_CONTEXT = ("row", "first", "windows", "n", "body")
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -147,13 +150,9 @@ def repeated_windows(contexts: list[bytes], group: np.ndarray, windows: np.ndarr
     starts = first + np.arange(len(first)) - np.repeat(np.cumsum(windows) - windows, windows)
     owner = np.repeat(group, windows)
     sums = _CONTENT.prefix(data)
-    # a window whose hash occurs once is unlike all others and need not be sorted
-    key = mix(_CONTENT.stretch(sums, starts, starts + width)) ^ mix(owner.astype(np.uint64) + np.uint64(1))
-    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(times[back] > 1)
     found = np.zeros(len(starts), bool)
-    if len(rows):
-        rows = rows[np.argsort(owner[rows], kind="stable")]
+    if len(starts):
+        rows = np.argsort(owner, kind="stable")
         rows = rows[suffix_sort(data, sums, starts[rows], owner[rows], width)]
         same = (owner[rows[1:]] == owner[rows[:-1]]) & (
             common_extension(sums, starts[rows[:-1]], starts[rows[1:]], width) >= width)
@@ -249,26 +248,36 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         F.substring("body", (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first") + width).cast("int")).alias("body"),
     ))
 
+    usual = contexts.filter(F.col("kinds") <= HOT_CONTEXTS).select(F.col("anchor").alias("grp"), *_CONTEXT)
+    hot = contexts.filter(F.col("kinds") > HOT_CONTEXTS).select(F.col("anchor").alias("grp"), *_CONTEXT)
+    return settled.select("row", "first", "last").unionByName(_sorted(usual, width)).unionByName(_split(hot, width, gram))
+
+
+def _sorted(contexts: DataFrame, width: int) -> DataFrame:
+    """(row, first, last): windows of ``contexts(grp, row, first, windows, n, body)`` that occur twice in their group.
+
+    Windows of contexts with ``n`` above one are repeated anyway; they are sorted with the others, but not returned.
+    """
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
 
         def close() -> pa.RecordBatch:
-            anchor, row, first, windows, n, bodies = (
+            named, row, first, windows, n, bodies = (
                 [x for part in column for x in part] for column in zip(*kept))
-            _, group = np.unique(np.array(anchor), return_inverse=True)
+            _, group = np.unique(np.array(named), return_inverse=True)
             windows, first, row = np.array(windows), np.array(first), np.array(row)
             found = repeated_windows(bodies, group, windows, width)
-            found &= np.repeat(np.array(n) == 1, windows)  # others are settled
+            found &= np.repeat(np.array(n) == 1, windows)
             owner, a, b = _runs(found, windows)
             return pa.RecordBatch.from_arrays(
                 [pa.array(row[owner]), pa.array(first[owner] + a), pa.array(first[owner] + b)], ["row", "first", "last"])
 
         for batch in batches:
-            anchors = batch.column(0).to_numpy()
-            cuts = np.append(np.flatnonzero(np.diff(anchors)) + 1, len(anchors)).tolist()
+            groups = batch.column(0).to_numpy()
+            cuts = np.append(np.flatnonzero(np.diff(groups)) + 1, len(groups)).tolist()
             at = 0
             for cut in cuts:
-                if held > CHUNK_WINDOWS and (at or kept[-1][0][-1] != anchors[0]):
+                if held > CHUNK_WINDOWS and (at or kept[-1][0][-1] != groups[0]):
                     yield close()
                     kept, held = [], 0
                 if cut > at:
@@ -279,75 +288,79 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         if kept:
             yield close()
 
-    usual = contexts.filter(F.col("kinds") <= HOT_CONTEXTS).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
-    sorted_out = map_partitions(usual, sort, "row long, first long, last long")
+    return map_partitions(contexts.select("grp", *_CONTEXT).repartition("grp").sortWithinPartitions("grp"), sort,
+                          "row long, first long, last long")
 
-    hot = contexts.filter(F.col("kinds") > HOT_CONTEXTS).select("anchor", "row", "first", "windows", "n", "body")
-    return settled.select("row", "first", "last").unionByName(sorted_out).unionByName(_spread(hot, width, gram))
 
+def _blocks(contexts: DataFrame, size: int, width: int, gram: int) -> DataFrame:
+    """(grp, x, y, row, first, windows, n, body): the contexts cut at fixed distances from their anchor.
 
-def _spread(contexts: DataFrame, width: int, gram: int) -> DataFrame:
-    """(row, first, last) of repeated windows, for anchors with too many surroundings for one task.
-
-    Windows are first taken in blocks at fixed distances from the anchor, so that equal
-    stretches fall into equal blocks; only blocks that are alone of their kind, and one
-    of each kind beside them, are taken apart into windows.
+    A block has at most ``size`` windows; ``grp`` hashes the old group, the distance and the
+    bytes that all windows at these distances cover, ``x`` and ``y`` the windows of the block.
     """
-    block_key = ["anchor", "block", "x", "y"]
-
-    def blocks_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        anchor, row, first, windows, n = (batch.column(i).to_numpy() for i in range(5))
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grp, row, first, windows, n = (batch.column(i).to_numpy() for i in range(5))
         bodies = as_bytes(batch.column(5))
         data = np.frombuffer(b"".join(bodies), np.uint8)
-        lengths = np.array([len(b) for b in bodies])
+        lengths = np.array([len(b) for b in bodies], np.int64)
         begins = np.cumsum(lengths) - lengths
         order, content = _ORDER.prefix(data), _CONTENT.prefix(data)
         grams = (begins[:, None] + np.arange(width - gram + 1)).ravel()
         keyed = (mix(_ORDER.stretch(order, grams, grams + gram)) & ~_PLACE).reshape(len(bodies), -1)
         owner = np.repeat(np.arange(len(bodies)), windows)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        block = (keyed.argmin(1)[owner] - place) // BLOCK_WINDOWS  # the first window names the anchor
+        distance = keyed.argmin(1)[owner] - place  # of the anchor; the first window names it
+        block = distance // size
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
         head = np.flatnonzero(new)
         count = np.diff(np.append(head, len(owner)))
-        o, a = owner[head], place[head]
+        o, a, b = owner[head], place[head], block[head]
         start, end = begins[o] + a, begins[o] + a + count - 1 + width
+        core = start + distance[head] - b * size
+        inner = mix(_CONTENT.stretch(content, core, core + width - size + 1) ^ mix(b.astype(np.uint64)))
+        group = mix(inner + mix(grp[o].view(np.uint64))).view(np.int64)
         x, y = (mix(h.stretch(sums, start, end) + count.astype(np.uint64)).view(np.int64) for h, sums in ((_ORDER, order), (_CONTENT, content)))
         slices = [data[i:j].tobytes() for i, j in zip(start.tolist(), end.tolist())]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in (anchor[o], block[head], x, y, row[o], first[o] + a, count, n[o])] + [pa.array(slices, pa.binary())],
-            [*block_key, "row", "first", "windows", "n", "body"])
-
-    parts = materialize(map_batches(
-        contexts, blocks_of,
-        "anchor long, block long, x long, y long, row long, first long, windows long, n long, body binary"))
-    kinds = parts.groupBy(*block_key).agg(F.sum("n").alias("times"))
-    whole = parts.filter("n = 1").join(kinds.filter("times > 1").select(*block_key), block_key, "left_semi").select(
-        "row", "first", (F.col("first") + F.col("windows") - 1).alias("last"))
-    unsettled = kinds.groupBy("anchor", "block").agg(
-        F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("singles")).filter("kinds > 1 AND singles > 0")
-    one_each = parts.groupBy(*block_key).agg(
-        F.sum("n").alias("times"), F.first(F.struct("row", "first", "windows", "body")).alias("one"))
-    apart = one_each.join(unsettled.select("anchor", "block"), ["anchor", "block"], "left_semi").select(
-        "one.row", "one.first", "one.windows", (F.col("times") == 1).alias("single"), "one.body")
-
-    def windows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, first, windows = (batch.column(i).to_numpy() for i in range(3))
-        single, bodies = np.array(batch.column(3).to_pylist(), bool), as_bytes(batch.column(4))
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        lengths = np.array([len(b) for b in bodies])
-        inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = np.repeat(np.cumsum(lengths) - lengths, windows) + inside
-        pair = [mix(h.stretch(h.prefix(data), starts, starts + width)).view(np.int64) for h in (_ORDER, _CONTENT)]
-        return pa.RecordBatch.from_arrays(
-            [*map(pa.array, pair), pa.array(np.repeat(row, windows)), pa.array(np.repeat(first, windows) + inside),
-             pa.array(np.repeat(single, windows))], ["x", "y", "row", "first", "single"])
+            [pa.array(c) for c in (group, x, y, row[o], first[o] + a, count, n[o])] + [pa.array(slices, pa.binary())],
+            ["grp", "x", "y", *_CONTEXT])
+
+    return map_batches(contexts.select("grp", *_CONTEXT), cut,
+                       "grp long, x long, y long, row long, first long, windows long, n long, body binary")
 
-    windows = materialize(map_batches(apart, windows_of, "x long, y long, row long, first long, single boolean"))
-    twice = windows.groupBy("x", "y").agg(F.count("*").alias("times")).filter("times > 1").select("x", "y")
-    found = windows.filter("single").join(twice, ["x", "y"], "left_semi").select("row", "first", F.col("first").alias("last"))
-    return whole.unionByName(found)
+
+def _split(contexts: DataFrame, width: int, gram: int) -> DataFrame:
+    """(row, first, last) of repeated windows, for anchors with too many surroundings for one task.
+
+    Blocks that agree are copies. Of the others, those of one core are sorted together, if
+    at most HOT_CONTEXTS of them differ; the rest is cut into halves. A single window is all
+    core, so the last cut leaves nothing but copies.
+    """
+    size, answers = min(BLOCK_WINDOWS, 1 << max(width.bit_length() - 2, 0)), []
+    while True:
+        parts = materialize(_blocks(contexts, size, width, gram))
+        kind = ["grp", "x", "y"]
+        kinds = parts.groupBy(*kind).agg(F.sum("n").alias("n"))
+        answers.append(parts.filter("n = 1").join(kinds.filter("n > 1").select(*kind), kind, "left_semi").select(
+            "row", "first", (F.col("first") + F.col("windows") - 1).alias("last")))
+        mixed = kinds.groupBy("grp").agg(F.count("*").alias("kinds"), F.count_if(F.col("n") == 1).alias("singles")).filter(
+            "kinds > 1 AND singles > 0").select("grp", "kinds")
+        one = parts.join(mixed, "grp").groupBy(*kind).agg(
+            F.sum("n").alias("n"), F.first("kinds").alias("kinds"),
+            F.first(F.struct("row", "first", "windows", "body")).alias("one"))
+        left = materialize(one.select(
+            "grp", "one.row", "one.first", "one.windows", "n", "one.body", "kinds"))
+        crowded = left.filter(F.col("kinds") > HOT_CONTEXTS)
+        if size == 1 or crowded.isEmpty():
+            answers.append(_sorted(left, width))
+            break
+        answers.append(_sorted(left.filter(F.col("kinds") <= HOT_CONTEXTS), width))
+        contexts, size = crowded, size // 2
+    found = answers[0]
+    for more in answers[1:]:
+        found = found.unionByName(more)
+    return found
 
 
 def _cut(data: bytes, found: list[dict] | None, width: int) -> tuple[bytes, int, int]:

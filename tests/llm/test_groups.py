@@ -107,9 +107,9 @@ def check_removed(spark, rows, width, gram):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=key) == sorted(wanted, key=key)
 
 
-@pytest.mark.parametrize("hot", [1000, 2])
+@pytest.mark.parametrize("hot", [1000, 2, 1])
 def test_repeated_passages_small_alphabet(spark, monkeypatch, hot):
-    """Short widths over few letters make every kind of overlap; a low limit takes the spread path."""
+    """Short widths over few letters make every kind of overlap; a low limit splits anchors down to single windows."""
     monkeypatch.setattr(suffixes, "HOT_CONTEXTS", hot)
     rng = random.Random(hot)
     rows = [(i, "".join(rng.choices("ab c", [5, 4, 1, 1], k=rng.randint(0, 300)))) for i in range(60)]
@@ -119,6 +119,30 @@ def test_repeated_passages_small_alphabet(spark, monkeypatch, hot):
     check_removed(spark, rows, 12, 4)
 
 
+def test_surroundings_of_one_passage_are_split(spark, monkeypatch):
+    """One passage in 300 texts, with edges that some of them share, in cores of at most 20 surroundings."""
+    monkeypatch.setattr(suffixes, "HOT_CONTEXTS", 20)
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh", k=300))
+    tails = ["".join(rng.choices("pqrst", k=rng.randint(0, 12))) for _ in range(12)]
+    rows = [(i, "".join(rng.choices("xyzuvw", k=rng.randint(0, 220))) + passage + rng.choice(tails) + "".join(
+        rng.choices("12345", k=rng.randint(0, 220)))) for i in range(300)]
+    check_removed(spark, rows, 200, 40)
+
+
+def test_the_sort_sees_every_open_window(monkeypatch):
+    """No hash decides which windows are sorted; the answer is that of counting bytes."""
+    seen, real = [], suffixes.suffix_sort
+    monkeypatch.setattr(suffixes, "suffix_sort", lambda data, sums, starts, *rest: seen.extend(starts) or real(data, sums, starts, *rest))
+    rng = random.Random(5)
+    contexts = ["".join(rng.choices("ab", k=rng.randint(12, 40))).encode() for _ in range(30)]
+    group, windows = np.sort(np.array(rng.choices(range(3), k=30))), np.array([len(c) - 11 for c in contexts])
+    found = suffixes.repeated_windows(contexts, group, windows, 12)
+    assert len(seen) == len(set(seen)) == windows.sum()
+    every = [(g, c[i : i + 12]) for g, c, n in zip(group, contexts, windows) for i in range(n)]
+    assert found.tolist() == [every.count(w) > 1 for w in every]
+
+
 def test_repeated_passages_at_full_width(spark, messy_rows, nothing):
     check_removed(spark, [(r[0], r[1]) for r in messy_rows if len(r[1] or "") < 50_000], 200, 40)
     assert suffixes.removed(nothing).count() == 0
