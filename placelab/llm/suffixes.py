@@ -8,8 +8,9 @@ windows of a text (its stretches of ``width`` bytes) are told apart in three ste
    row: the hash of the anchor and the hash of the bytes under all these windows.
    Anchors that occur once belong to windows that occur once and go.
 2. Rows that agree in both hashes (128 bits) are copies: all their windows are repeated.
-3. What is left are the edges of repeated passages. All their suffixes are sorted, anchor by
-   anchor, by merging sorted runs. Two suffixes are compared at the end of their common
+3. What is left are the edges of repeated passages. All their suffixes are sorted, by merging
+   sorted runs; equal windows have their anchor at the same distance, so each anchor and
+   distance is an order of its own. Two suffixes are compared at the end of their common
    extension, which a binary search over prefix hashes finds; neighbours in the order
    with ``width`` common bytes are compared byte by byte and are repeated.
 
@@ -141,14 +142,28 @@ def suffix_sort(data: np.ndarray, sums: np.ndarray, starts: np.ndarray, group: n
     return order
 
 
-def repeated_windows(contexts: list[bytes], group: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
-    """Which windows occur twice or more among the contexts of their group; flat, context after context."""
+def anchor_distances(contexts: list[bytes], width: int, gram: int) -> np.ndarray:
+    """How far behind the start of each context the anchor of its first window is."""
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(contexts), 2048):
+        data = np.frombuffer(b"".join(c[:width] for c in contexts[at : at + 2048]), np.uint8)
+        grams = (np.arange(0, len(data), width)[:, None] + np.arange(width - gram + 1)).ravel()
+        hashes = mix(_ORDER.stretch(_ORDER.prefix(data), grams, grams + gram))
+        found.append((hashes & ~_PLACE).reshape(-1, width - gram + 1).argmin(1))
+    return np.concatenate(found)
+
+
+def repeated_windows(contexts: list[bytes], group: np.ndarray, windows: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Which windows occur twice or more among the contexts of their group; flat, context after context.
+
+    All windows of a context have the same anchor, and so have all contexts of a group.
+    """
     data = np.frombuffer(b"".join(contexts), np.uint8)
     lengths = np.array([len(c) for c in contexts])
     begins = np.cumsum(lengths) - lengths
     first = np.repeat(begins, windows)
     starts = first + np.arange(len(first)) - np.repeat(np.cumsum(windows) - windows, windows)
-    owner = np.repeat(group, windows)
+    owner = np.repeat(group * width + anchor_distances(contexts, width, gram) + begins, windows) - starts
     sums = _CONTENT.prefix(data)
     found = np.zeros(len(starts), bool)
     if len(starts):
@@ -250,10 +265,10 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     usual = contexts.filter(F.col("kinds") <= HOT_CONTEXTS).select(F.col("anchor").alias("grp"), *_CONTEXT)
     hot = contexts.filter(F.col("kinds") > HOT_CONTEXTS).select(F.col("anchor").alias("grp"), *_CONTEXT)
-    return settled.select("row", "first", "last").unionByName(_sorted(usual, width)).unionByName(_split(hot, width, gram))
+    return settled.select("row", "first", "last").unionByName(_sorted(usual, width, gram)).unionByName(_split(hot, width, gram))
 
 
-def _sorted(contexts: DataFrame, width: int) -> DataFrame:
+def _sorted(contexts: DataFrame, width: int, gram: int) -> DataFrame:
     """(row, first, last): windows of ``contexts(grp, row, first, windows, n, body)`` that occur twice in their group.
 
     Windows of contexts with ``n`` above one are repeated anyway; they are sorted with the others, but not returned.
@@ -266,7 +281,7 @@ def _sorted(contexts: DataFrame, width: int) -> DataFrame:
                 [x for part in column for x in part] for column in zip(*kept))
             _, group = np.unique(np.array(named), return_inverse=True)
             windows, first, row = np.array(windows), np.array(first), np.array(row)
-            found = repeated_windows(bodies, group, windows, width)
+            found = repeated_windows(bodies, group, windows, width, gram)
             found &= np.repeat(np.array(n) == 1, windows)
             owner, a, b = _runs(found, windows)
             return pa.RecordBatch.from_arrays(
@@ -305,11 +320,9 @@ def _blocks(contexts: DataFrame, size: int, width: int, gram: int) -> DataFrame:
         lengths = np.array([len(b) for b in bodies], np.int64)
         begins = np.cumsum(lengths) - lengths
         order, content = _ORDER.prefix(data), _CONTENT.prefix(data)
-        grams = (begins[:, None] + np.arange(width - gram + 1)).ravel()
-        keyed = (mix(_ORDER.stretch(order, grams, grams + gram)) & ~_PLACE).reshape(len(bodies), -1)
         owner = np.repeat(np.arange(len(bodies)), windows)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-        distance = keyed.argmin(1)[owner] - place  # of the anchor; the first window names it
+        distance = anchor_distances(bodies, width, gram)[owner] - place
         block = distance // size
         new = np.ones(len(owner), bool)
         new[1:] = (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])
@@ -353,9 +366,9 @@ def _split(contexts: DataFrame, width: int, gram: int) -> DataFrame:
             "grp", "one.row", "one.first", "one.windows", "n", "one.body", "kinds"))
         crowded = left.filter(F.col("kinds") > HOT_CONTEXTS)
         if size == 1 or crowded.isEmpty():
-            answers.append(_sorted(left, width))
+            answers.append(_sorted(left, width, gram))
             break
-        answers.append(_sorted(left.filter(F.col("kinds") <= HOT_CONTEXTS), width))
+        answers.append(_sorted(left.filter(F.col("kinds") <= HOT_CONTEXTS), width, gram))
         contexts, size = crowded, size // 2
     found = answers[0]
     for more in answers[1:]:

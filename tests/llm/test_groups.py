@@ -135,11 +135,16 @@ def test_the_sort_sees_every_open_window(monkeypatch):
     seen, real = [], suffixes.suffix_sort
     monkeypatch.setattr(suffixes, "suffix_sort", lambda data, sums, starts, *rest: seen.extend(starts) or real(data, sums, starts, *rest))
     rng = random.Random(5)
-    contexts = ["".join(rng.choices("ab", k=rng.randint(12, 40))).encode() for _ in range(30)]
-    group, windows = np.sort(np.array(rng.choices(range(3), k=30))), np.array([len(c) - 11 for c in contexts])
-    found = suffixes.repeated_windows(contexts, group, windows, 12)
-    assert len(seen) == len(set(seen)) == windows.sum()
-    every = [(g, c[i : i + 12]) for g, c, n in zip(group, contexts, windows) for i in range(n)]
+    texts = ["".join(rng.choices("ab", k=rng.randint(12, 40))).encode() for _ in range(30)]
+    contexts, anchors, windows = [], [], []
+    for owner, first, last, anchor, _ in suffixes.anchored(texts, 12, 4):
+        contexts += [texts[o][a : b + 12] for o, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
+        anchors += anchor.tolist()
+        windows += (last - first + 1).tolist()
+    group = np.unique(anchors, return_inverse=True)[1]
+    found = suffixes.repeated_windows(contexts, group, np.array(windows), 12, 4)
+    assert len(seen) == len(set(seen)) == sum(windows)
+    every = [c[i : i + 12] for c, n in zip(contexts, windows) for i in range(n)]
     assert found.tolist() == [every.count(w) > 1 for w in every]
 
 
