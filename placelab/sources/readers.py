@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import csv
-import fnmatch
-import io
-from collections.abc import Iterator
+import re
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placelab.operators.rows import with_row_id
 from placelab.schemas import PLACE
-from placelab.session import materialize, ship_package
+from placelab.session import materialize
+from placelab.sources.task_reader import read_records
 
 LOCATION_COLUMNS = ("subdistrict", "district", "city", "location")
 TASK_FILES = "task_*.csv"
 # Names under which result files carry the link of a place.
 LINK_COLUMNS = ("link", "google_maps_link")
-MAX_COLUMNS, ROWS_PER_BATCH = 10_000, 8192
+MAX_COLUMNS = 10_000
 
 
 def read_text_table(spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = False,
@@ -72,65 +69,33 @@ class TaskFiles:
     skipped: DataFrame
 
 
-def _parsed(data: bytes, sep: str) -> tuple[list[str], list[list[str]]]:
-    """Header and rows of one file; a repeated column name gets a number."""
-    lines = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""), delimiter=sep) if any(r)]
-    if not lines:
-        raise ValueError("no header")
-    names: list[str] = []
-    for name in lines[0]:
-        names.append(name if name not in names else f"{name}.{names.count(name)}")
-    for number, line in enumerate(lines[1:], 2):
-        if len(line) > len(names):
-            raise ValueError(f"row {number} has {len(line)} fields, the header {len(names)}")
-    return names, lines[1:]
-
-
 def read_task_files(spark: SparkSession, folder: str, sep: str = "|", link_columns: tuple[str, ...] = LINK_COLUMNS,
                     glob: str = TASK_FILES) -> TaskFiles:
     """All task result files of a folder: an outer union by column name, with ``source_file``.
 
     Every file brings its own header; a file that cannot be read as a whole is listed
     in ``skipped`` with the reason and adds no rows (Spark does not list files of no bytes). The columns are those of PLACE
-    (null where a file lacks them), then all others by name. A file is read by one
-    task, as a search writes at most its maximum of results. The parsed rows are
-    written out once; the names of the columns are the only thing that is collected.
+    (null where a file lacks them), then all others by name. Files of any size are read
+    in splits. The parsed rows are written out once; the names of the columns are the
+    only thing that is collected.
     """
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(1 << 30)
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                name = next(part for part in reversed(path.split("/")) if fnmatch.fnmatch(part, glob))
-                try:
-                    names, lines = _parsed(content, sep)
-                    found = [[(n, v) for n, v in zip(names, line) if v != ""] for line in lines]
-                    header = [(n, None) for n in names]
-                    rows = [(name, None, header), *[(name, "", f) for f in found]]
-                except (UnicodeDecodeError, ValueError, csv.Error) as error:
-                    rows = [(name, f"{type(error).__name__}: {error}", [])]
-                for at in range(0, len(rows), ROWS_PER_BATCH):
-                    file, problem, fields = zip(*rows[at : at + ROWS_PER_BATCH])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(file), pa.array(problem, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string()))],
-                        ["source_file", "problem", "fields"])
-
-    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/{glob}").select("path", "content")
-    ship_package(spark)
-    table = materialize(files.mapInArrow(parse, "source_file string, problem string, fields map<string,string>"))
-    headers = table.filter("problem IS NULL").select(F.explode(F.map_keys("fields")).alias("name")).distinct()
-    found = [r.name for r in headers.orderBy("name").limit(MAX_COLUMNS + 1).collect()]
-    if len(found) > MAX_COLUMNS:
+    found = read_records(spark, f"{folder.rstrip('/')}/{glob}", sep)
+    like = "^" + re.escape(glob).replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
+    source = F.element_at(F.filter(F.split("path", "/"), lambda part: part.rlike(like)), -1).alias("source_file")
+    listed = found.headers.select(F.explode("names").alias("name")).distinct()
+    names = [r.name for r in listed.orderBy("name").limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
         raise ValueError(f"the task files have more than {MAX_COLUMNS} different columns")
     renamed = {c: "link" for c in link_columns}
     sources: dict[str, list[str]] = {c: [] for c in PLACE.fieldNames()}
-    for name in found:
+    for name in names:
         sources.setdefault(renamed.get(name, name), []).append(name)
-    rows = table.filter("problem = ''").select(
-        *[F.coalesce(F.lit(None).cast("string"), *[F.col("fields")[s] for s in names]).alias(c) for c, names in sources.items()],
+    by_name = F.map_from_arrays(F.slice("names", 1, F.size("fields")), "fields")
+    rows = found.rows.select(by_name.alias("fields"), source).select(
+        *[F.coalesce(F.lit(None).cast("string"), *[F.nullif(F.col("fields")[s], F.lit("")) for s in from_]).alias(c) for c, from_ in sources.items()],
         "source_file",
     )
-    skipped = table.filter("problem <> ''").select("source_file", F.col("problem").alias("reason"))
-    return TaskFiles(as_places(rows), skipped)
+    return TaskFiles(as_places(rows), found.skipped.select(source, "reason"))
 
 
 def read_rerun(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:

@@ -1,15 +1,19 @@
+import csv
 import datetime
+import io
 import os
+import random
 import subprocess
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from placelab.operators import places as P
 from placelab.plans import merge, run
 from placelab.session import discard, materialize
-from placelab.sources import html, readers, sinks
+from placelab.sources import html, readers, sinks, task_reader
 from placelab.streaming import identity_index, incremental
 
 
@@ -58,6 +62,65 @@ def test_task_files_and_merge(spark, tmp_path):
     assert readers.read_text_table(spark, str(tmp_path / "merged"), "|", multi_line=True).count() == 5
 
 
+def csv_rows(data, sep):
+    lines = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""), delimiter=sep) if any(r)]
+    return lines[0], lines[1:]
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_ranges_of_a_file_add_up_to_the_file(size):
+    """Any cut at line ends gives the records of the whole file, whatever the quotes do."""
+    rng = random.Random(size)
+    for _ in range(300):
+        data = "".join(rng.choices(['"', "|", "\n", "a", "b", "\r\n", '""', "é", '|"', '"|'], [2, 4, 4, 6, 2, 1, 1, 1, 2, 2], k=rng.randint(1, 80))).encode()
+        lines, ranges, at = data.split(b"\n"), [], 0
+        if not lines[-1]:
+            lines.pop()
+        for begin in range(0, len(lines), max(size // 5, 1)):
+            some = lines[begin : begin + max(size // 5, 1)]
+            ranges.append((at, some))
+            at += sum(map(len, some)) + len(some)
+        got = [r for start, some in ranges for r in task_reader.range_rows("f", start, some, "|")]
+        ends = task_reader.resolved(pd.DataFrame([r for r in got if r[8] is not None], columns=[
+            "path", "start", "seq", "inside", "fields", "head", "tail", "closed", "n", "problem"]), "|")
+        files = list(ends.itertuples(index=False))
+        chosen = {(r.start, bool(r.inside)) for r in files if r.n >= 0 and r.start >= 0}
+        rows = [(r[1], r[2], r[4]) for r in got if r[8] is None and (r[3] is None or (r[1], r[3]) in chosen)]
+        rows += [(r.start, r.seq, r.fields) for r in files if r.n == -1]
+        wanted = [r for r in csv.reader(io.StringIO(data.decode() + "\n" * (not data.endswith(b"\n")), newline=""), delimiter="|") if any(r)]
+        assert [f for *_, f in sorted(rows)] == wanted, data
+        assert next(r for r in files if r.start == -1).n == len(wanted)
+
+
+def test_large_task_files_are_read_in_splits(spark, tmp_path):
+    """Quoted line breaks over split ends, a split without a quote's end, and a long row far behind the header."""
+    folder = tmp_path / "tasks"
+    folder.mkdir()
+    rng = random.Random(4)
+    for i in range(3):
+        with open(folder / f"task_00{i}_x y+%41.csv", "w", newline="") as out:
+            writer = csv.writer(out, delimiter="|")
+            writer.writerow(["name", "link", f"extra{i}"])
+            for j in range(200):
+                writer.writerow([rng.choice(["a", 'q"uote', "two\nlines", "x\n" * rng.randint(0, 300), "", "é|"]), f"u{i}-{j}", "z" * rng.randint(0, 9)])
+            if i == 2:
+                out.write("a|b|c|d\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        found = readers.read_task_files(spark, str(folder))
+        got = [(r.source_file, r.name, r.link, r.extra0, r.extra1) for r in found.rows.collect()]
+        assert [(r.source_file, "4 fields" in r.reason) for r in found.skipped.collect()] == [("task_002_x y+%41.csv", True)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    wanted = []
+    for i in range(2):
+        for name, link, extra in csv_rows((folder / f"task_00{i}_x y+%41.csv").read_bytes(), "|")[1]:
+            wanted.append((f"task_00{i}_x y+%41.csv", name or None, link, *[(extra or None) if k == i else None for k in range(2)]))
+    key = lambda r: tuple(x or "" for x in r)
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+
+
 def test_repeat_searches(spark):
     doubled = P.union_all([some_places(spark, 2), some_places(spark, 1)])
     found = merge.searches_to_repeat(doubled.select("name", "latitude", "longitude", "search_keyword", "search_location")).collect()
