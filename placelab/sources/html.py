@@ -7,8 +7,9 @@ Arrow batches, every page on its own, so the work spreads with the partitions.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,7 +20,8 @@ from placelab.schemas import CAPTURE
 from placelab.session import ship_package
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HIDDEN = frozenset(("script", "style", "template", "noscript", "head"))
+# their text is no text of what they are in (a title is inside the head)
+_APART = frozenset(("title", "script", "style", "template", "noscript", "head"))
 
 # Selectors of the captured fields.
 NAME = "h1.DUwDvf, h1.fontHeadlineLarge, h1"
@@ -35,48 +37,78 @@ STAR_BAR = "tr.BHOKXe"
 PANEL_LINKS = ("a.hfpxzc", "div.Nv2PK")
 
 
-@dataclass
+@dataclass(eq=False)
 class _Element:
+    """An element, the numbers of itself and of the last one inside it, and its stretch of the text."""
+
     tag: str
     attrs: dict
-    parent: "_Element | None"
-    parts: list = field(default_factory=list)
+    at: int
+    last: int
+    written: list
+    begin: int
+    end: int | None = None
 
     def text(self) -> str:
-        return re.sub(r"[ \t\r\f]+", " ", "".join(self.parts)).strip()
+        return re.sub(r"[ \t\r\f]+", " ", "".join(self.written[self.begin : self.end])).strip()
 
 
 class _Page(HTMLParser):
-    """Elements of one page in document order, each with its visible text."""
+    """Elements of one page in document order and by tag. Text is written once; elements know where theirs is."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.elements: list[_Element] = []
+        self.by_tag: dict[str, list[_Element]] = {}
         self._open: list[_Element] = []
-        self._title = None
+        self._open_tags: Counter[str] = Counter()
+        self._written: list[list[str]] = [[]]  # text of hidden elements belongs to themselves only
         self.feed(html)
         self.close()
+        for element in self._open:
+            element.last = len(self.elements) - 1
 
     def handle_starttag(self, tag, attrs):
-        element = _Element(tag, {k: v or "" for k, v in attrs}, self._open[-1] if self._open else None)
+        if tag in _APART:
+            self._written.append([])
+        now, at = self._written[-1], len(self.elements)
+        element = _Element(tag, {k: v or "" for k, v in attrs}, at, at, now, len(now))
         self.elements.append(element)
+        self.by_tag.setdefault(tag, []).append(element)
         if tag == "br":
-            self.handle_data("\n")
-        if tag not in _VOID:
+            now.append("\n")
+        if tag in _VOID:
+            element.end = element.begin
+        else:
             self._open.append(element)
+            self._open_tags[tag] += 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i].tag == tag:
-                del self._open[i:]
+        while self._open_tags[tag]:
+            element = self._open.pop()
+            self._open_tags[element.tag] -= 1
+            element.last, element.end = len(self.elements) - 1, len(element.written)
+            if element.tag in _APART:
+                self._written.pop()
+            if element.tag == tag:
                 return
 
     def handle_data(self, data):
-        # text of hidden elements belongs to themselves only (a title is inside the head)
-        for element in reversed(self._open):
-            element.parts.append(data)
-            if element.tag in ("title", *_HIDDEN):
-                return
+        if self._open:
+            self._written[-1].append(data)
+
+    def matching(self, steps: list) -> list[_Element]:
+        """Elements that match a selector, in document order: step by step, each inside one of the step before."""
+        outer = None
+        for step in steps:
+            found, reach, seen = [], -1, 0
+            for element in self.by_tag.get(step[0], []) if step[0] else self.elements:
+                while outer and seen < len(outer) and outer[seen].at < element.at:
+                    reach, seen = max(reach, outer[seen].last), seen + 1
+                if (outer is None or reach >= element.at) and _fits(element, step):
+                    found.append(element)
+            outer = found
+        return outer
 
 
 _STEP = re.compile(r"(?P<tag>[a-zA-Z0-9]*)(?:\.(?P<cls>[\w-]+))?(?P<attrs>(?:\[[^\]]+\])*)")
@@ -107,39 +139,25 @@ def _fits(element: _Element, step) -> bool:
     return True
 
 
-def _matches(element: _Element, steps) -> bool:
-    if not _fits(element, steps[-1]):
-        return False
-    above = element.parent
-    for step in reversed(steps[:-1]):
-        while above is not None and not _fits(above, step):
-            above = above.parent
-        if above is None:
-            return False
-        above = above.parent
-    return True
-
-
 def _alternatives(selector: str) -> list:
     return [_parse(s) for s in selector.split(",")]
 
 
-def _first(page: _Page, alternatives) -> Iterator[_Element]:
-    """The first matching element of each alternative."""
-    for steps in alternatives:
-        for element in page.elements:
-            if _matches(element, steps):
-                yield element
-                break
+def _all(page: _Page, alternatives) -> list[_Element]:
+    """Elements that match any alternative, in document order."""
+    found = {e.at: e for steps in alternatives for e in page.matching(steps)}
+    return [found[at] for at in sorted(found)]
 
 
 def _first_text(page: _Page, alternatives) -> str | None:
-    return next((t for e in _first(page, alternatives) if (t := e.text())), None)
+    """Text of the first element of the first alternative whose first element has text."""
+    firsts = (page.matching(steps)[:1] for steps in alternatives)
+    return next((t for found in firsts for e in found if (t := e.text())), None)
 
 
 def _first_any(page: _Page, alternatives) -> _Element | None:
     """First element in document order that matches any alternative."""
-    return next((e for e in page.elements if any(_matches(e, s) for s in alternatives)), None)
+    return next(iter(_all(page, alternatives)), None)
 
 
 def extract_fields(pages: DataFrame, texts: dict[str, str] | None = None,
@@ -203,11 +221,8 @@ def captures_from_pages(pages: DataFrame) -> DataFrame:
         for c, alternatives, name in (("phone_aria", phone, "aria-label"), ("website", website, "href")):
             element = _first_any(page, alternatives)
             record[c] = None if element is None else element.attrs.get(name)
-        record["address_aria"] = [
-            e.attrs["aria-label"] for e in page.elements
-            if "aria-label" in e.attrs and any(_matches(e, s) for s in labels)
-        ]
-        record["star_bar_texts"] = [e.text() for e in page.elements if any(_matches(e, s) for s in bars)][:5]
+        record["address_aria"] = [e.attrs["aria-label"] for e in _all(page, labels) if "aria-label" in e.attrs]
+        record["star_bar_texts"] = [e.text() for e in _all(page, bars)[:5]]
         return record
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,7 +248,7 @@ def observations_from_panels(panels: DataFrame) -> DataFrame:
             for task, scroll, html in zip(batch["task_id"], batch["scroll_no"], batch["html"]):
                 page = _Page(html or "")
                 for alternatives in selectors:
-                    hits = [e for e in page.elements if any(_matches(e, s) for s in alternatives)]
+                    hits = _all(page, alternatives)
                     if hits:
                         rows += [(task, scroll, i, e.attrs.get("href")) for i, e in enumerate(hits)]
                         break

@@ -174,6 +174,26 @@ def test_html_panels_and_fields(spark):
     assert got.t is None and got.u == "u2"
 
 
+def test_deep_pages_take_linear_time():
+    """Text is written once, stray ends are no search, and descendants need no walk to the root."""
+    deep = 100_000
+    page = html._Page('<p class="a">x' + "<div>y</i><span>" * deep + "z" + "</span></div>" * deep + "</p><b>w")
+    assert len(page.elements) == 2 * deep + 2 and page.elements[0].text() == "x" + "y" * deep + "z"
+    assert len(page.matching(html._parse("p.a div span"))) == len(page.matching(html._parse("div span"))) == deep
+    assert len(page.matching(html._parse("span div"))) == deep - 1 and not page.matching(html._parse("p b"))
+
+
+def test_descendants_equal_walking_up():
+    rng = random.Random(1)
+    for _ in range(200):
+        parts = [rng.choice(["<a>", "<b class='k'>", "<div>", "</a>", "</b>", "</div>", "<br>", "t", "<title>", "</title>"]) for _ in range(30)]
+        page = html._Page("".join(parts))
+        inside = lambda e: [o for o in page.elements if o.at < e.at <= o.last]
+        wanted = [e for e in page.elements if e.tag == "a" and any(
+            o.tag == "div" and any(u.attrs.get("class") == "k" for u in inside(o)) for o in inside(e))]
+        assert page.matching(html._parse("b.k div a")) == wanted
+
+
 def drain(spark, stream, tmp_path, name):
     out = str(tmp_path / name)
     incremental.append_to(stream, out, str(tmp_path / f"{name}_progress"), once=True).awaitTermination()
