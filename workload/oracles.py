@@ -267,6 +267,17 @@ def _place_oracles() -> dict[str, str]:
         "html_fields": f"""SELECT page_id, url, {_unescaped("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
   {_unescaped("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS ad,
   regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",
+        "html_panels": """SELECT CAST(c_nationkey AS BIGINT) AS task_id, CAST(c_custkey % 5 AS INTEGER) AS scroll_no,
+  CAST(row_number() OVER (PARTITION BY c_nationkey, c_custkey % 5 ORDER BY c_custkey) - 1 AS INTEGER) AS pos,
+  CASE WHEN c_nationkey % 3 > 0 THEN 'http://x/?a=1&k=' || CAST(c_custkey AS VARCHAR) END AS href FROM customer""",
+        "html_captures": """SELECT CAST(c_nationkey AS BIGINT) AS task_id, CAST(c_custkey AS INTEGER) AS rank, 'u' || CAST(c_custkey AS VARCHAR) AS link,
+  CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE c_name || ' & Co' END AS name_text, lower(c_mktsegment) AS category_text,
+  CAST(c_custkey AS VARCHAR) || ' Street' AS address_text,
+  '4,' || CAST(c_custkey % 10 AS VARCHAR) || ' (' || CAST(c_custkey AS VARCHAR) || ')' AS rating_box_text,
+  '4,' || CAST(c_custkey % 10 AS VARCHAR) AS rating_alt_text,
+  CASE WHEN c_custkey % 3 > 0 THEN 'Phone: 021-' || CAST(c_custkey AS VARCHAR) END AS phone_aria, 'http://w/' || CAST(c_custkey AS VARCHAR) AS website,
+  'Address: ' || CAST(c_custkey AS VARCHAR) || ' Street' AS labels,
+  substr('1|2|3|4|5', 1, CAST(2 * least(c_custkey % 7 + 1, 5) - 1 AS INTEGER)) AS bars FROM customer""",
         "io_merge_counts": """SELECT 'task_' || substr('abc', CAST(c_custkey % 3 AS INTEGER) + 1, 1) || '.csv' AS source_file,
   count(*) AS places FROM customer GROUP BY 1""",
         "stream_places": assembled,

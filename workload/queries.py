@@ -558,6 +558,40 @@ def html_fields(t: Tables) -> DataFrame:
     )
 
 
+def html_panels(t: Tables) -> DataFrame:
+    """Result panels with a link for each customer; every third one has cards without links only."""
+    key = F.col("c_custkey").cast("string")
+    card = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit('<div class="card Nv2PK"><a>'), key, F.lit("</a></div>"))).otherwise(
+        F.concat(F.lit('<div class="Nv2PK"><a class="x hfpxzc" href="http://x/?a=1&amp;k='), key, F.lit('">'), key, F.lit("</a></div>")))
+    panels = t["customer"].groupBy(F.col("c_nationkey").cast("long").alias("task_id"), (F.col("c_custkey") % 5).cast("int").alias("scroll_no")).agg(
+        F.sort_array(F.collect_list(F.struct("c_custkey", card.alias("card")))).alias("cards"))
+    page = F.concat(F.lit('<div role="feed">'), F.array_join("cards.card", "<hr>"), F.lit("</div>"))
+    return html.observations_from_panels(panels.withColumn("html", page))
+
+
+def html_captures(t: Tables) -> DataFrame:
+    """Detail pages of customers, some without a phone and with the plain heading only."""
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    pieces = [
+        "<html><head><title>T</title><style>h1 {}</style></head><body>",
+        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("<h1>"), name, F.lit("</h1>"))).otherwise(
+            F.concat(F.lit("<h1>no</h1><h1 class='a DUwDvf'> "), name, F.lit(" <b>&amp; Co</b></h1>"))),
+        "<div class='LBgpqf'><p><button>", F.lower("c_mktsegment"), "</button></p></div>",
+        "<div class='F7nice'><span aria-hidden='true'>4,", (F.col("c_custkey") % 10).cast("string"), "</span> (", key, ")</div>",
+        "<button data-item-id='address' aria-label='Address: ", key, " Street'>", key, " Street<script>no</script></button>",
+        F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit("<button data-item-id='phone:tel' aria-label='Phone: 021-"), key, F.lit("'></button>"))).otherwise(""),
+        "<a data-item-id='authority' href='http://w/", key, "'>w</a><table>",
+        F.array_join(F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 7 + 1).cast("int")), lambda i: F.concat(
+            F.lit("<tr class='BHOKXe'><td>"), i.cast("string"), F.lit("</td></tr>"))), ""), "</table></body></html>",
+    ]
+    pages = t["customer"].select(
+        F.col("c_nationkey").cast("long").alias("task_id"), F.col("c_custkey").cast("int").alias("rank"),
+        F.concat(F.lit("u"), key).alias("url"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in pieces]).alias("html"))
+    return html.captures_from_pages(pages).select(
+        "task_id", "rank", "link", "name_text", "category_text", "address_text", "rating_box_text", "rating_alt_text", "phone_aria", "website",
+        F.array_join("address_aria", "|").alias("labels"), F.array_join("star_bar_texts", "|").alias("bars"))
+
+
 def _capture_files(t: Tables) -> tuple[str, DataFrame]:
     path = t.scratch()
     t.captures().withColumn(
@@ -636,7 +670,7 @@ _PLAIN = [
     neighbor_counts, dense_merchants, poi_dbscan_membership, poi_dbscan_summary, poi_statistics, poi_coverage,
     poi_map_layers, poi_adaptive, poi_adaptive_membership, poi_kmeans, poi_kmeans_trim, poi_sweep, poi_sweep_top, poi_sweep_density,
     poi_sweep_density_top, poi_solution,
-    poi_relaxed, io_delimited, io_rerun, io_final, io_task_files, io_named_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, stream_places, stream_dedup,
+    poi_relaxed, io_delimited, io_rerun, io_final, io_task_files, io_named_files, io_merge, io_merge_counts, io_merchants, row_numbers, html_fields, html_panels, html_captures, stream_places, stream_dedup,
     stream_dedup_all_time, stream_summary, stream_counts, synthetic_merchants,
 ]
 
