@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placelab.operators import adaptive, adaptive_rounds, grid, kmeans, neighbors, poi
+from placelab.operators import adaptive, adaptive_rounds, grid, grid_arrays, kmeans, neighbors, poi
 from placelab.operators.components import connected_components
 from placelab.operators.dbscan import dbscan
 from placelab.operators.neighbors import Config
@@ -52,6 +52,32 @@ def test_counts_equal_brute_force_with_hot_positions(spark, hot_paths, monkeypat
     assert got == {i: len(n) for i, n in enumerate(models.neighbor_sets(lats, lons, 400.0))}
 
 
+def test_dense_blocks_are_not_compared_row_by_row(spark, monkeypatch):
+    lats, lons = cloud(3, 6000, -6.2, 106.8, 0.004)
+    rowwise, plain = [], grid.compared
+    monkeypatch.setattr(grid, "compared", lambda level, *more: rowwise.append(
+        level.small.selectExpr("max(a_n * b_n)").first()[0] or 0) or plain(level, *more))
+    got = dict(map(tuple, neighbors.neighbor_counts(table(spark, lats, lons), 300.0).collect()))
+    assert got == {i: len(n) for i, n in enumerate(models.neighbor_sets(lats, lons, 300.0))}
+    assert max(rowwise) <= grid.PAIR_LIMIT // grid.FEW_PAIRS
+
+
+@pytest.mark.parametrize("lat, lon, radius", [(-6.2, 106.8, 300.0), (60.0, 179.9995, 200.0), (89.999, 10.0, 90.0), (0.0, 0.0, 3e7), (20.0, 5.0, 0.3)])
+@pytest.mark.parametrize("mode", [grid.SPHERE, grid.PLANAR, grid.BOTH])
+def test_arrays_of_a_block_equal_every_pair(mode, lat, lon, radius):
+    r = np.random.default_rng(5)
+    reach = min(radius / 111320, 3.0)
+    a = np.clip(lat + r.uniform(-reach, reach, 300), -90, 90), (lon + r.uniform(-reach, reach, 300) + 180) % 360 - 180
+    b = np.clip(np.append(a[0][:50] + radius / 111320, r.choice(a[0], 5000)), -90, 90), np.append(a[1][:50], r.choice(a[1], 5000))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(5050), indexing="ij"))
+    inside = grid_arrays._within(mode, radius, a[0][i], a[1][i], b[0][j], b[1][j]).reshape(300, 5050)
+    value = r.integers(1, 9, 5050)
+    for how, empty, wanted in (("sum", 0, (inside * value).sum(axis=1)), ("min", 99, np.where(inside, value, 99).min(axis=1)),
+                               ("max", 0, np.where(inside, value, 0).max(axis=1))):
+        found, got = grid_arrays._folded(mode, radius, a, b, value, how)
+        assert (found == inside.any(axis=1)).all() and (np.where(found, got, empty) == wanted).all()
+
+
 def lists_of(lats, lons, radius, centres):
     """Pairs by plain Python: both distances, and no list for a centre alone in its planar ball."""
     pairs = set()
