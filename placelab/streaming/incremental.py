@@ -9,17 +9,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from placelab.operators.places import IDENTITY, assemble, with_identity
 from placelab.schemas import CAPTURE
+from placelab.session import spread
 
 WATERMARK = "1 hour"
 
 
 def read_captures(spark: SparkSession, path: str, schema: T.StructType = CAPTURE, fmt: str = "parquet",
                   files_per_trigger: int | None = None, **options) -> DataFrame:
-    """Capture files as a stream; each file is read once."""
+    """Capture files as a stream; each file is read once, and its rows are dealt over all tasks."""
     reader = spark.readStream.format(fmt).schema(schema).options(**options)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.load(path)
+    return spread(reader.load(path))
 
 
 def places(captures: DataFrame) -> DataFrame:
