@@ -17,6 +17,20 @@ from placelab.sources import html, readers, sinks, task_reader
 from placelab.streaming import identity_index, incremental
 
 
+def test_rows_of_one_file_are_read_by_many_tasks(spark, tmp_path):
+    one = spark.range(400).coalesce(1).selectExpr(
+        "id AS task_id", "CAST(id AS INT) AS rank", "'u' AS url", "concat('<h1>', id, '</h1>') AS html")
+    pid = F.spark_partition_id().alias("part")
+    assert html.captures_from_pages(one).select(pid).distinct().count() > 1
+    assert html.extract_fields(one, {"t": "h1"}).select(pid).distinct().count() > 1
+    one.select("task_id", "rank").write.parquet(f"{tmp_path}/in")
+    arriving = incremental.read_captures(spark, f"{tmp_path}/in", one.select("task_id", "rank").schema, files_per_trigger=1)
+    found = []
+    arriving.writeStream.option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).foreachBatch(
+        lambda batch, number: found.append((batch.count(), batch.select(pid).distinct().count()))).start().awaitTermination()
+    assert found[0][0] == 400 and found[0][1] > 1
+
+
 def some_places(spark, n=6):
     captures = spark.range(n).select(
         (F.col("id") % 3).alias("task_id"), F.col("id").cast("int").alias("rank"),
