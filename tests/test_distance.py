@@ -78,6 +78,20 @@ def test_arrays_of_a_block_equal_every_pair(mode, lat, lon, radius):
         assert (found == inside.any(axis=1)).all() and (np.where(found, got, empty) == wanted).all()
 
 
+def test_lists_do_not_write_their_pairs_out(spark, monkeypatch):
+    lats, lons = cloud(4, 200, -6.2, 106.8, 0.01)
+    lats[7], lons[7] = -7.0, 107.0
+    written, plain = [], neighbors.materialize
+    monkeypatch.setattr(neighbors, "materialize", lambda df: written.append(df.columns) or plain(df))
+    merchants = table(spark, lats, lons)
+    rows = merchants.unionByName(merchants.filter("row_id IN (3, 7)"))
+    got = neighbors.neighbors_of(rows, rows, 300.0).groupBy("a_id", "b_id").count().collect()
+    times = {3: 2}
+    assert {(r.a_id, r.b_id): r["count"] for r in got if r.a_id != 7} == {
+        (i, j): times.get(i, 1) * times.get(j, 1) for i, j in lists_of(lats, lons, 300.0, range(200))}
+    assert not any("hav_m" in columns for columns in written)
+
+
 def lists_of(lats, lons, radius, centres):
     """Pairs by plain Python: both distances, and no list for a centre alone in its planar ball."""
     pairs = set()
