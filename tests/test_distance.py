@@ -214,3 +214,10 @@ def test_partitioning_does_not_matter(spark):
     first = poi.detect_dbscan(m, 300.0, 5).membership.orderBy("row_id").collect()
     other = poi.detect_dbscan(m.orderBy(F.rand(3)).repartition(7), 300.0, 5).membership.orderBy("row_id").collect()
     assert [r.poi_cluster for r in first] == [r.poi_cluster for r in other]
+
+
+def test_small_tables_are_compared_by_all_tasks(spark):
+    lats, lons = cloud(3, 3000, -6.2, 106.8, 0.01)
+    pairs = neighbors.neighbor_pairs(table(spark, lats, lons), 300.0)
+    tasks = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 6 and sum(t["count"] for t in tasks) == sum(map(len, models.neighbor_sets(lats, lons, 300.0)))
