@@ -221,3 +221,13 @@ def test_small_tables_are_compared_by_all_tasks(spark):
     pairs = neighbors.neighbor_pairs(table(spark, lats, lons), 300.0)
     tasks = pairs.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) >= 6 and sum(t["count"] for t in tasks) == sum(map(len, models.neighbor_sets(lats, lons, 300.0)))
+
+
+def test_positions_of_a_small_table_are_dealt_over_tasks(spark, monkeypatch):
+    from placelab.operators import dbscan as module
+
+    files, plain = [], module.cluster
+    monkeypatch.setattr(module, "cluster", lambda spots, configs: files.append(len(spots.inputFiles())) or plain(spots, configs))
+    lats, lons = cloud(4, 300, -6.2, 106.8, 0.008, copies=25)
+    got = labels_of(spark, lats, lons, [Config(0, 300.0, 8)])[0]
+    assert files[0] >= 8 and (got == models.dbscan(lats, lons, 300.0, 8)).all()
