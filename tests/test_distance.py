@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placelab.operators import adaptive, adaptive_rounds, grid, grid_arrays, kmeans, neighbors, poi
+from placelab.operators import adaptive, adaptive_blocks, adaptive_rounds, grid, grid_arrays, kmeans, neighbors, poi
 from placelab.operators.components import connected_components
 from placelab.operators.dbscan import dbscan
 from placelab.operators.neighbors import Config
@@ -182,6 +182,43 @@ def test_adaptive_with_thousands_of_centres_in_one_cell(spark):
     assert adaptive_rounds.claims_in_order.rounds <= 12  # of 2,100 centres
 
 
+def test_adaptive_rounds_do_not_grow_with_merchants_in_reach(spark):
+    r = np.random.default_rng(5)
+    lats, lons = 10.0 + r.uniform(0, 0.009, 24_000), 20.0 + r.uniform(0, 0.009, 24_000)
+    labels, _ = models.adaptive(lats, lons, 600.0, 15)
+    found = adaptive.detect_adaptive(table(spark, lats, lons), 600.0, 15)
+    got = [x.poi_cluster for x in found.membership.orderBy("row_id").collect()]
+    assert got == labels.tolist() and max(got) >= 20
+    assert adaptive_rounds.claims_in_order.rounds <= 2
+
+
+@pytest.mark.parametrize("lat,lon", [(-6.2, 106.8), (60.0, 179.999), (89.995, 10.0)])
+def test_free_blocks_equal_brute_force(lat, lon):
+    radius = 600.0
+    lats, lons = cloud(12, 3000, lat, lon, 0.01)
+    weight = np.random.default_rng(12).integers(1, 4, 3000)
+    blocks, free = adaptive_blocks.FreeBlocks(lats, lons, weight), np.ones(3000, bool)
+    doubted = np.zeros(3000, bool)
+    for x in range(0, 3000, 60):
+        near = blocks.near(lats[x], lons[x], radius)
+        inside = grid_arrays._within("both", radius, np.full(3000, lats[x]), np.full(3000, lons[x]), lats, lons)
+        want = np.flatnonzero(inside & free)
+        found = near.spots()
+        assert sorted(blocks.order[found]) == want.tolist() and near.total == weight[want].sum()
+        assert near.doubtful() == doubted[want].any()
+        if len(want):
+            middle = [(c[want] * weight[want]).sum() / weight[want].sum() for c in (lats, lons)]
+            kept = want[models.distances(*middle, lats[want], lons[want]) <= 200.0]
+            bound = near.at_most(200.0, 10)
+            assert bound >= weight[kept].sum() and (bound < 10 or bound == weight[kept].sum())
+            if x % 180 == 0:
+                taken = blocks.take(found[: len(found) // 2])
+                free[taken] = False
+        if x % 600 == 540:
+            blocks.doubt(lats[x], lons[x], 50.0)
+            doubted |= free & grid_arrays._within("both", 50.0, np.full(3000, lats[x]), np.full(3000, lons[x]), lats, lons)
+
+
 def test_kmeans_invariants(spark):
     lats, lons = cloud(8, 240, -6.2, 106.8, 0.01)
     found = kmeans.detect_kmeans(table(spark, lats, lons), max_radius=400.0, min_merchants=10, restarts=3)
