@@ -184,12 +184,12 @@ def test_adaptive_with_thousands_of_centres_in_one_cell(spark):
 
 def test_adaptive_rounds_do_not_grow_with_merchants_in_reach(spark):
     r = np.random.default_rng(5)
-    lats, lons = 10.0 + r.uniform(0, 0.009, 24_000), 20.0 + r.uniform(0, 0.009, 24_000)
+    lats, lons = 10.0 + r.uniform(0, 0.02, 30_000), 20.0 + r.uniform(0, 0.02, 30_000)
     labels, _ = models.adaptive(lats, lons, 600.0, 15)
     found = adaptive.detect_adaptive(table(spark, lats, lons), 600.0, 15)
     got = [x.poi_cluster for x in found.membership.orderBy("row_id").collect()]
     assert got == labels.tolist() and max(got) >= 20
-    assert adaptive_rounds.claims_in_order.rounds <= 2
+    assert adaptive_rounds.claims_in_order.rounds <= 3  # six when a round listed the neighbours of every tried centre
 
 
 @pytest.mark.parametrize("lat,lon", [(-6.2, 106.8), (60.0, 179.999), (89.995, 10.0)])
