@@ -17,6 +17,8 @@ stay; other columns are ignored by ``components`` and kept by ``keep_first``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,8 @@ COMPARED_WORDS, BLOCK_ROWS = 5, 256
 #: One text of so many is counted for the common shingles; they decide the work, not the result.
 COUNTED, LEAST_COUNTED, MAX_COMMON = 16, 6, 100_000
 SEEN_TEXTS = 1_000_000
+#: Texts are looked up in a bitmap of this size before they travel; it decides the work, not the result.
+FILTER_BITS = 1 << 23
 _ROLLING = Rolling(53)
 _WEIGHTS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
@@ -264,6 +268,40 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(found, order="shingle")
 
 
+def new_texts(batches: Iterator[pa.RecordBatch], asked: np.ndarray | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Nodes and texts of the batches (node, body) in slices, without copies, which would only give the same rows again.
+
+    With ``asked``, a bitmap of ``bitmap``, only those whose bit is set.
+    """
+    seen = set()
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE_ROWS):
+            some = batch.slice(begin, SLICE_ROWS)
+            if asked is not None:
+                places = (some.column(0).to_numpy() % FILTER_BITS).astype(np.uint64)
+                some = some.filter(pa.array((asked[places >> np.uint64(6)] >> (places & np.uint64(63))) & np.uint64(1) == 1))
+            nodes, bodies = [], []
+            for node, t in zip(some.column(0).to_pylist(), as_bytes(some.column(1))):
+                if node not in seen:
+                    if len(seen) >= SEEN_TEXTS:
+                        seen.clear()
+                    seen.add(node)
+                    nodes.append(node)
+                    bodies.append(t)
+            if nodes:
+                yield nodes, bodies
+
+
+def bitmap(nodes: DataFrame) -> np.ndarray:
+    """Words of a bitmap of FILTER_BITS: the bit at ``node`` modulo its size is set for all of ``nodes(node)``."""
+    place = F.pmod("node", F.lit(FILTER_BITS))
+    words = nodes.groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    found = np.zeros(FILTER_BITS // 64, np.uint64)
+    found[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return found
+
+
 def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     """(part, node, at, size, n): the shingles in the prefixes of two or more of ``texts(node, body)``.
 
@@ -272,43 +310,83 @@ def prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     common = common_shingles(texts)
 
     def worker(batches):
-        seen = set()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE_ROWS):
-                some = batch.slice(begin, SLICE_ROWS)
-                found, nodes, sizes = [], [], []
-                for node, t in zip(some.column(0).to_pylist(), as_bytes(some.column(1))):
-                    if node not in seen:  # copies would only give the same rows again
-                        if len(seen) >= SEEN_TEXTS:
-                            seen.clear()
-                        seen.add(node)
-                        hashes = shingles(t)
-                        found.append(prefix(hashes, common, similarity))
-                        nodes.append(node)
-                        sizes.append(len(hashes))
-                if found:
-                    n = [len(x) for x in found]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), n)),
-                        pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n])),
-                        pa.array(np.repeat(np.array(sizes, np.int32), n))], ["part", "node", "at", "size"])
+        for nodes, bodies in new_texts(batches):
+            found, sizes = [], []
+            for t in bodies:
+                hashes = shingles(t)
+                found.append(prefix(hashes, common, similarity))
+                sizes.append(len(hashes))
+            n = [len(x) for x in found]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), n)),
+                pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n])),
+                pa.array(np.repeat(np.array(sizes, np.int32), n))], ["part", "node", "at", "size"])
 
     rows = map_partitions(texts.select("node", "body"), worker, "part long, node long, at int, size int")
     once = rows.repartition("part").dropDuplicates(["part", "node"])
     return once.withColumn("n", F.count("*").over(Window.partitionBy("part"))).filter("n > 1")
 
 
+def halves(hashes: np.ndarray) -> np.ndarray:
+    """What is compared of the shingles of a text."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def parity(found: np.ndarray) -> np.ndarray:
+    """A bitmap of one to two bits per shingle: whether an odd number of ``found`` has that place.
+
+    Every shingle that only one of two texts has changes one bit, so the texts differ in
+    at least as many shingles as their bitmaps in bits. A bitmap is brought to half its
+    size by XOR of its halves.
+    """
+    width = max(64, 1 << int(len(found)).bit_length())
+    return np.packbits((np.bincount(found & np.uint32(width - 1), minlength=width) & 1).astype(np.uint8))
+
+
+def marks(texts: DataFrame) -> DataFrame:
+    """(node, size, bits): number of shingles and ``parity`` of each of ``texts(node, body)``."""
+    def worker(batches):
+        for nodes, bodies in new_texts(batches):
+            sets = [halves(shingles(t)) for t in bodies]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
+                pa.array([parity(x).tobytes() for x in sets], pa.binary())], ["node", "size", "bits"])
+
+    return map_partitions(texts.select("node", "body"), worker, "node long, size int, bits binary").dropDuplicates(["node"])
+
+
+def maybe_alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """``pairs(u, v)`` without those whose bitmaps in ``marked(node, size, bits)`` show that they share less."""
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = []
+        sizes = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        for both, x, y in zip(sizes.tolist(), as_bytes(batch.column(4)), as_bytes(batch.column(5))):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            while len(a) != len(b):
+                a, b = (b, a) if len(a) < len(b) else (a, b)
+                a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+            most = (both - int(np.bitwise_count(a ^ b).sum())) / 2
+            kept.append(most * (1 + similarity) >= similarity * both - 1e-6)
+        return pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    sides = pairs.join(marked.select(F.col("node").alias("u"), F.col("size").alias("n"), F.col("bits").alias("x")), "u").join(
+        marked.select(F.col("node").alias("v"), F.col("size").alias("m"), F.col("bits").alias("y")), "v")
+    return map_batches(sides.select("u", "v", "n", "m", "x", "y"), compare, "u long, v long")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(u, v)`` whose ``texts(node, body)`` share that much of their shingles."""
     needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = bitmap(needed)
 
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [(shingles(t) >> np.uint64(32)).astype(np.uint32) for t in as_bytes(batch.column(1))]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "words"])
+    def pack(batches):
+        for nodes, bodies in new_texts(batches, asked):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(nodes, pa.int64()), pa.array([halves(shingles(t)).tobytes() for t in bodies], pa.binary())],
+                ["node", "words"])
 
-    sets = materialize(map_batches(
-        texts.select("node", "body").join(needed, "node"), pack, "node long, words binary").dropDuplicates(["node"]))
+    sets = materialize(map_partitions(texts.select("node", "body"), pack, "node long, words binary").join(
+        needed, "node", "left_semi").dropDuplicates(["node"]))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept = []
@@ -356,8 +434,10 @@ def similar(texts: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     Texts that share a shingle of their prefixes are first compared with two texts of
     that shingle: the one that shares most with others, which is what copies were made
     from, and a fixed one. Then all pairs are compared that share a shingle of their
-    prefixes and are not yet in one group, so no similar pair is left out.
+    prefixes and are not yet in one group, so no similar pair is left out. Bitmaps
+    settle most of the pairs that are not similar; only for the others whole sets travel.
     """
+    marked = materialize(marks(texts))
     both = materialize(prefixes(texts, similarity))
     degrees = both.groupBy("node").agg(F.sum("n").alias("degree"))
     ranked = both.join(degrees, "node")
@@ -365,12 +445,13 @@ def similar(texts: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     middles = ranked.groupBy("part").agg(F.max_by(middle, F.struct("degree", "node")).alias("most"), F.min(middle).alias("least"))
     met = both.join(middles, "part").select("node", "at", "size", F.explode(F.array("most", "least")).alias("m")).select(
         "node", "at", "size", *[F.col(f"m.{c}").alias(f"other_{c}") for c in ("node", "at", "size")])
-    pairs = materialize(met.filter("node <> other_node").filter(_enough(similarity)).select(
-        F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct())
+    pairs = materialize(maybe_alike(met.filter("node <> other_node").filter(_enough(similarity)).select(
+        F.greatest("node", "other_node").alias("u"), F.least("node", "other_node").alias("v")).distinct(), marked, similarity))
     links = alike(pairs, texts, similarity)
-    rest = materialize(pairs_apart(both, connected_components(known.unionByName(links)), similarity))
+    apart = pairs_apart(both, connected_components(known.unionByName(links)), similarity)
+    rest = materialize(maybe_alike(apart, marked, similarity))
     more = alike(rest, texts, similarity)
-    discard(both, pairs, rest)
+    discard(both, marked, pairs, rest)
     return links.unionByName(more)
 
 

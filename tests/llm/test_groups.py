@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -363,6 +364,50 @@ def test_pairs_just_above_the_limit_are_found(spark, monkeypatch, least):
     assert all((found[2 * i] == found[2 * i + 1]) == (i % 4 < 3) for i in range(len(texts) // 2))
 
 
+def test_only_pairs_that_may_be_alike_are_compared_whole(spark, monkeypatch):
+    """Texts that share a passage without being alike do not travel; those that are do, also if their bitmaps differ in size."""
+    asked, alike = [], simhash.alike
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "alike", counted)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijk", k=6))
+    passage = [word() for _ in range(100)]
+    texts = [" ".join([word() for _ in range(70)] + passage + [word() for _ in range(80)]) for _ in range(60)]
+    for n in (14, 66, 70, 132, 136, 260, 268, 1030, 1100):  # 4 less shingles; around powers of two
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[: int(0.9 * n)])]
+    texts.append(texts[0])
+    nodes = [*range(len(texts) - 1), 0]
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts[:-1]]
+    bodies = spark.createDataFrame(list(zip(nodes, texts)), "node long, body string").repartition(3)
+    found = link_groups(simhash.similar(bodies, nothing_known(spark), 0.8).collect(), len(sets))
+    assert found == set_groups(sets) and len(set(found)) == 69
+    assert sum(asked) <= 18  # of more than 100 that share a shingle
+
+
+def test_bitmaps_bound_what_texts_share(spark):
+    """Bitmaps differ in no more bits than texts in shingles, at every size; the lookup knows every node, negative ones too."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5, 63, 64, 300, 2000):
+        a = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+        for share in (0, 0.5, 0.9, 1):
+            own = np.unique(np.concatenate([a[: int(share * len(a))], rng.integers(0, 1 << 32, n // 7, dtype=np.uint32)]))
+            x, y = (simhash.parity(s).view(np.uint64) for s in (a, own))
+            while len(x) != len(y):
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, own))
+    nodes = [0, 63, 64, -1, -64, simhash.FILTER_BITS - 1, 1 << 62, -(1 << 63)]
+    bits = simhash.bitmap(spark.createDataFrame([(n,) for n in nodes], "node long"))
+    assert int(np.bitwise_count(bits).sum()) == len({n % simhash.FILTER_BITS for n in nodes})
+    rows = pa.RecordBatch.from_arrays([pa.array([*nodes, 7, -7]), pa.array(["x"] * 10)], ["node", "body"])
+    assert [n for found, _ in simhash.new_texts([rows], bits) for n in found] == nodes
+
+
 def test_later_rows_of_a_group_are_compared(spark):
     """A text that is like a later row of a SimHash group, not like its first, goes with the group; repeated rows stay one."""
     rng = random.Random(21)
