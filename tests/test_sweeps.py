@@ -1,15 +1,19 @@
+import duckdb
 import pytest
 
+from placelab.operators import adaptive
 from placelab.plans import sweep
-from workload import queries
+from tests import models
+from tests.test_distance import cloud, table
+from workload import check, oracles, queries
 
 
 @pytest.fixture
 def customers(spark, tmp_path):
-    """A folder of tables with as many customers as asked for."""
+    """A folder of tables with customers of the given keys."""
 
-    def write(n, nations=25):
-        rows = [(i, f"c{i}", i % nations, 1.0, "S") for i in range(n)]
+    def write(keys, nations=25):
+        rows = [(k, f"c{k}", i % nations, 1.0, "S") for i, k in enumerate(keys)]
         spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(
             f"{tmp_path}/customer.parquet")
         return str(tmp_path)
@@ -25,4 +29,28 @@ def test_a_failed_detector_is_no_result_without_an_error_column(spark, customers
     monkeypatch.setattr(sweep.dbscan, "dbscan", fail)
     monkeypatch.setattr(sweep, "_adaptive", lambda *_: spark.createDataFrame([(9, 1, 1)], "cfg int, pois_found long, inside long"))
     with pytest.raises(ValueError, match="cannot take it"):
-        queries.queries()[name](spark, customers(20))
+        queries.queries()[name](spark, customers(range(20)))
+
+
+def same_as_sql(spark, folder, name):
+    """The rows of a query, once they equal those of its SQL."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{folder}/customer.parquet/*.parquet')")
+    got = queries.queries()[name](spark, folder).toArrow()
+    assert check.compare(got, con.sql(oracles.oracle_sql()[name]).to_arrow_table()) == ""
+    return got.to_pylist()
+
+
+def test_adaptive_tries_every_merchant(spark, customers):
+    folder = customers(range(3, 3003, 10), nations=2)  # no key is a multiple of ten
+    assert len(same_as_sql(spark, folder, "poi_adaptive")) >= 2
+
+
+def test_adaptive_with_every_merchant_equals_sequential_loop(spark, monkeypatch):
+    lats, lons = cloud(7, 150, 60.0, 179.999, 0.02, copies=20)
+    monkeypatch.setattr(models, "range", lambda start, end, step: range(start, end), raising=False)
+    labels, radii = models.adaptive(lats, lons, 600.0, 6)
+    found = adaptive.detect_adaptive(table(spark, lats, lons), 600.0, 6, step=1)
+    got = [r.poi_cluster for r in found.membership.orderBy("row_id").collect()]
+    assert got == labels.tolist() and max(got) >= 0
+    assert [p.radius_meters for p in found.pois.orderBy("cluster_id").collect()] == pytest.approx(radii)
