@@ -54,3 +54,8 @@ def test_adaptive_with_every_merchant_equals_sequential_loop(spark, monkeypatch)
     got = [r.poi_cluster for r in found.membership.orderBy("row_id").collect()]
     assert got == labels.tolist() and max(got) >= 0
     assert [p.radius_meters for p in found.pois.orderBy("cluster_id").collect()] == pytest.approx(radii)
+
+
+def test_sweep_top_tries_every_merchant(spark, customers):
+    folder = customers(range(3, 1503, 10), nations=1)  # no key is a multiple of ten
+    assert any(r["method"] == "Adaptive" and r["pois_found"] for r in same_as_sql(spark, folder, "poi_sweep_top"))
