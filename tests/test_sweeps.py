@@ -1,7 +1,9 @@
 import duckdb
 import pytest
 
-from placelab.operators import adaptive
+from placelab.operators import adaptive, grid
+from placelab.operators.dbscan import dbscan
+from placelab.operators.neighbors import Config
 from placelab.plans import sweep
 from tests import models
 from tests.test_distance import cloud, table
@@ -59,3 +61,30 @@ def test_adaptive_with_every_merchant_equals_sequential_loop(spark, monkeypatch)
 def test_sweep_top_tries_every_merchant(spark, customers):
     folder = customers(range(3, 1503, 10), nations=1)  # no key is a multiple of ten
     assert any(r["method"] == "Adaptive" and r["pois_found"] for r in same_as_sql(spark, folder, "poi_sweep_top"))
+
+
+def test_cells_are_linked_and_neighbours_counted_once_per_radius(spark, monkeypatch):
+    lats, lons = cloud(3, 6000, -6.2, 106.8, 0.004)
+    configs = [Config(i, radius, needed) for i, (radius, needed) in enumerate([(300.0, 15), (300.0, 40), (200.0, 15), (300.0, 25)])]
+    linked, counted, compared, fold = [], [], grid.compared, grid.fold
+
+    def comparing(level, *more):
+        linked.append(level.small.selectExpr("max(a_n * b_n)").first()[0] or 0)
+        return compared(level, *more)
+
+    def folding(left, right, value, *more):
+        counted.append((value, {r.cfg for r in left.select("cfg").distinct().collect()}))
+        return fold(left, right, value, *more)
+
+    monkeypatch.setattr(grid, "compared", comparing)
+    monkeypatch.setattr(grid, "fold", folding)
+    rows = table(spark, lats, lons)
+    got = {(r.cfg, r.lat, r.lon): r.poi_cluster for r in dbscan(rows, configs).collect()}
+    for c in configs:
+        want = models.dbscan(lats, lons, c.radius, c.min_merchants)
+        assert [got.get((c.cfg, a, o), -1) for a, o in zip(lats, lons)] == want.tolist()
+    assert max(linked) <= grid.PAIR_LIMIT // grid.FEW_PAIRS
+    assert [cfgs for value, cfgs in counted if value == "weight"] == [{1, 2}]
+    counted.clear()
+    adaptive.claims(rows, configs)
+    assert [len(cfgs) for value, cfgs in counted if value == "weight"] == [2]
